@@ -77,3 +77,63 @@ for _days, _sfx in ((30, ""), (10, "_10d")):
     @register(f"r15_user_acquisition{_sfx}")
     def _r15(spark, sf_dir, _d=_days):
         return acquisition.user_acquisition(_ev(spark, sf_dir), AS_OF, _d)
+
+from clickfold.operators import commerce, funnel  # noqa: E402
+
+for _days, _sfx in ((60, ""), (10, "_10d")):
+
+    @register(f"r08_items_by_session{_sfx}")
+    def _r08(spark, sf_dir, _d=_days):
+        return commerce.items_by_session(_ev(spark, sf_dir), AS_OF, _d)
+
+
+for _days, _sfx in ((1, ""), (10, "_10d")):
+
+    @register(f"r04_cart_abandonment{_sfx}")
+    def _r04(spark, sf_dir, _d=_days):
+        return commerce.cart_abandonment(_ev(spark, sf_dir), AS_OF, _d)
+
+
+@register("r01_abandoned_cart_user_ids")
+def _r01(spark, sf_dir):
+    return commerce.abandoned_cart_user_ids(commerce.cart_abandonment(_ev(spark, sf_dir), AS_OF, 1))
+
+
+@register("m13_cart_total")
+def _m13(spark, sf_dir):
+    return commerce.cart_total(_ev(spark, sf_dir), AS_OF, 1)
+
+
+@register("m14_cart_items")
+def _m14(spark, sf_dir):
+    return commerce.cart_lines(_ev(spark, sf_dir), AS_OF, 1).drop("item_value")
+
+
+@register("m15_cart_text")
+def _m15(spark, sf_dir):
+    return commerce.cart_text(_ev(spark, sf_dir), AS_OF, 1)
+
+
+for _days, _sfx in ((30, ""), (10, "_10d")):
+
+    @register(f"r05_closed_funnel_by_date{_sfx}")
+    def _r05(spark, sf_dir, _d=_days):
+        return funnel.closed_funnel(_ev(spark, sf_dir), AS_OF, _d, by_date=True)
+
+    @register(f"r06_closed_funnel{_sfx}")
+    def _r06(spark, sf_dir, _d=_days):
+        return funnel.closed_funnel(_ev(spark, sf_dir), AS_OF, _d, by_date=False)
+
+    @register(f"r07_geo_by_session{_sfx}")
+    def _r07(spark, sf_dir, _d=_days):
+        return sessions.geo_by_session(_ev(spark, sf_dir), AS_OF, _d)
+
+
+@register("m11_funnel_sessions")
+def _m11(spark, sf_dir):
+    return funnel.funnel_sessions(_ev(spark, sf_dir), AS_OF, 30, by_date=True)
+
+
+@register("m12_landing_page")
+def _m12(spark, sf_dir):
+    return funnel.landing_pages(_ev(spark, sf_dir), AS_OF, 30)

@@ -162,3 +162,149 @@ SQL["r15_user_acquisition"] = _r15(30)
 SQL["r15_user_acquisition_10d"] = _r15(10)
 
 _ = (d, raw_win, r6)
+
+
+# ---------------------------------------------------------------- R8
+def _r08_cte(days: int, name: str = "items_agg") -> str:
+    return f"""
+{name} AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id,
+    sum(CASE WHEN item_id = 'Donation' OR item_id = 'hd3g4y' THEN item_revenue END) AS donation_revenue,
+    CAST(sum(CASE WHEN item_id = 'Donation' OR item_id = 'hd3g4y' THEN quantity END) AS BIGINT) AS donation_quantity,
+    sum(CASE WHEN item_id <> 'Donation' AND item_id <> 'Fees' THEN item_revenue END) AS product_revenue,
+    CAST(sum(CASE WHEN item_id <> 'Donation' AND item_id <> 'Fees' THEN quantity END) AS BIGINT) AS product_quantity,
+    CAST(max(CASE WHEN event_name = 'purchase' THEN 1 END) AS BIGINT) AS conversion_flag
+  FROM ev_items WHERE {win(days)} AND event_name = 'purchase'
+  GROUP BY user_pseudo_id, ga_session_id)"""
+
+
+_R8_OUT = ("SELECT user_pseudo_id, session_id, round(donation_revenue, 6) AS donation_revenue, donation_quantity, "
+           "round(product_revenue, 6) AS product_revenue, product_quantity, conversion_flag FROM items_agg")
+SQL["r08_items_by_session"] = with_base(_R8_OUT, _r08_cte(60))
+SQL["r08_items_by_session_10d"] = with_base(_R8_OUT, _r08_cte(10))
+
+
+# ---------------------------------------------------------------- R4 / R1 / M13-M15
+def _money(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+def _cart_ctes(days: int) -> str:
+    line = f"""CASE
+        WHEN item_id <> 'Fees' AND item_id <> 'Donation' THEN
+          CASE WHEN min_item_price <> max_item_price
+            THEN CAST(item_quantity AS VARCHAR) || ' ticket(s) for ' || item_name || ', for $' || {_money('min_item_price')} || ' - $' || {_money('max_item_price')} || ' each' || chr(10)
+            ELSE CAST(item_quantity AS VARCHAR) || ' ticket(s) for ' || item_name || ', for $' || {_money('max_item_price')} || ' each' || chr(10) END
+        WHEN item_id = 'Donation' THEN CAST(item_quantity AS VARCHAR) || ' donation(s) for ' || item_name || ', for $' || {_money('max_item_price')} || ' each' || chr(10)
+        ELSE NULL END"""
+    return f"""
+prep AS (
+  SELECT event_name, event_timestamp, user_pseudo_id, user_id, event_date, ga_session_id AS session_id
+  FROM ev WHERE {win(days)}),
+total_cart_price AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id, sum(quantity * price) AS total_cart_price
+  FROM ev_items WHERE {win(days)} AND event_name = 'add_to_cart'
+  GROUP BY user_pseudo_id, ga_session_id),
+item_ids_grouped AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id, item_id, item_name,
+    CAST(sum(quantity) AS BIGINT) AS item_quantity, max(price) AS max_item_price, min(price) AS min_item_price
+  FROM ev_items WHERE {win(days)} AND event_name = 'add_to_cart'
+  GROUP BY user_pseudo_id, ga_session_id, item_name, item_id),
+abandoned_items AS (
+  SELECT user_pseudo_id, session_id,
+    string_agg({line}, '' ORDER BY item_name, item_id) AS product_quantity_price
+  FROM item_ids_grouped GROUP BY user_pseudo_id, session_id),
+cart AS (
+  SELECT prep.user_pseudo_id, prep.session_id, event_date,
+    max(user_id) AS user_id,
+    min(CASE WHEN event_name = 'add_to_cart' THEN event_timestamp END) AS add_to_cart_timestamp,
+    min(CASE WHEN event_name = 'purchase' THEN event_timestamp END) AS purchase_timestamp,
+    max(ai.product_quantity_price || 'Your cart total: $' || {_money('tcp.total_cart_price')}) AS product_quantity_price
+  FROM prep
+  LEFT JOIN abandoned_items ai ON prep.user_pseudo_id = ai.user_pseudo_id AND prep.session_id = ai.session_id
+  LEFT JOIN total_cart_price tcp ON prep.user_pseudo_id = tcp.user_pseudo_id AND prep.session_id = tcp.session_id
+  GROUP BY prep.user_pseudo_id, prep.session_id, event_date
+  HAVING max(user_id) IS NOT NULL
+    AND min(CASE WHEN event_name = 'add_to_cart' THEN event_timestamp END) IS NOT NULL
+    AND min(CASE WHEN event_name = 'purchase' THEN event_timestamp END) IS NULL)"""
+
+
+SQL["r04_cart_abandonment"] = with_base("SELECT * FROM cart", _cart_ctes(1))
+SQL["r04_cart_abandonment_10d"] = with_base("SELECT * FROM cart", _cart_ctes(10))
+SQL["r01_abandoned_cart_user_ids"] = with_base("SELECT user_id, product_quantity_price FROM cart", _cart_ctes(1))
+SQL["m13_cart_total"] = with_base(
+    "SELECT user_pseudo_id, session_id, round(total_cart_price, 6) AS total_cart_price FROM total_cart_price", _cart_ctes(1))
+SQL["m14_cart_items"] = with_base(
+    "SELECT user_pseudo_id, session_id, item_id, item_name, item_quantity, round(max_item_price, 6) AS max_item_price, "
+    "round(min_item_price, 6) AS min_item_price FROM item_ids_grouped", _cart_ctes(1))
+SQL["m15_cart_text"] = with_base("SELECT * FROM abandoned_items", _cart_ctes(1))
+
+
+# ---------------------------------------------------------------- R5 / R6 / M11 / M12
+def _funnel_ctes(days: int, by_date: bool) -> str:
+    date_col = "CAST(make_timestamp(event_timestamp) AS DATE) AS session_date," if by_date else ""
+    date_grp = ", CAST(make_timestamp(event_timestamp) AS DATE)" if by_date else ""
+    return f"""
+fprep AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id, event_name, event_timestamp, page_title
+  FROM ev WHERE {win(days)} AND event_name IN ('page_view', 'add_to_cart', 'purchase')),
+fprep_2 AS (
+  SELECT *, first_value(CASE WHEN event_name = 'page_view' THEN page_title END)
+    OVER (PARTITION BY user_pseudo_id, session_id ORDER BY event_timestamp) AS first_page_view
+  FROM fprep),
+fprep_3 AS (
+  SELECT user_pseudo_id, session_id, {date_col}
+    max(first_page_view) AS first_page_view,
+    min(CASE WHEN event_name = 'page_view' THEN event_timestamp END) AS first_page_view_timestamp,
+    min(CASE WHEN event_name = 'add_to_cart' THEN event_timestamp END) AS first_add_to_cart_timestamp,
+    min(CASE WHEN event_name = 'purchase' THEN event_timestamp END) AS first_purchase_timestamp
+  FROM fprep_2
+  GROUP BY user_pseudo_id, session_id{date_grp}
+  HAVING min(CASE WHEN event_name = 'page_view' THEN event_timestamp END) IS NOT NULL
+    AND (min(CASE WHEN event_name = 'add_to_cart' THEN event_timestamp END) IS NULL
+         OR min(CASE WHEN event_name = 'add_to_cart' THEN event_timestamp END) > min(CASE WHEN event_name = 'page_view' THEN event_timestamp END))
+    AND (min(CASE WHEN event_name = 'purchase' THEN event_timestamp END) IS NULL
+         OR min(CASE WHEN event_name = 'purchase' THEN event_timestamp END) > min(CASE WHEN event_name = 'add_to_cart' THEN event_timestamp END)))"""
+
+
+_LANDING = "CASE WHEN regexp_matches(first_page_view, '^(.*?)\\s*\\|') THEN regexp_extract(first_page_view, '^(.*?)\\s*\\|', 1) END"
+_FUNNEL_COUNTS = """count(user_pseudo_id || CAST(session_id AS VARCHAR)) AS sessions_page_view,
+  count(CASE WHEN first_add_to_cart_timestamp IS NOT NULL THEN user_pseudo_id || CAST(session_id AS VARCHAR) END) AS sessions_add_to_cart,
+  count(CASE WHEN first_purchase_timestamp IS NOT NULL THEN session_id END) AS sessions_purchase"""
+
+
+def _r05(days: int) -> str:
+    return with_base(f"SELECT session_date, {_LANDING} AS first_page_view, {_FUNNEL_COUNTS} FROM fprep_3 GROUP BY 1, 2",
+                     _funnel_ctes(days, True))
+
+
+def _r06(days: int) -> str:
+    return with_base(f"SELECT 'all_pages' AS all_pages, {_LANDING} AS first_page_view, {_FUNNEL_COUNTS} FROM fprep_3 GROUP BY 2",
+                     _funnel_ctes(days, False))
+
+
+SQL["r05_closed_funnel_by_date"] = _r05(30)
+SQL["r05_closed_funnel_by_date_10d"] = _r05(10)
+SQL["r06_closed_funnel"] = _r06(30)
+SQL["r06_closed_funnel_10d"] = _r06(10)
+SQL["m11_funnel_sessions"] = with_base("SELECT * FROM fprep_3", _funnel_ctes(30, True))
+SQL["m12_landing_page"] = with_base(f"""
+SELECT user_pseudo_id, session_id, max(first_page_view) AS page_title,
+  {_LANDING.replace('first_page_view', 'max(first_page_view)')} AS landing_page
+FROM fprep_2 GROUP BY user_pseudo_id, session_id""", _funnel_ctes(30, False))
+
+
+# ---------------------------------------------------------------- R7
+def _r07(days: int) -> str:
+    geo = ",\n  ".join(f"first(geo_{f} ORDER BY event_timestamp, event_name) AS {f}"
+                       for f in ("continent", "sub_continent", "country", "region", "city", "metro"))
+    return with_base(f"""
+SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id,
+  max(coalesce(engaged_str, CAST(engaged_int AS VARCHAR))) AS session_engaged,
+  {geo}
+FROM ev WHERE {win(days)}
+GROUP BY 1, 2""")
+
+
+SQL["r07_geo_by_session"] = _r07(30)
+SQL["r07_geo_by_session_10d"] = _r07(10)
