@@ -137,3 +137,43 @@ def _m11(spark, sf_dir):
 @register("m12_landing_page")
 def _m12(spark, sf_dir):
     return funnel.landing_pages(_ev(spark, sf_dir), AS_OF, 30)
+
+from clickfold.operators import attribution as attr  # noqa: E402
+
+_SM, _SMC = ("source", "medium"), ("source", "medium", "campaign")
+for (_c, _a), _sfx in (((30, 30), ""), ((10, 10), "_10_10")):
+
+    @register(f"r10_attribution_source_medium{_sfx}")
+    def _r10(spark, sf_dir, _c=_c, _a=_a):
+        return attr.attribution(_ev(spark, sf_dir), AS_OF, _c, _a, _SM)
+
+    @register(f"r11_attribution_source_medium_campaign{_sfx}")
+    def _r11(spark, sf_dir, _c=_c, _a=_a):
+        return attr.attribution(_ev(spark, sf_dir), AS_OF, _c, _a, _SMC)
+
+
+@register("m16_first_conversion")
+def _m16(spark, sf_dir):
+    return attr.first_conversion(_ev(spark, sf_dir), AS_OF, 10)
+
+
+def _weights(spark, sf_dir):
+    return attr.model_weights(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, 10, 10, _SM))
+
+
+for _name, _col, _keep in (
+    ("m17_first_click", "w_first_click", False),
+    ("m18_last_click", "w_last_click", False),
+    ("m20_linear", "w_linear", True),
+    ("m21_time_decay", "w_time_decay", True),
+    ("m22_position_based", "w_position_based", True),
+):
+
+    @register(_name)
+    def _m(spark, sf_dir, _col=_col, _keep=_keep):
+        return attr.model_rows(_weights(spark, sf_dir), _col, _SM, _keep)
+
+
+@register("m19_last_non_direct")
+def _m19(spark, sf_dir):
+    return attr.last_non_direct(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, 10, 10, _SM), _SM)

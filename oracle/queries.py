@@ -308,3 +308,111 @@ GROUP BY 1, 2""")
 
 SQL["r07_geo_by_session"] = _r07(30)
 SQL["r07_geo_by_session_10d"] = _r07(10)
+
+
+# ---------------------------------------------------------------- R10 / R11 / M16-M22
+def _attr_ctes(conv: int, acq: int, campaign: bool) -> str:
+    lab = "source_medium_campaign" if campaign else "source_medium"
+    direct = "(direct)/(none)/(none)" if campaign else "(direct)/(none)"
+    label = "coalesce(source, '(direct)') || '/' || coalesce(medium, '(none)')"
+    if campaign:
+        label += " || '/' || coalesce(campaign, '(none)')"
+    return f"""
+conversions_1 AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id,
+    user_pseudo_id || CAST(event_timestamp AS VARCHAR) AS conversion_id,
+    max(event_timestamp) AS conversion_timestamp
+  FROM ev WHERE {raw_win(conv, 1)} AND event_name = 'purchase'
+  GROUP BY 1, 2, 3),
+conversions_2 AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY user_pseudo_id, session_id ORDER BY conversion_timestamp, conversion_id) AS session_scoped_conversion_rank,
+    row_number() OVER (PARTITION BY user_pseudo_id ORDER BY conversion_timestamp, conversion_id, session_id NULLS FIRST) AS user_scoped_conversion_rank
+  FROM conversions_1),
+conversions_3 AS (
+  SELECT * FROM conversions_2 WHERE session_scoped_conversion_rank = 1 AND user_scoped_conversion_rank = 1),
+sessions AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id,
+    min(event_timestamp) AS session_start_timestamp,
+    max({label}) AS {lab}
+  FROM ev
+  WHERE {raw_win(conv + acq, 1)} AND user_pseudo_id IN (SELECT user_pseudo_id FROM conversions_3)
+  GROUP BY user_pseudo_id, ga_session_id),
+attribution_raw AS (
+  SELECT s.*, c_3.conversion_id, c_3.conversion_timestamp,
+    count(DISTINCT s.session_id) OVER (PARTITION BY s.user_pseudo_id) AS total_session_per_user,
+    row_number() OVER (PARTITION BY s.user_pseudo_id ORDER BY session_start_timestamp, s.session_id NULLS FIRST) AS session_number
+  FROM sessions s
+  LEFT JOIN conversions_3 c_3 ON s.user_pseudo_id = c_3.user_pseudo_id AND s.session_id = c_3.session_id
+  WHERE s.session_start_timestamp <= (SELECT max(conversion_timestamp) FROM conversions_3 c WHERE c.user_pseudo_id = s.user_pseudo_id)
+    AND s.session_start_timestamp >= (SELECT max(conversion_timestamp) FROM conversions_3 c WHERE c.user_pseudo_id = s.user_pseudo_id) - {acq} * 86400000000),
+first_click AS (
+  SELECT user_pseudo_id, session_id, session_number, conversion_id, {lab}, 1.0 AS attribution_weight
+  FROM attribution_raw WHERE session_number = 1),
+last_click AS (
+  SELECT user_pseudo_id, session_id, session_number, conversion_id, {lab}, 1.0 AS attribution_weight
+  FROM attribution_raw WHERE session_number = total_session_per_user),
+prep_last_non_direct_click AS (
+  SELECT user_pseudo_id, conversion_id,
+    CASE WHEN {lab} != '{direct}' THEN {lab}
+         WHEN {lab} = '{direct}' THEN last_value(nullif({lab}, '{direct}') IGNORE NULLS)
+              OVER (PARTITION BY user_pseudo_id ORDER BY session_number) END AS {lab},
+    1.0 AS attribution_weight
+  FROM attribution_raw),
+last_non_direct_click AS (
+  SELECT user_pseudo_id, conversion_id, coalesce({lab}, '{direct}') AS {lab}, attribution_weight
+  FROM prep_last_non_direct_click WHERE conversion_id IS NOT NULL),
+linear AS (
+  SELECT user_pseudo_id, session_id, session_number, {lab},
+    1 / (max(session_number) OVER (PARTITION BY user_pseudo_id)) AS attribution_weight
+  FROM attribution_raw),
+time_decay AS (
+  SELECT user_pseudo_id, session_id, session_number, {lab},
+    CASE WHEN total_session_per_user = 1 THEN 1.0
+      ELSE power(2, session_number / nullif(total_session_per_user, 0))
+           / sum(power(2, session_number / nullif(total_session_per_user, 0))) OVER (PARTITION BY user_pseudo_id) END AS attribution_weight
+  FROM attribution_raw),
+position_based AS (
+  SELECT user_pseudo_id, session_id, session_number, {lab},
+    CAST(CASE WHEN total_session_per_user = 1 THEN 1
+      WHEN total_session_per_user = 2 THEN 0.5
+      WHEN total_session_per_user > 2 THEN (
+        CASE WHEN session_number = 1 THEN 0.4
+             WHEN session_number = total_session_per_user THEN 0.4
+             ELSE 0.2 / (total_session_per_user - 2) END) END AS DOUBLE) AS attribution_weight
+  FROM attribution_raw),
+attribution AS (
+  SELECT 'first click' AS attribution_model, {lab}, sum(attribution_weight) AS attribution_weight FROM first_click GROUP BY 1, 2
+  UNION ALL
+  SELECT 'last click' AS attribution_model, {lab}, sum(attribution_weight) AS attribution_weight FROM last_click GROUP BY 1, 2
+  UNION ALL
+  SELECT 'last non direct click' AS attribution_model, {lab}, sum(attribution_weight) AS attribution_weight FROM last_non_direct_click GROUP BY 1, 2
+  UNION ALL
+  SELECT 'linear' AS attribution_model, {lab}, sum(attribution_weight) AS attribution_weight FROM linear GROUP BY 1, 2
+  UNION ALL
+  SELECT 'time decay' AS attribution_model, {lab}, sum(attribution_weight) AS attribution_weight FROM time_decay GROUP BY 1, 2
+  UNION ALL
+  SELECT 'position based' AS attribution_model, {lab}, sum(attribution_weight) AS attribution_weight FROM position_based GROUP BY 1, 2)"""
+
+
+def _attr(conv: int, acq: int, campaign: bool) -> str:
+    lab = "source_medium_campaign" if campaign else "source_medium"
+    return with_base(f"SELECT attribution_model, {lab}, CAST(round(attribution_weight, 6) AS DOUBLE) AS attribution_weight FROM attribution",
+                     _attr_ctes(conv, acq, campaign))
+
+
+SQL["r10_attribution_source_medium"] = _attr(30, 30, False)
+SQL["r10_attribution_source_medium_10_10"] = _attr(10, 10, False)
+SQL["r11_attribution_source_medium_campaign"] = _attr(30, 30, True)
+SQL["r11_attribution_source_medium_campaign_10_10"] = _attr(10, 10, True)
+SQL["m16_first_conversion"] = with_base(
+    "SELECT user_pseudo_id, session_id, conversion_id, conversion_timestamp FROM conversions_3", _attr_ctes(10, 10, False))
+_ROW = "SELECT user_pseudo_id, session_id, session_number, source_medium, CAST(round(attribution_weight, 6) AS DOUBLE) AS attribution_weight FROM "
+SQL["m17_first_click"] = with_base(_ROW + "first_click", _attr_ctes(10, 10, False))
+SQL["m18_last_click"] = with_base(_ROW + "last_click", _attr_ctes(10, 10, False))
+SQL["m19_last_non_direct"] = with_base(
+    "SELECT user_pseudo_id, conversion_id, source_medium, CAST(attribution_weight AS DOUBLE) AS attribution_weight FROM last_non_direct_click",
+    _attr_ctes(10, 10, False))
+SQL["m20_linear"] = with_base(_ROW + "linear", _attr_ctes(10, 10, False))
+SQL["m21_time_decay"] = with_base(_ROW + "time_decay", _attr_ctes(10, 10, False))
+SQL["m22_position_based"] = with_base(_ROW + "position_based", _attr_ctes(10, 10, False))
