@@ -43,13 +43,14 @@ def purchasing_sessions(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("purchase_flag").isNotNull())
 
 
-def buyer_behavior_by_campaign_from(facts: DataFrame, by_user: DataFrame) -> DataFrame:
-    """R2 on a session-facts table and an R3 result."""
+def buyer_behavior_by_campaign_from(facts: DataFrame, by_user: DataFrame, *, sort: bool = True) -> DataFrame:
+    """R2 on a session-facts table and an R3 result (`sort=False` when the
+    result feeds another report)."""
     smc = purchasing_sessions(facts).select("user_pseudo_id", "session_id", *LABELS)
     bb = by_user.select("user_pseudo_id", "new", "renew", "lapsed")
     user = F.col("user_pseudo_id")
     flagged = lambda c: F.count_distinct(F.when(F.col(c) == 1, user))
-    return (
+    out = (
         smc.join(bb, "user_pseudo_id", "left")
         .groupBy(*LABELS)
         .agg(
@@ -59,8 +60,8 @@ def buyer_behavior_by_campaign_from(facts: DataFrame, by_user: DataFrame) -> Dat
             flagged("renew").alias("count_renew_buyers"),
             flagged("lapsed").alias("count_lapsed_buyers"),
         )
-        .orderBy(F.desc("count_purchasing_user_pseudo_id"))
     )
+    return out.orderBy(F.desc("count_purchasing_user_pseudo_id")) if sort else out
 
 
 def buyer_behavior_by_campaign(

@@ -177,3 +177,106 @@ for _name, _col, _keep in (
 @register("m19_last_non_direct")
 def _m19(spark, sf_dir):
     return attr.last_non_direct(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, 10, 10, _SM), _SM)
+
+from clickfold.functions.channels import channel_group  # noqa: E402
+from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat  # noqa: E402
+from clickfold.operators import email  # noqa: E402
+from clickfold.sources.events import in_window  # noqa: E402
+from clickfold.sources.fixture import campaign_table  # noqa: E402
+
+for _idays, _sfx in ((30, ""), (5, "_items_5d")):
+
+    @register(f"r09_email_campaign_stats{_sfx}")
+    def _r09(spark, sf_dir, _i=_idays):
+        return email.email_campaign_stats(
+            _ev(spark, sf_dir), buyers_for(spark, sf_dir), campaign_table(spark), AS_OF, session_days=60, item_days=_i
+        )
+
+
+def _shard_counts(ev: DataFrame) -> DataFrame:
+    return ev.groupBy("event_date", "export_kind").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.count_distinct("user_pseudo_id").alias("user_count"),
+        F.count_distinct(session_id_concat()).alias("session_count"),
+    )
+
+
+@register("m01_read_with_intraday")
+def _m01(spark, sf_dir):
+    return _shard_counts(in_window(_ev(spark, sf_dir), AS_OF, 1))
+
+
+@register("m02_read_daily_only")
+def _m02(spark, sf_dir):
+    return _shard_counts(in_window(_ev(spark, sf_dir), AS_OF, 1, include_intraday=False))
+
+
+@register("m03_event_param")
+def _m03(spark, sf_dir):
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).select(
+        "user_pseudo_id", "event_timestamp", "event_name",
+        event_param("ga_session_id", "int").alias("ga_session_id"),
+        event_param("page_title").alias("page_title"),
+        event_param("ga_session_number", "int").alias("ga_session_number"),
+        event_param("session_engaged").alias("session_engaged_string"),
+        event_param("session_engaged", "int").alias("session_engaged_int"),
+        event_param("engagement_time_msec", "int").alias("engagement_time_msec"),
+        event_param("source").alias("source"),
+        event_param("medium").alias("medium"),
+        event_param("campaign").alias("campaign"),
+    )
+
+
+@register("m04_session_id")
+def _m04(spark, sf_dir):
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).select(
+        "user_pseudo_id", "event_timestamp", session_id().alias("session_id")
+    )
+
+
+@register("m05_session_id_concat")
+def _m05(spark, sf_dir):
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).select(
+        "user_pseudo_id", "event_timestamp", session_id_concat().alias("session_id")
+    )
+
+
+@register("m06_session_engaged")
+def _m06(spark, sf_dir):
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).groupBy("user_pseudo_id", session_id().alias("session_id")).agg(
+        F.max(session_engaged()).alias("session_engaged"),
+        F.max(session_engaged(int_fallback=False)).alias("session_engaged_string_only"),
+    )
+
+
+@register("m07_session_source_max")
+def _m07(spark, sf_dir):
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).groupBy("user_pseudo_id", session_id().alias("session_id")).agg(
+        *sessions.max_labels()
+    )
+
+
+def _first_sources(spark, sf_dir):
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).groupBy(
+        "user_pseudo_id", session_id_concat().alias("session_id")
+    ).agg(*sessions.first_labels())
+
+
+@register("m08_session_source_first")
+def _m08(spark, sf_dir):
+    return _first_sources(spark, sf_dir)
+
+
+@register("m09_first_user_source")
+def _m09(spark, sf_dir):
+    ev = in_window(_ev(spark, sf_dir), AS_OF, 30).select("*", session_id_concat().alias("_sid"), *sessions.first_user_labels())
+    return ev.groupBy(
+        "user_pseudo_id", F.col("_sid").alias("session_id"), "first_source", "first_medium", "first_campaign"
+    ).agg(F.count(F.lit(1)).alias("event_count"))
+
+
+@register("m10_channel_group")
+def _m10(spark, sf_dir):
+    return _first_sources(spark, sf_dir).groupBy(
+        "source", "medium", "campaign", channel_group("source", "medium", "campaign").alias("channel_group")
+    ).agg(F.count(F.lit(1)).alias("sessions"))

@@ -416,3 +416,97 @@ SQL["m19_last_non_direct"] = with_base(
 SQL["m20_linear"] = with_base(_ROW + "linear", _attr_ctes(10, 10, False))
 SQL["m21_time_decay"] = with_base(_ROW + "time_decay", _attr_ctes(10, 10, False))
 SQL["m22_position_based"] = with_base(_ROW + "position_based", _attr_ctes(10, 10, False))
+
+
+# ---------------------------------------------------------------- R9
+def _r09(session_days: int, item_days: int) -> str:
+    metrics = ("send_amt", "opens", "uniqueopens", "linkclicks", "uniquelinkclicks", "subscriberclicks",
+               "forwards", "uniqueforwards", "hardbounces", "softbounces", "unsubscribes", "unsubreasons",
+               "replies", "uniquereplies", "socialshares")
+    casts = ",\n  ".join(f"CAST(c.{m} AS BIGINT) AS {m}" for m in metrics)
+    ctes = _r02_cte(session_days) + "," + _r08_cte(item_days) + f""",
+smc AS (
+  SELECT user_pseudo_id, ga_session_id AS session_id,
+    max(coalesce(engaged_str, CAST(engaged_int AS VARCHAR))) AS session_engaged,
+    max(source) AS source, max(medium) AS medium, max(campaign) AS campaign
+  FROM ev WHERE {win(session_days)}
+  GROUP BY user_pseudo_id, ga_session_id),
+su AS (
+  SELECT source, medium, campaign,
+    count(DISTINCT user_pseudo_id || CAST(session_id AS VARCHAR)) AS count_sessions,
+    count(DISTINCT CASE WHEN session_engaged = '1' THEN user_pseudo_id || CAST(session_id AS VARCHAR) END) AS count_engaged_sessions,
+    count(DISTINCT user_pseudo_id) AS count_users
+  FROM smc GROUP BY source, medium, campaign),
+mprep AS (
+  SELECT source, medium, campaign,
+    sum(donation_revenue) AS total_donation_revenue,
+    CAST(sum(donation_quantity) AS BIGINT) AS total_donation_quantity,
+    sum(product_revenue) AS total_product_revenue,
+    CAST(sum(product_quantity) AS BIGINT) AS total_product_quantity,
+    CAST(sum(conversion_flag) AS BIGINT) AS conversion_count
+  FROM smc LEFT JOIN items_agg i ON smc.user_pseudo_id = i.user_pseudo_id AND smc.session_id = i.session_id
+  WHERE medium = 'email'
+  GROUP BY source, medium, campaign)"""
+    return with_base(f"""
+SELECT mprep.source, mprep.medium, mprep.campaign,
+  round(total_donation_revenue, 6) AS total_donation_revenue, total_donation_quantity,
+  round(total_product_revenue, 6) AS total_product_revenue, total_product_quantity, conversion_count,
+  count_sessions, count_engaged_sessions, count_users AS count_user_pseudo_id,
+  bb.count_purchasing_user_pseudo_id, bb.count_new_buyers, bb.count_renew_buyers, bb.count_lapsed_buyers,
+  c.ldate,
+  {casts}
+FROM mprep
+LEFT JOIN su ON mprep.source = su.source AND mprep.medium = su.medium AND mprep.campaign = su.campaign
+LEFT JOIN bb ON mprep.source = bb.source AND mprep.medium = bb.medium AND mprep.campaign = bb.campaign
+LEFT JOIN campaigns c ON mprep.campaign = c.name""", ctes)
+
+
+SQL["r09_email_campaign_stats"] = _r09(60, 30)
+SQL["r09_email_campaign_stats_items_5d"] = _r09(60, 5)
+
+
+# ---------------------------------------------------------------- M1 - M10
+def _shard_counts(where: str) -> str:
+    return with_base(f"""
+SELECT regexp_extract(suffix, '[0-9]+') AS event_date,
+  CASE WHEN suffix LIKE 'intraday%' THEN 'intraday' ELSE 'daily' END AS export_kind,
+  count(*) AS event_count, count(DISTINCT user_pseudo_id) AS user_count,
+  count(DISTINCT user_pseudo_id || CAST(ga_session_id AS VARCHAR)) AS session_count
+FROM ev WHERE {where} GROUP BY 1, 2""")
+
+
+SQL["m01_read_with_intraday"] = _shard_counts(win(1))
+SQL["m02_read_daily_only"] = _shard_counts(raw_win(1, 0))
+SQL["m03_event_param"] = with_base(f"""
+SELECT user_pseudo_id, event_timestamp, event_name, ga_session_id, page_title, ga_session_number,
+  engaged_str AS session_engaged_string, engaged_int AS session_engaged_int, engagement_time_msec,
+  source, medium, campaign
+FROM ev WHERE {win(30)}""")
+SQL["m04_session_id"] = with_base(
+    f"SELECT user_pseudo_id, event_timestamp, ga_session_id AS session_id FROM ev WHERE {win(30)}")
+SQL["m05_session_id_concat"] = with_base(
+    f"SELECT user_pseudo_id, event_timestamp, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id FROM ev WHERE {win(30)}")
+SQL["m06_session_engaged"] = with_base(f"""
+SELECT user_pseudo_id, ga_session_id AS session_id,
+  max(coalesce(engaged_str, CAST(engaged_int AS VARCHAR))) AS session_engaged,
+  max(engaged_str) AS session_engaged_string_only
+FROM ev WHERE {win(30)} GROUP BY 1, 2""")
+SQL["m07_session_source_max"] = with_base(f"""
+SELECT user_pseudo_id, ga_session_id AS session_id, max(source) AS source, max(medium) AS medium, max(campaign) AS campaign
+FROM ev WHERE {win(30)} GROUP BY 1, 2""")
+_FIRST = f"""
+fs AS (
+  SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id,
+    coalesce(first(source ORDER BY event_timestamp, source) FILTER (WHERE source IS NOT NULL), '(direct)') AS source,
+    coalesce(first(medium ORDER BY event_timestamp, medium) FILTER (WHERE medium IS NOT NULL), '(none)') AS medium,
+    coalesce(first(campaign ORDER BY event_timestamp, campaign) FILTER (WHERE campaign IS NOT NULL), '(not set)') AS campaign
+  FROM ev WHERE {win(30)} GROUP BY 1, 2)"""
+SQL["m08_session_source_first"] = with_base("SELECT * FROM fs", _FIRST)
+SQL["m09_first_user_source"] = with_base(f"""
+SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id,
+  coalesce(ts_source, '(direct)') AS first_source, coalesce(ts_medium, '(none)') AS first_medium,
+  coalesce(ts_name, '(not set)') AS first_campaign, count(*) AS event_count
+FROM ev WHERE {win(30)} GROUP BY 1, 2, 3, 4, 5""")
+SQL["m10_channel_group"] = with_base(f"""
+SELECT source, medium, campaign, {channel_case('source', 'medium', 'campaign')} AS channel_group, count(*) AS sessions
+FROM fs GROUP BY 1, 2, 3, 4""", _FIRST)
