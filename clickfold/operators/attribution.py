@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from clickfold.functions.params import event_param, session_id
 from clickfold.operators.ordinal import MINUTE_MICROS, ordinal_within
 from clickfold.sources.events import in_window
+from clickfold.sources.tables import scratch_table
 
 # --- fixed values ----------------------------------------------------------
 MODELS = ("first click", "last click", "last non direct click", "linear", "time decay", "position based")
@@ -94,9 +95,16 @@ def attribution_sessions(
     conversion_days: int = 30,
     acquisition_days: int = 30,
     dims: tuple[str, ...] = ("source", "medium"),
+    *,
+    materialize: bool = True,
 ) -> DataFrame:
     """Sessions of converting users in the look-back window, numbered.
 
+    With `materialize` (default) the session rows are written once as a
+    scratch table before numbering; the numbering, the per-user totals and
+    the last non-direct step all read it, so the event window is scanned
+    once.
+
     Columns: user_pseudo_id, session_id, session_start (micros), <label>,
     conversion_id (on the converting session only), session_number (by
     start, then session id, NULL first), total_session_per_user (sessions
@@ -122,6 +130,9 @@ def attribution_sessions(
             F.when(F.col("session_id") == F.col("_conv_sid"), F.col("conversion_id")).alias("conversion_id"),
         )
     )
+    if materialize:
+        rows = scratch_table(rows, "attribution_sessions")
+    start = F.col("session_start")
     key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
     return ordinal_within(
         rows,

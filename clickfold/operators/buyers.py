@@ -26,12 +26,21 @@ def buyer_behavior_by_user(
     Devices without an account id are dropped; the account id text is cast
     to bigint to meet `const_id` (ANSI: bad text raises unless `safe_cast`).
     """
-    ev = in_window(events, as_of, days)
-    users = (
-        ev.groupBy("user_pseudo_id")
+    return buyer_behavior_by_user_from(user_accounts(in_window(events, as_of, days)), buyers, safe_cast=safe_cast)
+
+
+def user_accounts(rows: DataFrame) -> DataFrame:
+    """Device -> greatest account id, devices without one dropped. `rows`
+    may be events or session facts (both carry `user_id`)."""
+    return (
+        rows.groupBy("user_pseudo_id")
         .agg(F.max("user_id").alias("user_id"))
         .where(F.col("user_id").isNotNull())
     )
+
+
+def buyer_behavior_by_user_from(users: DataFrame, buyers: DataFrame, *, safe_cast: bool = False) -> DataFrame:
+    """R3 on a device -> account id table."""
     key = F.col("user_id").try_cast("bigint") if safe_cast else F.col("user_id").cast("bigint")
     b = buyers.select("const_id", "renew", "new", "lapsed")
     return users.join(b, key == b["const_id"], "inner").select(

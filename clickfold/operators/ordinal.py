@@ -53,8 +53,14 @@ def ordinal_within(
         *[combine[how](f"_b{n}").over(whole).alias(n) for n, (_, how) in aggs.items() if n != "_c"],
     )
     local = Window.partitionBy(key, "_bucket").orderBy(*order)
+    # Null-safe keys: no `isnotnull` filters get inferred into one side
+    # only, so both sides keep the same plan and share its exchange
+    # (with plain `=` the input would be computed twice).
+    pb = per_bucket.withColumnRenamed(key, "_k").withColumnRenamed("_bucket", "_kb")
+    cond = b[key].eqNullSafe(pb["_k"]) & b["_bucket"].eqNullSafe(pb["_kb"])
     return (
-        b.join(per_bucket, [key, "_bucket"])
+        b.join(pb, cond, "inner")
+        .drop("_k", "_kb")
         .withColumn(name, F.col("_off") + F.row_number().over(local))
         .drop("_bucket", "_off")
     )

@@ -51,7 +51,8 @@ def first_user_labels() -> list[Column]:
 
 
 def session_facts(events: DataFrame, as_of: dt.date, days: int = 60) -> DataFrame:
-    """Shared per-session table (R13 columns plus a purchase flag).
+    """Shared per-session table (R13 columns plus a purchase flag and the
+    greatest account id).
 
     R13, R12 and R2 are all re-aggregations of this one relation, so a chain
     that needs several of them scans the window and shuffles it once.
@@ -61,6 +62,7 @@ def session_facts(events: DataFrame, as_of: dt.date, days: int = 60) -> DataFram
         F.max(session_engaged()).alias("session_engaged"),
         *max_labels(),
         F.max(F.when(F.col("event_name") == "purchase", F.lit(1))).cast("bigint").alias("purchase_flag"),
+        F.max("user_id").alias("user_id"),
     )
 
 
