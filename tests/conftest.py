@@ -11,7 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    ckpt = tempfile.mkdtemp(prefix="clickfold-test-ckpt-", dir="/tmp")
     s = (
         SparkSession.builder.master("local[*]")
         .appName("clickfold-tests")
@@ -20,9 +19,15 @@ def spark():
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", ckpt)
+        .config("spark.sql.maxMetadataStringLength", "4096")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    # use the cluster's spark.checkpoint.dir; a scratch folder only if unset
+    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir", None)):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clickfold-test-ckpt-", dir="/tmp"))
+    from clickfold.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(s)
     yield s
     s.stop()
