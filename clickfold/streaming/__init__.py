@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reports are batch queries over a date-sharded export; the reference has
+no stream source, watermark, window over event time or stateful operator.
+Freshness comes from the intraday shard, which every batch window that
+includes today already reads (see `sources.events.in_window`).
+"""
