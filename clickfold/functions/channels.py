@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clickfold.functions._cache import per_context
+
 # --- fixed values: the channel rules' patterns and lists -------------------
 # Patterns are partial-match regular expressions over the raw text.
 SHOPPING_SOURCES = "alibaba|amazon|google shopping|shopify|etsy|ebay|stripe|walmart"
@@ -39,6 +41,7 @@ def _has(col: Column, pattern: str) -> Column:
     return col.rlike(_re(pattern))
 
 
+@per_context
 def channel_group(source: Column | str, medium: Column | str, campaign: Column | str) -> Column:
     """One of CHANNELS for a (source, medium, campaign) triple."""
     s = F.col(source) if isinstance(source, str) else source

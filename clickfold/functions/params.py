@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clickfold.functions._cache import per_context
+
 _KINDS = {"string": "string_value", "int": "int_value"}
 
 
+@per_context
 def event_param(key: str, kind: str = "string", *, strict: bool = False, params: str = "event_params") -> Column:
     """Value of parameter `key` of the row's event, NULL when absent.
 
@@ -28,16 +31,19 @@ def event_param(key: str, kind: str = "string", *, strict: bool = False, params:
     return value
 
 
+@per_context
 def session_id() -> Column:
     """`ga_session_id` as bigint (NULL when the event has none)."""
     return event_param("ga_session_id", "int")
 
 
+@per_context
 def session_id_concat() -> Column:
     """User id text followed by the session id; NULL when either is NULL."""
     return F.concat(F.col("user_pseudo_id"), session_id().cast("string"))
 
 
+@per_context
 def session_engaged(int_fallback: bool = True) -> Column:
     """Per-event engaged flag as text: the string value, else the int value
     as text. `int_fallback=False` reads the string value only."""
