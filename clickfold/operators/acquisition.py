@@ -20,9 +20,12 @@ from clickfold.operators.sessions import first_labels, first_user_labels
 from clickfold.sources.events import in_window
 
 
-def _session_measures(engaged: Column) -> list[Column]:
+def _session_measures(engaged: Column, specific_event: str | None = None) -> list[Column]:
     is_start = F.col("event_name") == "session_start"
-    return [
+    extra = [] if specific_event is None else [
+        F.count_if(F.col("event_name") == F.lit(specific_event)).alias("specific_event_count")
+    ]
+    return [*extra,
         F.min(F.to_date(F.col("event_date"), "yyyyMMdd")).alias("date"),
         F.max(F.when(is_start, event_param("ga_session_number", "int"))).alias("session_number"),
         F.max(engaged).alias("session_engaged"),
@@ -33,10 +36,12 @@ def _session_measures(engaged: Column) -> list[Column]:
     ]
 
 
-def _report_measures() -> list[Column]:
+def _report_measures(specific_event: str | None = None) -> list[Column]:
+    extra = [] if specific_event is None else [F.sum("specific_event_count").alias("specific_event_count")]
     return [
         F.sum(F.col("engagement_time_msec") / F.lit(1000)).alias("engagement_time"),
         F.sum("event_count").alias("total_event_count"),
+        *extra,
         F.sum("conversions").alias("conversions"),
         F.coalesce(F.sum("total_revenue"), F.lit(0.0)).alias("total_revenue"),
     ]
@@ -47,42 +52,65 @@ def _active(user: Column) -> Column:
     return F.count_distinct(F.when(cond, user))
 
 
-def traffic_sessions(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+def _source_medium(source: str, medium: str) -> Column:
+    return F.concat(F.col(source), F.lit(" / "), F.col(medium))
+
+
+def traffic_sessions(
+    events: DataFrame, as_of: dt.date, days: int = 30, *, specific_event: str | None = None
+) -> DataFrame:
     """Session facts of R14: first non-NULL source/medium/campaign in time,
     engaged flag from the string value only."""
     ev = in_window(events, as_of, days)
     return ev.groupBy(F.col("user_pseudo_id"), session_id_concat().alias("session_id")).agg(
-        *first_labels(), *_session_measures(session_engaged(int_fallback=False))
+        *first_labels(), *_session_measures(session_engaged(int_fallback=False), specific_event)
     )
 
 
-def traffic_acquisition(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
-    """Sessions by date, channel group, source, medium and campaign."""
-    prep = traffic_sessions(events, as_of, days)
+def traffic_acquisition(
+    events: DataFrame,
+    as_of: dt.date,
+    days: int = 30,
+    *,
+    specific_event: str | None = None,
+    with_source_medium: bool = False,
+) -> DataFrame:
+    """Sessions by date, channel group, source, medium and campaign.
+
+    Options the source report keeps commented out: `specific_event` adds
+    `specific_event_count` (events of that name); `with_source_medium` adds
+    the combined `session_source_medium` ('source / medium') dimension.
+    """
+    prep = traffic_sessions(events, as_of, days, specific_event=specific_event)
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
+    dims = [
+        F.col("date"),
+        F.col("session_default_channel_group"),
+        F.col("source").alias("session_source"),
+        F.col("medium").alias("session_medium"),
+    ]
+    if with_source_medium:
+        dims.append(_source_medium("source", "medium").alias("session_source_medium"))
+    dims.append(F.col("campaign").alias("session_campaign"))
     return (
         prep.select(
             "*", channel_group("source", "medium", "campaign").alias("session_default_channel_group")
         )
-        .groupBy(
-            F.col("date"),
-            F.col("session_default_channel_group"),
-            F.col("source").alias("session_source"),
-            F.col("medium").alias("session_medium"),
-            F.col("campaign").alias("session_campaign"),
-        )
+        .groupBy(*dims)
         .agg(
             F.count_distinct(user).alias("total_users"),
             _active(user).alias("active_users"),
             F.count_distinct(sid).alias("sessions"),
             F.count_distinct(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
-            *_report_measures(),
+            *_report_measures(specific_event),
         )
         .orderBy(F.desc("total_users"))
     )
 
 
-def user_sessions(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+def user_sessions(
+    events: DataFrame, as_of: dt.date, days: int = 30, *, specific_event: str | None = None
+) -> DataFrame:
     """Session facts of R15, keyed by session and the row's first-user
     source/medium/campaign (a session can appear under several)."""
     ev = in_window(events, as_of, days).select(
@@ -90,15 +118,32 @@ def user_sessions(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFram
     )
     return ev.groupBy(
         "user_pseudo_id", F.col("_sid").alias("session_id"), "first_source", "first_medium", "first_campaign"
-    ).agg(*_session_measures(session_engaged()))
+    ).agg(*_session_measures(session_engaged(), specific_event))
 
 
-def user_acquisition(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+def user_acquisition(
+    events: DataFrame,
+    as_of: dt.date,
+    days: int = 30,
+    *,
+    specific_event: str | None = None,
+    with_source_medium: bool = False,
+) -> DataFrame:
     """First-user acquisition with new/returning users. Sessions are
-    counted without DISTINCT, as in the source report."""
-    prep = user_sessions(events, as_of, days)
+    counted without DISTINCT, as in the source report. Options as in R14
+    (`first_user_source_medium`)."""
+    prep = user_sessions(events, as_of, days, specific_event=specific_event)
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
     num = F.col("session_number")
+    dims = [
+        F.col("date"),
+        F.col("first_user_default_channel_group"),
+        F.col("first_source").alias("first_user_source"),
+        F.col("first_medium").alias("first_user_medium"),
+    ]
+    if with_source_medium:
+        dims.append(_source_medium("first_source", "first_medium").alias("first_user_source_medium"))
+    dims.append(F.col("first_campaign").alias("first_user_campaign"))
     return (
         prep.select(
             "*",
@@ -106,13 +151,7 @@ def user_acquisition(events: DataFrame, as_of: dt.date, days: int = 30) -> DataF
                 "first_user_default_channel_group"
             ),
         )
-        .groupBy(
-            F.col("date"),
-            F.col("first_user_default_channel_group"),
-            F.col("first_source").alias("first_user_source"),
-            F.col("first_medium").alias("first_user_medium"),
-            F.col("first_campaign").alias("first_user_campaign"),
-        )
+        .groupBy(*dims)
         .agg(
             F.count_distinct(user).alias("total_users"),
             _active(user).alias("active_users"),
@@ -120,7 +159,7 @@ def user_acquisition(events: DataFrame, as_of: dt.date, days: int = 30) -> DataF
             F.count_distinct(F.when(num > 1, user)).alias("returning_users"),
             F.count(sid).alias("sessions"),
             F.count(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
-            *_report_measures(),
+            *_report_measures(specific_event),
         )
         .orderBy(F.desc("total_users"))
     )

@@ -78,6 +78,21 @@ for _days, _sfx in ((30, ""), (10, "_10d")):
     def _r15(spark, sf_dir, _d=_days):
         return acquisition.user_acquisition(_ev(spark, sf_dir), AS_OF, _d)
 
+
+@register("r14_traffic_acquisition_options")
+def _r14o(spark, sf_dir):
+    """R14 with the optional specific-event count and source/medium column."""
+    return acquisition.traffic_acquisition(
+        _ev(spark, sf_dir), AS_OF, 30, specific_event="add_to_cart", with_source_medium=True
+    )
+
+
+@register("r15_user_acquisition_options")
+def _r15o(spark, sf_dir):
+    return acquisition.user_acquisition(
+        _ev(spark, sf_dir), AS_OF, 30, specific_event="add_to_cart", with_source_medium=True
+    )
+
 from clickfold.operators import commerce, funnel  # noqa: E402
 
 for _days, _sfx in ((60, ""), (10, "_10d")):

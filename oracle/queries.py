@@ -91,22 +91,26 @@ SQL["r02_buyer_behavior_by_campaign_10d"] = with_base("SELECT * FROM bb", _r02_c
 
 
 # ---------------------------------------------------------------- R14
-def _r14(days: int) -> str:
+def _r14(days: int, specific: str | None = None, source_medium: bool = False) -> str:
+    sm = "source || ' / ' || medium AS session_source_medium," if source_medium else ""
+    ngroup = 6 if source_medium else 5
+    spec_out = "CAST(sum(specific_event_count) AS BIGINT) AS specific_event_count," if specific else ""
+    spec_in = f"count_if(event_name = '{specific}') AS specific_event_count," if specific else ""
     body = f"""
 SELECT date, {channel_case('source', 'medium', 'campaign')} AS session_default_channel_group,
-  source AS session_source, medium AS session_medium, campaign AS session_campaign,
+  source AS session_source, medium AS session_medium, {sm} campaign AS session_campaign,
   count(DISTINCT user_pseudo_id) AS total_users,
   count(DISTINCT CASE WHEN engagement_time_msec > 0 OR session_engaged = '1' THEN user_pseudo_id END) AS active_users,
   count(DISTINCT session_id) AS sessions,
   count(DISTINCT CASE WHEN session_engaged = '1' THEN session_id END) AS engaged_sessions,
   round(sum(engagement_time_msec / 1000), 6) AS engagement_time,
-  CAST(sum(event_count) AS BIGINT) AS total_event_count,
+  CAST(sum(event_count) AS BIGINT) AS total_event_count, {spec_out}
   CAST(sum(conversions) AS BIGINT) AS conversions,
   round(ifnull(sum(total_revenue), 0), 6) AS total_revenue
-FROM prep GROUP BY 1, 2, 3, 4, 5"""
+FROM prep GROUP BY {', '.join(str(i) for i in range(1, ngroup + 1))}"""
     return with_base(body, f"""
 prep AS (
-  SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id,
+  SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id, {spec_in}
     min(CAST(strptime(event_date, '%Y%m%d') AS DATE)) AS date,
     coalesce(first(source ORDER BY event_timestamp, source) FILTER (WHERE source IS NOT NULL), '(direct)') AS source,
     coalesce(first(medium ORDER BY event_timestamp, medium) FILTER (WHERE medium IS NOT NULL), '(none)') AS medium,
@@ -123,13 +127,18 @@ prep AS (
 
 SQL["r14_traffic_acquisition"] = _r14(30)
 SQL["r14_traffic_acquisition_10d"] = _r14(10)
+SQL["r14_traffic_acquisition_options"] = _r14(30, "add_to_cart", True)
 
 
 # ---------------------------------------------------------------- R15
-def _r15(days: int) -> str:
+def _r15(days: int, specific: str | None = None, source_medium: bool = False) -> str:
+    sm = "first_source || ' / ' || first_medium AS first_user_source_medium," if source_medium else ""
+    ngroup = 6 if source_medium else 5
+    spec_out = "CAST(sum(specific_event_count) AS BIGINT) AS specific_event_count," if specific else ""
+    spec_in = f"count_if(event_name = '{specific}') AS specific_event_count," if specific else ""
     body = f"""
 SELECT date, {channel_case('first_source', 'first_medium', 'first_campaign')} AS first_user_default_channel_group,
-  first_source AS first_user_source, first_medium AS first_user_medium, first_campaign AS first_user_campaign,
+  first_source AS first_user_source, first_medium AS first_user_medium, {sm} first_campaign AS first_user_campaign,
   count(DISTINCT user_pseudo_id) AS total_users,
   count(DISTINCT CASE WHEN engagement_time_msec > 0 OR session_engaged = '1' THEN user_pseudo_id END) AS active_users,
   count(DISTINCT CASE WHEN session_number = 1 THEN user_pseudo_id END) AS new_users,
@@ -137,13 +146,13 @@ SELECT date, {channel_case('first_source', 'first_medium', 'first_campaign')} AS
   count(session_id) AS sessions,
   count(CASE WHEN session_engaged = '1' THEN session_id END) AS engaged_sessions,
   round(sum(engagement_time_msec / 1000), 6) AS engagement_time,
-  CAST(sum(event_count) AS BIGINT) AS total_event_count,
+  CAST(sum(event_count) AS BIGINT) AS total_event_count, {spec_out}
   CAST(sum(conversions) AS BIGINT) AS conversions,
   round(ifnull(sum(total_revenue), 0), 6) AS total_revenue
-FROM prep GROUP BY 1, 2, 3, 4, 5"""
+FROM prep GROUP BY {', '.join(str(i) for i in range(1, ngroup + 1))}"""
     return with_base(body, f"""
 prep AS (
-  SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id,
+  SELECT user_pseudo_id, user_pseudo_id || CAST(ga_session_id AS VARCHAR) AS session_id, {spec_in}
     coalesce(ts_source, '(direct)') AS first_source,
     coalesce(ts_medium, '(none)') AS first_medium,
     coalesce(ts_name, '(not set)') AS first_campaign,
@@ -155,11 +164,12 @@ prep AS (
     count_if(event_name = 'purchase') AS conversions,
     sum(purchase_revenue) AS total_revenue
   FROM ev WHERE {win(days)}
-  GROUP BY 1, 2, 3, 4, 5)""")
+  GROUP BY user_pseudo_id, 2, first_source, first_medium, first_campaign)""")
 
 
 SQL["r15_user_acquisition"] = _r15(30)
 SQL["r15_user_acquisition_10d"] = _r15(10)
+SQL["r15_user_acquisition_options"] = _r15(30, "add_to_cart", True)
 
 _ = (d, raw_win, r6)
 
