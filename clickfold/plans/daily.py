@@ -19,22 +19,22 @@ from clickfold.sources.events import read_table, write_table
 
 # report name -> table name used by the reports that read it
 TABLES = {
-    "r13": "source_medium_campaign_by_session",
-    "r08": "items_agg_by_session_last_60_days",
-    "r08_30": "items_agg_by_session_last_30_days",
-    "r12": "session_user_count_by_source_medium_campaign",
-    "r03": "buyer_behavior_by_user_pseudo_id",
-    "r02": "buyer_behavior_by_source_medium_campaign",
-    "r04": "cart_abandonment_yesterday_by_session",
-    "r01": "abandoned_cart_user_ids",
-    "r05": "closed_funnel_30_day_by_date_and_first_page_view",
-    "r06": "closed_funnel_30_day_by_first_page_view",
-    "r07": "geo_location_by_user_and_session",
-    "r10": "rule_based_attribution_modeling_source_medium",
-    "r11": "rule_based_attribution_modeling_source_medium_campaign",
-    "r14": "traffic_acq_30_day",
-    "r15": "user_aquisition_30_day",
-    "r09": "medium_email_summary_stats",
+    "r13": "session_source_60d",
+    "r08": "items_by_session_60d",
+    "r08_30": "items_by_session_30d",
+    "r12": "session_user_counts_60d",
+    "r03": "buyers_by_device_60d",
+    "r02": "buyer_mix_by_campaign_60d",
+    "r04": "cart_abandonment_2d",
+    "r01": "abandoned_cart_messages",
+    "r05": "closed_funnel_by_date_30d",
+    "r06": "closed_funnel_30d",
+    "r07": "geo_by_session_30d",
+    "r10": "attribution_source_medium",
+    "r11": "attribution_source_medium_campaign",
+    "r14": "traffic_acquisition_30d",
+    "r15": "user_acquisition_30d",
+    "r09": "email_campaign_stats",
 }
 
 

@@ -111,37 +111,34 @@ def raw_win(days: int, end: int) -> str:
     return f"suffix BETWEEN '{d(days)}' AND '{d(end)}'"
 
 
-CHANNEL_CASE = r"""CASE
-    WHEN {s} = '(direct)' AND {m} IN ('(not set)', '(none)') THEN 'Direct'
-    WHEN regexp_matches({c}, 'cross-network') THEN 'Cross-network'
-    WHEN (regexp_matches({s}, 'alibaba|amazon|google shopping|shopify|etsy|ebay|stripe|walmart')
-          OR regexp_matches({c}, '^(.*(([^a-df-z]|^)shop|shopping).*)$'))
-         AND regexp_matches({m}, '^(.*cp.*|ppc|paid.*)$') THEN 'Paid Shopping'
-    WHEN regexp_matches({s}, 'baidu|bing|duckduckgo|ecosia|google|yahoo|yandex')
-         AND regexp_matches({m}, '^(.*cp.*|ppc|paid.*)$') THEN 'Paid Search'
-    WHEN regexp_matches({s}, 'badoo|facebook|fb|instagram|linkedin|pinterest|tiktok|twitter|whatsapp')
-         AND regexp_matches({m}, '^(.*cp.*|ppc|paid.*)$') THEN 'Paid Social'
-    WHEN regexp_matches({s}, 'dailymotion|disneyplus|netflix|youtube|vimeo|twitch')
-         AND regexp_matches({m}, '^(.*cp.*|ppc|paid.*)$') THEN 'Paid Video'
-    WHEN {m} IN ('display', 'banner', 'expandable', 'interstitial', 'cpm') THEN 'Display'
-    WHEN regexp_matches({s}, 'alibaba|amazon|google shopping|shopify|etsy|ebay|stripe|walmart')
-         OR regexp_matches({c}, '^(.*(([^a-df-z]|^)shop|shopping).*)$') THEN 'Organic Shopping'
-    WHEN regexp_matches({s}, 'badoo|facebook|fb|instagram|linkedin|pinterest|tiktok|twitter|whatsapp')
-         OR {m} IN ('social', 'social-network', 'social-media', 'sm', 'social network', 'social media') THEN 'Organic Social'
-    WHEN regexp_matches({s}, 'dailymotion|disneyplus|netflix|youtube|vimeo|twitch')
-         OR regexp_matches({m}, '^(.*video.*)$') THEN 'Organic Video'
-    WHEN regexp_matches({s}, 'baidu|bing|duckduckgo|ecosia|google|yahoo|yandex') OR {m} = 'organic' THEN 'Organic Search'
-    WHEN regexp_matches({s}, 'email|e-mail|e_mail|e mail') OR regexp_matches({m}, 'email|e-mail|e_mail|e mail') THEN 'Email'
-    WHEN {m} = 'affiliate' THEN 'Affiliates'
-    WHEN {m} = 'referral' THEN 'Referral'
-    WHEN {m} = 'audio' THEN 'Audio'
-    WHEN {m} = 'sms' THEN 'SMS'
-    WHEN {m} LIKE '%push' OR regexp_matches({m}, 'mobile|notification') THEN 'Mobile Push Notifications'
-    ELSE 'Unassigned' END"""
+def _sql_literal(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _condition_sql(cond, cols: dict[str, str]) -> str:
+    """The channel rule table rendered as DuckDB SQL (RE2 regular
+    expressions: partial match, `$` = end of text)."""
+    op = cond[0]
+    if op in ("and", "or"):
+        return "(" + f" {op.upper()} ".join(_condition_sql(c, cols) for c in cond[1:]) + ")"
+    col, arg = cols[cond[1]], cond[2]
+    if op == "re":
+        return f"regexp_matches({col}, {_sql_literal(arg)})"
+    if op == "in":
+        return f"{col} IN ({', '.join(_sql_literal(v) for v in arg)})"
+    if op == "eq":
+        return f"{col} = {_sql_literal(arg)}"
+    if op == "like":
+        return f"{col} LIKE {_sql_literal(arg)}"
+    raise ValueError(op)
 
 
 def channel_case(s: str, m: str, c: str) -> str:
-    return CHANNEL_CASE.format(s=s, m=m, c=c)
+    from clickfold.functions.channels import FALLBACK, RULES
+
+    cols = {"source": s, "medium": m, "campaign": c}
+    whens = "\n    ".join(f"WHEN {_condition_sql(cond, cols)} THEN {_sql_literal(name)}" for name, cond in RULES)
+    return f"CASE\n    {whens}\n    ELSE {_sql_literal(FALLBACK)} END"
 
 
 def with_base(body: str, extra_ctes: str = "") -> str:
