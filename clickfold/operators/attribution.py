@@ -8,8 +8,9 @@ click, linear, time decay (by session ordinal) and position based.
 Plan shape, built for a user that holds a large share of the sessions:
 * first conversion per user: a `min(struct(...))` aggregate, not two
   row-number windows;
-* sessions: event scan restricted to converting users (semi join), then an
-  aggregate per (user, session);
+* sessions: an aggregate per (user, session) of the look-back window, then
+  an inner join with the one-row-per-user first conversions (never a join
+  on raw events);
 * session ordinal, session counts and the converting session's position:
   `ordinal_within` (bucketed, see ordinal.py), no window over all of a
   user's rows;
@@ -113,8 +114,11 @@ def attribution_sessions(
     """
     label = label_name(dims)
     conv = first_conversion(events, as_of, conversion_days)
+    # Sessions are aggregated first (map-side combined, so a user or session
+    # holding many events costs one partial row per task) and only then
+    # meet the one-row-per-user conversions. A semi join on raw events would
+    # shuffle the events themselves by user ahead of the aggregate.
     ev = in_window(events, as_of, conversion_days + acquisition_days, end_offset=1, include_intraday=False)
-    ev = ev.join(conv.select(USER), USER, "left_semi")
     sess = ev.groupBy(F.col(USER), session_id().alias("session_id")).agg(
         F.min("event_timestamp").alias("session_start"), F.max(session_label(dims)).alias(label)
     )
