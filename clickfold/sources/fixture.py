@@ -130,7 +130,7 @@ def nested_events(flat: DataFrame) -> DataFrame:
         _sparam("medium", F.when(has_traffic, traffic["medium"])),
         _sparam("campaign", F.when(has_traffic, traffic["campaign"])),
     )
-    event_params = F.filter(params, lambda p: p.isNotNull())
+    event_params = F.array_compact(params)
 
     is_purchase = event_name == "purchase"
     price = (F.floor(value) + F.lit(0.5) * (k % 2)).cast("double")
