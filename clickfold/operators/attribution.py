@@ -12,8 +12,8 @@ Plan shape, built for a user that holds a large share of the sessions:
   an inner join with the one-row-per-user first conversions (never a join
   on raw events);
 * session ordinal, session counts and the converting session's position:
-  `ordinal_within` (bucketed, see ordinal.py), no window over all of a
-  user's rows;
+  `ordinal_within` over the range partitions the session rows were written
+  with (see ordinal.py), no window over all of a user's rows;
 * time decay's denominator: closed form of sum_{j=1..m} 2^(j/n);
 * last non-direct click: one `max_by` aggregate per user;
 * six weights become rows with one `explode` and one final aggregate.
@@ -101,10 +101,11 @@ def attribution_sessions(
 ) -> DataFrame:
     """Sessions of converting users in the look-back window, numbered.
 
-    With `materialize` (default) the session rows are written once as a
-    scratch table before numbering; the numbering, the per-user totals and
-    the last non-direct step all read it, so the event window is scanned
-    once.
+    With `materialize` (default) the first conversions and the session
+    rows are written once as scratch tables: the numbering, the per-user
+    totals and the last non-direct step all read the session table, so the
+    event window is scanned once, and the sessions-to-conversions join can
+    be split by AQE when one user has very many sessions.
 
     Columns: user_pseudo_id, session_id, session_start (micros), <label>,
     conversion_id (on the converting session only), session_number (by
@@ -114,6 +115,12 @@ def attribution_sessions(
     """
     label = label_name(dims)
     conv = first_conversion(events, as_of, conversion_days)
+    if materialize:
+        # Read back from a table, the conversions reach the join through a
+        # plain shuffle like the sessions do, so AQE can split a user with a
+        # huge number of sessions across tasks (its skew-join rule only
+        # applies when both join inputs are shuffles it inserted).
+        conv = scratch_table(conv, "first_conversions")
     # Sessions are aggregated first (map-side combined, so a user or session
     # holding many events costs one partial row per task) and only then
     # meet the one-row-per-user conversions. A semi join on raw events would
@@ -134,22 +141,35 @@ def attribution_sessions(
             F.when(F.col("session_id") == F.col("_conv_sid"), F.col("conversion_id")).alias("conversion_id"),
         )
     )
+    order = [start.asc(), F.col("session_id").asc_nulls_first()]
     if materialize:
+        # Range-partition by (user, start, session) while writing: the
+        # partition index is then an order-preserving bucket whose sizes
+        # Spark balances by sampling, so a user with a huge number of
+        # sessions is spread over many buckets. Stored in the table, the
+        # index stays fixed when a task is retried.
+        rows = (
+            rows.repartitionByRange(F.col(USER), *order)
+            .withColumn("_range", F.spark_partition_id().cast("bigint"))
+        )
         rows = scratch_table(rows, "attribution_sessions")
+        bucket = F.col("_range")
+    else:
+        bucket = F.floor(F.col("session_start") / F.lit(MINUTE_MICROS))
     start = F.col("session_start")
     key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
     return ordinal_within(
         rows,
         USER,
         [start.asc(), F.col("session_id").asc_nulls_first()],
-        bucket_of=F.floor(start / F.lit(MINUTE_MICROS)),
+        bucket_of=bucket,
         name="session_number",
         bucket_aggs={
             "session_rows": (F.count(F.lit(1)), "sum"),
             "total_session_per_user": (F.count("session_id"), "sum"),
             "conv_key": (F.max(F.when(F.col("conversion_id").isNotNull(), key)), "max"),
         },
-    )
+    ).drop("_range")
 
 
 def _decay_total(m: Column, n: Column) -> Column:

@@ -2,15 +2,20 @@
 
 `row_number() over (partition by key order by t)` sends every row of a key to
 one task; one user holding a third of the rows would stall the job. Here the
-rows of each key are cut into fixed-width buckets of the (numeric) order
-column `t`:
+rows of each key are cut into buckets that follow the order:
 
 1. count rows per (key, bucket)      - aggregate, combined map-side;
-2. prefix-sum the counts per key     - window over bucket rows only, at
-   most (span of t) / width of them per key, whatever the row count;
+2. prefix-sum the counts per key     - window over bucket rows only (one
+   row per bucket the key touches);
 3. number rows within (key, bucket)  - window over one bucket, plus the
    offset of step 2 (joined on (key, bucket)).
 
+Good buckets are the partitions of `repartitionByRange(key, t, ...)`,
+stored with the rows (`spark_partition_id()` written into a table): Spark
+sizes them by sampling, so a hot key spans many equal buckets and step 2
+holds at most one row per partition. Fixed-width time buckets
+(`floor(t / width)`) also work and need no write.
+
 The result equals the plain window's row number for the same order.
 Per-key totals ride along from step 2, so callers get counts without
 another aggregation.
