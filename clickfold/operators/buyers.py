@@ -94,8 +94,3 @@ def session_user_counts(events: DataFrame, as_of: dt.date, days: int = 60) -> Da
     """Sessions, engaged sessions and users per source/medium/campaign."""
     return session_user_counts_from(session_facts(events, as_of, days))
 
-
-__all__ = [
-    "buyer_behavior_by_campaign", "buyer_behavior_by_campaign_from", "buyer_behavior_by_user",
-    "in_window", "purchasing_sessions", "session_user_counts", "session_user_counts_from",
-]

@@ -16,7 +16,7 @@ import threading
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.schema import BUYER_SCHEMA, CAMPAIGN_METRICS, EVENT_SCHEMA
+from clickfold.schema import CAMPAIGN_METRICS, EVENT_SCHEMA
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import read_events
 
