@@ -230,11 +230,13 @@ def attribution(
     conversion_days: int = 30,
     acquisition_days: int = 30,
     dims: tuple[str, ...] = ("source", "medium"),
+    *,
+    materialize: bool = True,
 ) -> DataFrame:
     """R10 (dims source, medium) / R11 (source, medium, campaign): summed
     credit per model and label."""
     label = label_name(dims)
-    raw = attribution_sessions(events, as_of, conversion_days, acquisition_days, dims)
+    raw = attribution_sessions(events, as_of, conversion_days, acquisition_days, dims, materialize=materialize)
     w = model_weights(raw)
     # (model, weight column, keep rows without weight?)
     arms = [
