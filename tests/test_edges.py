@@ -299,3 +299,46 @@ def test_attribution_drops_sessions_outside_lookback(spark):
     ]
     got = _attr(spark, rows_, dims=("source", "medium", "campaign"))
     assert set(k[1] for k in got) == {"s/x/(none)"}
+
+
+@pytest.mark.parametrize(
+    "report, days",
+    [
+        (lambda df, d: sessions.session_source(df, AS_OF, d), 60),
+        (lambda df, d: buyers.session_user_counts(df, AS_OF, d), 60),
+        (lambda df, d: commerce.items_by_session(df, AS_OF, d), 60),
+        (lambda df, d: sessions.geo_by_session(df, AS_OF, d), 30),
+        (lambda df, d: funnel.closed_funnel(df, AS_OF, d, by_date=False), 30),
+        (lambda df, d: acquisition.user_acquisition(df, AS_OF, d), 30),
+        (lambda df, d: commerce.cart_abandonment(df, AS_OF, d), 1),
+    ],
+)
+def test_first_day_of_window_is_in_the_day_before_is_out(spark, report, days):
+    first = AS_OF - dt.timedelta(days=days)
+    before = first - dt.timedelta(days=1)
+
+    def rows_on(day):
+        t = dt.datetime(day.year, day.month, day.day, 12)
+        return [
+            ev("w", t, "page_view", sid=1, user_id="1", params={"page_title": "A | b", "source": "s"}),
+            ev("w", t + dt.timedelta(minutes=1), "add_to_cart", sid=1, user_id="1", items=[item("SKU", "Show", 1.0, 1)]),
+            ev("w", t + dt.timedelta(minutes=2), "purchase", sid=2, user_id="1", items=[item("SKU", "Show", 1.0, 1, 1.0)]),
+        ]
+
+    assert report(events(spark, rows_on(first)), days).count() > 0
+    assert report(events(spark, rows_on(before)), days).count() == 0
+
+
+def test_attribution_window_edges(spark):
+    # conversions: as_of - 10 .. as_of - 1 (daily shards); look-back 10 days before the conversion
+    conv_day = AS_OF - dt.timedelta(days=10)
+    t = dt.datetime(conv_day.year, conv_day.month, conv_day.day, 12)
+    rows_ = [
+        ev("a", t, "purchase", sid=5, params={"source": "conv", "medium": "m"}),
+        ev("a", t - dt.timedelta(days=10), "page_view", sid=4, params={"source": "edge", "medium": "m"}),
+        ev("a", t - dt.timedelta(days=10, seconds=1), "page_view", sid=3, params={"source": "early", "medium": "m"}),
+        ev("b", t - dt.timedelta(days=1), "purchase", sid=1, params={"source": "old", "medium": "m"}),
+    ]
+    got = attribution.attribution(events(spark, rows_), AS_OF, 10, 10).collect()
+    labels = {r["source_medium"] for r in got}
+    assert labels == {"conv/m", "edge/m"}  # 'early' is outside the look-back, 'b' converted before the window
