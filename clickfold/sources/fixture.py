@@ -15,12 +15,13 @@ import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickfold.schema import CAMPAIGN_METRICS, EVENT_SCHEMA
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import read_events
 
-FIXTURE_VERSION = "1"
+FIXTURE_VERSION = "2"
 
 # --- fixed values of the fixture mapping (FIXTURES.md section 3) -----------
 EPOCH_DAY = "2024-01-01"
@@ -98,13 +99,27 @@ def _item(item_id: Column, name: Column, price: Column, qty: Column, revenue: Co
     )
 
 
+def _epoch_micros(flat: DataFrame) -> Column:
+    """Microseconds since the epoch of `ts`, whatever the session time zone:
+    a TIMESTAMP_NTZ (Spark's default for this file) is wall-clock UTC, a
+    TIMESTAMP already is an instant."""
+    if isinstance(flat.schema["ts"].dataType, T.TimestampNTZType):
+        return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return F.unix_micros(F.col("ts"))
+
+
 def nested_events(flat: DataFrame) -> DataFrame:
-    """Project the flat driver table onto EVENT_SCHEMA."""
+    """Project the flat driver table onto EVENT_SCHEMA. Every date is taken
+    from the microsecond time by arithmetic, so no session time zone enters."""
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("bigint")
+    micros = _epoch_micros(flat)
+    day = F.date_from_unix_date(F.floor(micros / F.lit(86_400_000_000)).cast("int"))
     base = flat.select(
-        "event_id", "ts", "user_id", "event_type", "value",
+        "event_id", "user_id", "event_type", "value",
         k.alias("_k"),
-        F.datediff(F.to_date("ts"), F.lit(EPOCH_DAY).cast("date")).alias("_dd"),
+        micros.alias("_us"),
+        day.alias("_day"),
+        F.datediff(day, F.lit(EPOCH_DAY).cast("date")).alias("_dd"),
     )
     k, dd, uid, eid, value = (F.col(c) for c in ("_k", "_dd", "user_id", "event_id", "value"))
 
@@ -159,9 +174,8 @@ def nested_events(flat: DataFrame) -> DataFrame:
         F.when(k % 6 != 0, F.concat(F.lit("T"), (uid % 50).cast("string"))).alias("city"),
         F.concat(F.lit("M"), (uid % 20).cast("string")).alias("metro"),
     )
-    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     out = base.select(
-        micros.alias("event_timestamp"),
+        F.col("_us").alias("event_timestamp"),
         event_name.alias("event_name"),
         event_params.alias("event_params"),
         F.when(uid % 3 != 0, uid.cast("string")).alias("user_id"),
@@ -170,8 +184,8 @@ def nested_events(flat: DataFrame) -> DataFrame:
         F.struct(F.when(is_purchase, value).alias("purchase_revenue")).alias("ecommerce"),
         first_user.alias("traffic_source"),
         geo.alias("geo"),
-        F.date_format("ts", "yyyyMMdd").alias("event_date"),
-        F.when(F.to_date("ts") == F.lit(INTRADAY_DATE).cast("date"), F.lit("intraday"))
+        F.date_format("_day", "yyyyMMdd").alias("event_date"),
+        F.when(F.col("_day") == F.lit(INTRADAY_DATE).cast("date"), F.lit("intraday"))
         .otherwise(F.lit("daily")).alias("export_kind"),
     )
     return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields])

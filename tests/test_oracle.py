@@ -56,3 +56,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[:2] == ["date", "session_default_channel_group"]
+
+
+def test_reports_do_not_depend_on_session_time_zone(spark, con_small):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Kiritimati")  # UTC+14
+    try:
+        for name in ("r05_closed_funnel_by_date", "r14_traffic_acquisition", "r10_attribution_source_medium_10_10"):
+            r = compare(QUERIES[name](spark, SMALL), con_small, SQL[name])
+            assert r.ok, (name, r)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
