@@ -94,3 +94,17 @@ def session_user_counts(events: DataFrame, as_of: dt.date, days: int = 60) -> Da
     """Sessions, engaged sessions and users per source/medium/campaign."""
     return session_user_counts_from(session_facts(events, as_of, days))
 
+
+
+def buyer_reports(
+    events: DataFrame, buyers: DataFrame, as_of: dt.date, days: int = 60, *, materialize: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """R3 and R2 together from one per-session table (written once as a
+    scratch table with `materialize`, so the window is scanned once)."""
+    from clickfold.sources.tables import scratch_table
+
+    facts = session_facts(events, as_of, days)
+    if materialize:
+        facts = scratch_table(facts, "session_facts")
+    by_user = buyer_behavior_by_user_from(user_accounts(facts), buyers)
+    return by_user, buyer_behavior_by_campaign_from(facts, by_user)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickfold.operators import acquisition, attribution, buyers, commerce, email, funnel, sessions
 from clickfold.sources.events import read_table, write_table
+from clickfold.sources.tables import scratch_table
 
 # report name -> table name used by the reports that read it
 TABLES = {
@@ -59,12 +60,14 @@ def save_reports(
         out[key] = path
         return read_table(spark, path)
 
-    r13 = save("r13", sessions.session_source(events, as_of, 60))
+    # R13, R12, R3 and R2 re-aggregate one per-session table: scan once
+    facts = scratch_table(sessions.session_facts(events, as_of, 60), "session_facts")
+    r13 = save("r13", facts.select("user_pseudo_id", "session_id", "session_engaged", "source", "medium", "campaign"))
     save("r08", commerce.items_by_session(events, as_of, 60))
     r8_30 = save("r08_30", commerce.items_by_session(events, as_of, 30))
-    r12 = save("r12", buyers.session_user_counts(events, as_of, 60))
-    r3 = save("r03", buyers.buyer_behavior_by_user(events, buyer_flags, as_of, 60))
-    r2 = save("r02", buyers.buyer_behavior_by_campaign(events, r3, as_of, 60))
+    r12 = save("r12", buyers.session_user_counts_from(facts))
+    r3 = save("r03", buyers.buyer_behavior_by_user_from(buyers.user_accounts(facts), buyer_flags))
+    r2 = save("r02", buyers.buyer_behavior_by_campaign_from(facts, r3))
     r4 = save("r04", commerce.cart_abandonment(events, as_of, 1))
     save("r01", commerce.abandoned_cart_user_ids(r4))
     save("r05", funnel.closed_funnel(events, as_of, 30, by_date=True))

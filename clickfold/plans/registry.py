@@ -63,9 +63,7 @@ for _days, _sfx in ((60, ""), (10, "_10d")):
 
     @register(f"r02_buyer_behavior_by_campaign{_sfx}")
     def _r02(spark, sf_dir, _d=_days):
-        ev = _ev(spark, sf_dir)
-        by_user = buyers.buyer_behavior_by_user(ev, buyers_for(spark, sf_dir), AS_OF, _d)
-        return buyers.buyer_behavior_by_campaign(ev, by_user, AS_OF, _d)
+        return buyers.buyer_reports(_ev(spark, sf_dir), buyers_for(spark, sf_dir), AS_OF, _d)[1]
 
 
 for _days, _sfx in ((30, ""), (10, "_10d")):
