@@ -223,6 +223,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 _BUILD_LOCK = threading.Lock()
+_OPENED: dict[str, DataFrame] = {}
 
 
 def export_for(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +234,8 @@ def export_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters can skip Parquet row groups."""
     path = export_path(spark, sf_dir)
     with _BUILD_LOCK:
+        if path in _OPENED:
+            return _OPENED[path]  # listed once per application
         if not _exists(spark, path):
             flat = spark.read.parquet(f"{sf_dir}/events.parquet")
             (
@@ -243,7 +246,8 @@ def export_for(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .partitionBy("event_date", "export_kind")
                 .parquet(path)
             )
-    return read_events(spark, path)
+        _OPENED[path] = read_events(spark, path)
+        return _OPENED[path]
 
 
 def nested_events_for(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,12 @@ from clickfold.session import ensure_checkpoint_dir
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` under `<spark checkpoint dir>/clickfold-tables/` and
-    return a DataFrame reading it (runs one job now)."""
+    """Write `df` under `<spark checkpoint dir>/clickfold-tables/<app id>/`
+    and return a DataFrame reading it (runs one job now). One folder per
+    application, so a finished run's intermediates can be removed as one."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/clickfold-tables/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{root}/clickfold-tables/{app}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -65,5 +65,5 @@ def test_attribution_reads_the_event_window_once(ev):
     final = final.split("== Initial Plan ==")[0]
     # the numbering and the model weights read the scratch table only
     scans = [ln for ln in final.split("\n") if "FileScan parquet" in ln]
-    assert scans and all("clickfold-tables/attribution_sessions" in ln for ln in scans)
+    assert scans and all("clickfold-tables/" in ln and "/attribution_sessions-" in ln for ln in scans)
     assert not any("event_params" in ln for ln in scans)
