@@ -14,16 +14,20 @@ _KINDS = {"string": "string_value", "int": "int_value"}
 def event_param(key: str, kind: str = "string", *, strict: bool = False, params: str = "event_params") -> Column:
     """Value of parameter `key` of the row's event, NULL when absent.
 
-    A filter over the row's own array, then the first match: no join, no
-    subquery. With `strict=True` a key present twice raises, as a scalar
-    subquery would; by default the first entry wins.
+    The position of the first entry with that key in the array of keys,
+    then the value at that position: built-in array functions over the
+    row's own array (no lambda, no join, no subquery). With `strict=True`
+    a key present twice raises, as a scalar subquery would; by default the
+    first entry wins.
     """
     field = _KINDS[kind]
-    matches = F.filter(F.col(params), lambda p: p["key"] == F.lit(key))
-    value = F.get(matches, 0)["value"][field]
+    keys = F.col(params)["key"]
+    at = F.array_position(keys, F.lit(key)).cast("int") - 1  # -1 when absent
+    value = F.get(F.col(params)["value"][field], at)
     if strict:
+        occurrences = F.size(keys) - F.size(F.array_remove(keys, F.lit(key)))
         value = F.when(
-            F.size(matches) > 1,
+            occurrences > 1,
             F.raise_error(F.lit(f"event parameter '{key}' appears more than once")).cast(
                 "string" if kind == "string" else "bigint"
             ),
