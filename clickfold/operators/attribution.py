@@ -155,13 +155,12 @@ def attribution_sessions(
         rows = scratch_table(rows, "attribution_sessions")
         bucket = F.col("_range")
     else:
-        bucket = F.floor(F.col("session_start") / F.lit(MINUTE_MICROS))
-    start = F.col("session_start")
+        bucket = F.floor(start / F.lit(MINUTE_MICROS))
     key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
     return ordinal_within(
         rows,
         USER,
-        [start.asc(), F.col("session_id").asc_nulls_first()],
+        order,
         bucket_of=bucket,
         name="session_number",
         bucket_aggs={
