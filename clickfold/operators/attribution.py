@@ -98,9 +98,14 @@ def attribution_sessions(
     dims: tuple[str, ...] = ("source", "medium"),
     *,
     materialize: bool = True,
+    extra_dims: tuple[tuple[str, ...], ...] = (),
 ) -> DataFrame:
     """Sessions of converting users in the look-back window, numbered.
 
+    `extra_dims` adds more label columns (e.g. source/medium and
+    source/medium/campaign at once): everything else is label-independent,
+    so several attribution reports can share one table.
+
     With `materialize` (default) the first conversions and the session
     rows are written once as scratch tables: the numbering, the per-user
     totals and the last non-direct step all read the session table, so the
@@ -113,7 +118,6 @@ def attribution_sessions(
     with an id), session_rows (all rows), conv_key (start and id of the
     converting session, NULL when it is not in the window).
     """
-    label = label_name(dims)
     conv = first_conversion(events, as_of, conversion_days)
     if materialize:
         # Read back from a table, the conversions reach the join through a
@@ -126,8 +130,10 @@ def attribution_sessions(
     # meet the one-row-per-user conversions. A semi join on raw events would
     # shuffle the events themselves by user ahead of the aggregate.
     ev = in_window(events, as_of, conversion_days + acquisition_days, end_offset=1, include_intraday=False)
+    labels = [dims, *[d for d in extra_dims if d != dims]]
     sess = ev.groupBy(F.col(USER), session_id().alias("session_id")).agg(
-        F.min("event_timestamp").alias("session_start"), F.max(session_label(dims)).alias(label)
+        F.min("event_timestamp").alias("session_start"),
+        *[F.max(session_label(d)).alias(label_name(d)) for d in labels],
     )
     c = conv.select(
         USER, F.col("session_id").alias("_conv_sid"), "conversion_id", F.col("conversion_timestamp").alias("_conv_ts")
@@ -137,7 +143,7 @@ def attribution_sessions(
         sess.join(c, USER)
         .where((start <= F.col("_conv_ts")) & (start >= F.col("_conv_ts") - F.lit(acquisition_days * DAY_MICROS)))
         .select(
-            USER, "session_id", "session_start", label,
+            USER, "session_id", "session_start", *[label_name(d) for d in labels],
             F.when(F.col("session_id") == F.col("_conv_sid"), F.col("conversion_id")).alias("conversion_id"),
         )
     )
@@ -234,8 +240,28 @@ def attribution(
 ) -> DataFrame:
     """R10 (dims source, medium) / R11 (source, medium, campaign): summed
     credit per model and label."""
-    label = label_name(dims)
     raw = attribution_sessions(events, as_of, conversion_days, acquisition_days, dims, materialize=materialize)
+    return attribution_from(raw, dims)
+
+
+def attribution_reports(
+    events: DataFrame,
+    as_of: dt.date,
+    conversion_days: int = 30,
+    acquisition_days: int = 30,
+    dims_list: tuple[tuple[str, ...], ...] = (("source", "medium"), ("source", "medium", "campaign")),
+) -> list[DataFrame]:
+    """R10 and R11 (or any label sets) from one numbered session table:
+    one scan of the window, one numbering, one aggregate per label set."""
+    raw = attribution_sessions(
+        events, as_of, conversion_days, acquisition_days, dims_list[0], extra_dims=tuple(dims_list[1:])
+    )
+    return [attribution_from(raw, d) for d in dims_list]
+
+
+def attribution_from(raw: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """Summed credit per model and label from `attribution_sessions` rows."""
+    label = label_name(dims)
     w = model_weights(raw)
     # (model, weight column, keep rows without weight?)
     arms = [

@@ -73,8 +73,10 @@ def save_reports(
     save("r05", funnel.closed_funnel(events, as_of, 30, by_date=True))
     save("r06", funnel.closed_funnel(events, as_of, 30, by_date=False))
     save("r07", sessions.geo_by_session(events, as_of, 30))
-    save("r10", attribution.attribution(events, as_of, 30, 30, ("source", "medium")))
-    save("r11", attribution.attribution(events, as_of, 30, 30, ("source", "medium", "campaign")))
+    # both attribution reports from one numbered session table
+    r10, r11 = attribution.attribution_reports(events, as_of, 30, 30)
+    save("r10", r10)
+    save("r11", r11)
     save("r14", acquisition.traffic_acquisition(events, as_of, 30))
     save("r15", acquisition.user_acquisition(events, as_of, 30))
     save("r09", email.email_campaign_stats_from(r13, r8_30, r12, r2, campaigns))

@@ -119,3 +119,11 @@ def test_ordinal_within_random(spark, seed):
             got = ordinal_within(df, "k", order, bucket_of=bucket, name="rn")
         want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_attribution_reports_share_one_table(ev):
+    both = attr.attribution_reports(ev, AS_OF, 10, 10)
+    for got, dims in zip(both, (("source", "medium"), ("source", "medium", "campaign"))):
+        want = attr.attribution(ev, AS_OF, 10, 10, dims)
+        r = lambda df: df.select(df.columns[0], df.columns[1], F.round("attribution_weight", 9))
+        assert r(got).exceptAll(r(want)).count() == 0 and r(want).exceptAll(r(got)).count() == 0
