@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.operators import acquisition, buyers, sessions
-from clickfold.sources.fixture import buyers_for, export_for
+from clickfold.functions.channels import channel_group
+from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat
+from clickfold.operators import acquisition, buyers, commerce, email, funnel, sessions
+from clickfold.operators import attribution as attr
+from clickfold.sources.events import in_window
+from clickfold.sources.fixture import buyers_for, campaign_table, export_for
 
 AS_OF = dt.date(2024, 1, 30)
 
@@ -91,7 +95,6 @@ def _r15o(spark, sf_dir):
         _ev(spark, sf_dir), AS_OF, 30, specific_event="add_to_cart", with_source_medium=True
     )
 
-from clickfold.operators import commerce, funnel  # noqa: E402
 
 for _days, _sfx in ((60, ""), (10, "_10d")):
 
@@ -151,7 +154,6 @@ def _m11(spark, sf_dir):
 def _m12(spark, sf_dir):
     return funnel.landing_pages(_ev(spark, sf_dir), AS_OF, 30)
 
-from clickfold.operators import attribution as attr  # noqa: E402
 
 _SM, _SMC = ("source", "medium"), ("source", "medium", "campaign")
 for (_c, _a), _sfx in (((30, 30), ""), ((10, 10), "_10_10")):
@@ -191,11 +193,6 @@ for _name, _col, _keep in (
 def _m19(spark, sf_dir):
     return attr.last_non_direct(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, 10, 10, _SM), _SM)
 
-from clickfold.functions.channels import channel_group  # noqa: E402
-from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat  # noqa: E402
-from clickfold.operators import email  # noqa: E402
-from clickfold.sources.events import in_window  # noqa: E402
-from clickfold.sources.fixture import campaign_table  # noqa: E402
 
 for _idays, _sfx in ((30, ""), (5, "_items_5d")):
 
