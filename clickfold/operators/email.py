@@ -81,6 +81,7 @@ def email_campaign_stats(
     item_days: int = 30,
     medium: str = "email",
     materialize: bool = True,
+    safe_cast: bool = False,
 ) -> DataFrame:
     """R9 from the events: the chain R13 + R8 + R12 + R3 -> R2.
 
@@ -97,4 +98,4 @@ def email_campaign_stats(
     r12 = session_user_counts_from(facts)
     r3 = buyer_behavior_by_user_from(user_accounts(facts), buyers)
     r2 = buyer_behavior_by_campaign_from(facts, r3, sort=False)
-    return email_campaign_stats_from(r13, r8, r12, r2, campaigns, medium=medium)
+    return email_campaign_stats_from(r13, r8, r12, r2, campaigns, medium=medium, safe_cast=safe_cast)

@@ -342,3 +342,17 @@ def test_attribution_window_edges(spark):
     got = attribution.attribution(events(spark, rows_), AS_OF, 10, 10).collect()
     labels = {r["source_medium"] for r in got}
     assert labels == {"conv/m", "edge/m"}  # 'early' is outside the look-back, 'b' converted before the window
+
+
+def test_mailing_metric_bad_text(spark):
+    rows_ = [ev("a", at(20), "purchase", sid=1, user_id="10",
+                params={"source": "nl", "medium": "email", "campaign": "oct-news"})]
+    from clickfold.sources.fixture import campaign_table
+
+    camp = campaign_table(spark).withColumn("opens", F.when(F.col("ldate") == "2023-10-03", F.lit("6.4e2"))
+                                            .otherwise(F.col("opens")))
+    b = spark.createDataFrame([(10, 0, 0, 1)], "const_id bigint, new int, renew int, lapsed int")
+    with pytest.raises(Exception):
+        email.email_campaign_stats(events(spark, rows_), b, camp, AS_OF).collect()
+    out = email.email_campaign_stats(events(spark, rows_), b, camp, AS_OF, safe_cast=True).collect()
+    assert sorted((r["ldate"], r["opens"]) for r in out) == [("2023-10-03", None), ("2023-10-24", 600)]
