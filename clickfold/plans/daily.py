@@ -81,3 +81,39 @@ def save_reports(
     save("r15", acquisition.user_acquisition(events, as_of, 30))
     save("r09", email.email_campaign_stats_from(r13, r8_30, r12, r2, campaigns))
     return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """python -m clickfold.plans.daily --events PATH --buyers PATH
+    --campaigns PATH --out PATH [--as-of YYYY-MM-DD] [--campaigns-format csv]"""
+    import argparse
+
+    from clickfold.session import get_spark
+    from clickfold.sources.events import read_events
+    from clickfold.sources.lookups import read_buyers, read_campaigns
+
+    ap = argparse.ArgumentParser(prog="python -m clickfold.plans.daily", description=main.__doc__)
+    ap.add_argument("--events", required=True, help="export root, partitioned by event_date/export_kind")
+    ap.add_argument("--buyers", required=True, help="buyer flags table (const_id, new, renew, lapsed)")
+    ap.add_argument("--campaigns", required=True, help="mailing statistics table")
+    ap.add_argument("--campaigns-format", default="parquet")
+    ap.add_argument("--buyers-format", default="parquet")
+    ap.add_argument("--out", required=True, help="root folder of the report tables")
+    ap.add_argument("--as-of", default=dt.date.today().isoformat(), help="the run's 'today' (default: today)")
+    args = ap.parse_args(argv)
+    spark = SparkSession.getActiveSession() or get_spark(app="clickfold-daily")
+    opts = {"header": "true"} if args.campaigns_format == "csv" else {}
+    paths = save_reports(
+        spark,
+        read_events(spark, args.events),
+        read_buyers(spark, args.buyers, fmt=args.buyers_format),
+        read_campaigns(spark, args.campaigns, fmt=args.campaigns_format, **opts),
+        dt.date.fromisoformat(args.as_of),
+        args.out,
+    )
+    for key, path in sorted(paths.items()):
+        print(f"{key}\t{path}")
+
+
+if __name__ == "__main__":
+    main()

@@ -30,3 +30,22 @@ def test_save_reports_and_chain(spark):
     paths2 = save_reports(spark, ev, b, c, AS_OF, root)
     assert paths2 == paths
     assert sorted(map(repr, read_table(spark, paths["r09"]).collect())) == before
+
+
+def test_command_line_run(spark):
+    import os
+
+    from clickfold.plans import daily
+    from clickfold.sources.fixture import export_path
+
+    d = tempfile.mkdtemp(prefix="clickfold-cli-", dir="/tmp")
+    export_for(spark, SF)
+    buyers_for(spark, SF).write.parquet(f"{d}/buyers")
+    campaign_table(spark).write.option("header", True).csv(f"{d}/campaigns")
+    daily.main([
+        "--events", export_path(spark, SF), "--buyers", f"{d}/buyers", "--campaigns", f"{d}/campaigns",
+        "--campaigns-format", "csv", "--out", f"{d}/out", "--as-of", "2024-01-30",
+    ])
+    assert len(os.listdir(f"{d}/out")) == len(TABLES)
+    r9 = read_table(spark, f"{d}/out/{TABLES['r09']}/as_of=2024-01-30")
+    assert r9.count() > 0 and "send_amt" in r9.columns
