@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from clickfold.functions.channels import channel_group
 from clickfold.functions.params import event_param, session_engaged, session_id_concat
-from clickfold.operators.sessions import first_labels, first_user_labels
+from clickfold.operators.sessions import GEO_FIELDS, first_labels, first_user_labels, geo_columns
 from clickfold.sources.events import in_window
+from clickfold.sources.tables import scratch_table
 
 
 def _session_measures(engaged: Column, specific_event: str | None = None) -> list[Column]:
@@ -82,6 +83,13 @@ def traffic_acquisition(
     the combined `session_source_medium` ('source / medium') dimension.
     """
     prep = traffic_sessions(events, as_of, days, specific_event=specific_event)
+    return traffic_acquisition_from(prep, specific_event=specific_event, with_source_medium=with_source_medium)
+
+
+def traffic_acquisition_from(
+    prep: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
+) -> DataFrame:
+    """R14's report level on its per-session table (`traffic_sessions`)."""
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
     dims = [
         F.col("date"),
@@ -108,6 +116,25 @@ def traffic_acquisition(
     )
 
 
+def traffic_and_geo(
+    events: DataFrame, as_of: dt.date, days: int = 30, *, materialize: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """R14 and R7 from one scan: both group the window by (user, user text +
+    session id), so one per-session table carries R14's measures and R7's
+    geography (written once as a scratch table with `materialize`)."""
+    ev = in_window(events, as_of, days)
+    table = ev.groupBy(F.col("user_pseudo_id"), session_id_concat().alias("session_id")).agg(
+        *first_labels(),
+        *_session_measures(session_engaged(int_fallback=False)),
+        F.max(session_engaged()).alias("_geo_session_engaged"),
+        *geo_columns(),
+    )
+    if materialize:
+        table = scratch_table(table, "sessions_30d")
+    r7 = table.select("user_pseudo_id", "session_id", F.col("_geo_session_engaged").alias("session_engaged"), *GEO_FIELDS)
+    return traffic_acquisition_from(table.drop("_geo_session_engaged", *GEO_FIELDS)), r7
+
+
 def user_sessions(
     events: DataFrame, as_of: dt.date, days: int = 30, *, specific_event: str | None = None
 ) -> DataFrame:

@@ -31,17 +31,12 @@ def _step_col(step: str) -> str:
     return f"first_{step}_timestamp"
 
 
-def funnel_sessions(
-    events: DataFrame, as_of: dt.date, days: int = 30, *, by_date: bool = True, steps: tuple[str, ...] = STEPS
+def _funnel_groups(
+    events: DataFrame, as_of: dt.date, days: int, by_date: bool, steps: tuple[str, ...]
 ) -> DataFrame:
-    """M11 (+ M12): sessions (and UTC dates) that pass the closed funnel.
-
-    Keeps rows whose first step exists and where every later step is
-    missing or strictly later than the step before (three-valued: a later
-    step after a missing one drops the row). Columns: user_pseudo_id,
-    session_id, [session_date], first_page_view (raw title) and one
-    `first_<step>_timestamp` per step.
-    """
+    """Funnel events grouped per session (and UTC date with `by_date`):
+    first time of each step, the group's first event (`_first`) and that
+    event's title when it is the first step (`first_page_view`)."""
     name, ts = F.col("event_name"), F.col("event_timestamp")
     ev = in_window(events, as_of, days).where(name.isin(*steps))
     ev = ev.select(
@@ -52,20 +47,54 @@ def funnel_sessions(
     if by_date:
         keys.append(utc_date(ts).alias("session_date"))
     first_title = F.min_by(F.when(name == steps[0], F.col("page_title")), F.struct(ts, name))
-    grouped = ev.groupBy(*keys).agg(
+    return ev.groupBy(*keys).agg(
         first_title.alias("first_page_view"),
         F.min(F.struct(ts, name)).alias("_first"),
         *[F.min(F.when(name == s, ts)).alias(_step_col(s)) for s in steps],
     )
-    if by_date:
-        w = Window.partitionBy("user_pseudo_id", "session_id")
-        grouped = grouped.withColumn("first_page_view", F.min_by("first_page_view", "_first").over(w))
+
+
+def _passing(grouped: DataFrame, steps: tuple[str, ...]) -> DataFrame:
     cond = F.col(_step_col(steps[0])).isNotNull()
     for prev, cur in zip(steps, steps[1:]):
         cond = cond & (F.col(_step_col(cur)).isNull() | (F.col(_step_col(cur)) > F.col(_step_col(prev))))
     return grouped.where(cond).drop("_first")
 
 
+def _session_landing(day_groups: DataFrame) -> DataFrame:
+    """Per-day rows get the landing page of their whole session: the title
+    of the session's first day's first event (a window over the few day
+    rows of one session)."""
+    w = Window.partitionBy("user_pseudo_id", "session_id")
+    return day_groups.withColumn("first_page_view", F.min_by("first_page_view", "_first").over(w))
+
+
+def _roll_up_days(day_groups: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """Per-(session, day) groups -> per-session groups (mins of mins)."""
+    return day_groups.groupBy("user_pseudo_id", "session_id").agg(
+        F.min_by("first_page_view", "_first").alias("first_page_view"),
+        F.min("_first").alias("_first"),
+        *[F.min(_step_col(s)).alias(_step_col(s)) for s in steps],
+    )
+
+
+def funnel_sessions(
+    events: DataFrame, as_of: dt.date, days: int = 30, *, by_date: bool = True, steps: tuple[str, ...] = STEPS
+) -> DataFrame:
+    """M11 (+ M12): sessions (and UTC dates) that pass the closed funnel.
+
+    Keeps rows whose first step exists and where every later step is
+    missing or strictly later than the step before (three-valued: a later
+    step after a missing one drops the row). Columns: user_pseudo_id,
+    session_id, [session_date], first_page_view (raw title) and one
+    `first_<step>_timestamp` per step.
+    """
+    grouped = _funnel_groups(events, as_of, days, by_date, steps)
+    if by_date:
+        grouped = _session_landing(grouped)
+    return _passing(grouped, steps)
+
+
 def _counts(steps: tuple[str, ...]) -> list[Column]:
     key = F.concat(F.col("user_pseudo_id"), F.col("session_id").cast("string"))
     out = [F.count(key).alias(f"sessions_{steps[0]}")]
@@ -85,7 +114,10 @@ def closed_funnel(
     The landing page is the title before its first '|', NULL without one.
     R5 groups by UTC date too and sorts by date, then page views descending.
     """
-    fs = funnel_sessions(events, as_of, days, by_date=by_date, steps=steps)
+    return _report(funnel_sessions(events, as_of, days, by_date=by_date, steps=steps), by_date, steps)
+
+
+def _report(fs: DataFrame, by_date: bool, steps: tuple[str, ...]) -> DataFrame:
     page = landing_page_title(F.col("first_page_view")).alias("first_page_view")
     if by_date:
         return (
@@ -96,6 +128,21 @@ def closed_funnel(
     return fs.groupBy(F.lit("all_pages").alias("all_pages"), page).agg(*_counts(steps))
 
 
+def closed_funnel_pair(
+    events: DataFrame, as_of: dt.date, days: int = 30, *, steps: tuple[str, ...] = STEPS, materialize: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """R5 and R6 from one scan: the per-(session, day) groups are written
+    once (scratch table) and rolled up to sessions for R6."""
+    from clickfold.sources.tables import scratch_table
+
+    day_groups = _funnel_groups(events, as_of, days, True, steps)
+    if materialize:
+        day_groups = scratch_table(day_groups, "funnel_days")
+    r5 = _report(_passing(_session_landing(day_groups), steps), True, steps)
+    r6 = _report(_passing(_roll_up_days(day_groups, steps), steps), False, steps)
+    return r5, r6
+
+
 def landing_pages(events: DataFrame, as_of: dt.date, days: int = 30, *, steps: tuple[str, ...] = STEPS) -> DataFrame:
     """Landing page per session (raw title and the part before '|'),
     before the funnel filter."""

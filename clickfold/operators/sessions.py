@@ -76,6 +76,13 @@ def session_source(events: DataFrame, as_of: dt.date, days: int = 60) -> DataFra
 GEO_FIELDS = tuple(f.name for f in GEO.fields)
 
 
+def geo_columns() -> list[Column]:
+    """Each geo field from the session's first event by (event_timestamp,
+    event_name), NULL values kept."""
+    order = F.struct(F.col("event_timestamp"), F.col("event_name"))
+    return [F.min_by(F.col("geo")[f], order).alias(f) for f in GEO_FIELDS]
+
+
 def geo_by_session(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """One geography per user and session.
 
@@ -84,8 +91,6 @@ def geo_by_session(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFra
     element of an unordered array aggregate.
     """
     ev = in_window(events, as_of, days)
-    order = F.struct(F.col("event_timestamp"), F.col("event_name"))
     return ev.groupBy(F.col("user_pseudo_id"), session_id_concat().alias("session_id")).agg(
-        F.max(session_engaged()).alias("session_engaged"),
-        *[F.min_by(F.col("geo")[f], order).alias(f) for f in GEO_FIELDS],
+        F.max(session_engaged()).alias("session_engaged"), *geo_columns()
     )

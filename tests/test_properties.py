@@ -127,3 +127,19 @@ def test_attribution_reports_share_one_table(ev):
         want = attr.attribution(ev, AS_OF, 10, 10, dims)
         r = lambda df: df.select(df.columns[0], df.columns[1], F.round("attribution_weight", 9))
         assert r(got).exceptAll(r(want)).count() == 0 and r(want).exceptAll(r(got)).count() == 0
+
+
+def _same(a, b):
+    r = lambda df: df.select(*[F.round(c, 9) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return r(a).exceptAll(r(b)).count() == 0 and r(b).exceptAll(r(a)).count() == 0
+
+
+def test_shared_tables_give_the_standalone_reports(ev):
+    from clickfold.operators import acquisition, funnel, sessions
+
+    r5, r6 = funnel.closed_funnel_pair(ev, AS_OF, 30)
+    assert _same(r5, funnel.closed_funnel(ev, AS_OF, 30, by_date=True))
+    assert _same(r6, funnel.closed_funnel(ev, AS_OF, 30, by_date=False))
+    r14, r7 = acquisition.traffic_and_geo(ev, AS_OF, 30)
+    assert _same(r14, acquisition.traffic_acquisition(ev, AS_OF, 30))
+    assert _same(r7, sessions.geo_by_session(ev, AS_OF, 30))
