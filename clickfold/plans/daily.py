@@ -63,8 +63,9 @@ def save_reports(
     # R13, R12, R3 and R2 re-aggregate one per-session table: scan once
     facts = scratch_table(sessions.session_facts(events, as_of, 60), "session_facts")
     r13 = save("r13", facts.select("user_pseudo_id", "session_id", "session_engaged", "source", "medium", "campaign"))
-    save("r08", commerce.items_by_session(events, as_of, 60))
-    r8_30 = save("r08_30", commerce.items_by_session(events, as_of, 30))
+    r8_60, r8_30 = commerce.items_by_session_windows(events, as_of, (60, 30))
+    save("r08", r8_60)
+    r8_30 = save("r08_30", r8_30)
     r12 = save("r12", buyers.session_user_counts_from(facts))
     r3 = save("r03", buyers.buyer_behavior_by_user_from(buyers.user_accounts(facts), buyer_flags))
     r2 = save("r02", buyers.buyer_behavior_by_campaign_from(facts, r3))

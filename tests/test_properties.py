@@ -143,3 +143,10 @@ def test_shared_tables_give_the_standalone_reports(ev):
     r14, r7 = acquisition.traffic_and_geo(ev, AS_OF, 30)
     assert _same(r14, acquisition.traffic_acquisition(ev, AS_OF, 30))
     assert _same(r7, sessions.geo_by_session(ev, AS_OF, 30))
+
+
+def test_item_windows_from_one_scan(ev):
+    from clickfold.operators import commerce
+
+    for got, days in zip(commerce.items_by_session_windows(ev, AS_OF, (60, 10, 5)), (60, 10, 5)):
+        assert _same(got, commerce.items_by_session(ev, AS_OF, days))
