@@ -15,7 +15,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from clickfold.operators import acquisition, attribution, buyers, commerce, email, funnel, sessions
-from clickfold.sources.events import read_table, write_table
+from clickfold.session import get_spark
+from clickfold.sources.events import read_events, read_table, write_table
+from clickfold.sources.lookups import read_buyers, read_campaigns
 from clickfold.sources.tables import scratch_table
 
 # report name -> table name used by the reports that read it
@@ -93,10 +95,6 @@ def main(argv: list[str] | None = None) -> None:
     --campaigns PATH --out PATH [--as-of YYYY-MM-DD] [--campaigns-format csv]"""
     import argparse
 
-    from clickfold.session import get_spark
-    from clickfold.sources.events import read_events
-    from clickfold.sources.lookups import read_buyers, read_campaigns
-
     ap = argparse.ArgumentParser(prog="python -m clickfold.plans.daily", description=main.__doc__)
     ap.add_argument("--events", required=True, help="export root, partitioned by event_date/export_kind")
     ap.add_argument("--buyers", required=True, help="buyer flags table (const_id, new, renew, lapsed)")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickfold.schema import CAMPAIGN_METRICS, EVENT_SCHEMA
+from clickfold.schema import CAMPAIGN_METRICS, CAMPAIGN_SCHEMA, EVENT_SCHEMA
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import read_events
 
@@ -200,8 +200,7 @@ def buyers_from_customers(customer: DataFrame) -> DataFrame:
 
 
 def campaign_table(spark: SparkSession) -> DataFrame:
-    from clickfold.schema import CAMPAIGN_SCHEMA
-
+    """The mailing table fixture (CAMPAIGN_ROWS) with the text schema."""
     assert len(CAMPAIGN_SCHEMA.fields) == 2 + len(CAMPAIGN_METRICS)
     return spark.createDataFrame(CAMPAIGN_ROWS, CAMPAIGN_SCHEMA)
 
