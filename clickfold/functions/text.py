@@ -12,8 +12,15 @@ TITLE_PREFIX_PATTERN = r"^(.*?)\s*\|"
 
 
 def money_text(x: Column) -> Column:
-    """A double as text without a trailing '.0' (25.0 -> '25', 25.5 -> '25.5')."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A double as text without a trailing '.0' (25.0 -> '25', 25.5 -> '25.5').
+
+    Spark writes doubles of 1e7 and more in scientific notation ('1.0E7');
+    those go through a decimal instead, so they read as plain digits
+    ('10000000', '12345678.5')."""
+    plain = x.cast("string")
+    big = F.regexp_replace(F.regexp_replace(x.try_cast("decimal(38,9)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    text = F.when(F.abs(x) < F.lit(1e7), plain).otherwise(big)
+    return F.regexp_replace(text, r"\.0$", "")
 
 
 def landing_page_title(title: Column) -> Column:

@@ -356,3 +356,12 @@ def test_mailing_metric_bad_text(spark):
         email.email_campaign_stats(events(spark, rows_), b, camp, AS_OF).collect()
     out = email.email_campaign_stats(events(spark, rows_), b, camp, AS_OF, safe_cast=True).collect()
     assert sorted((r["ldate"], r["opens"]) for r in out) == [("2023-10-03", None), ("2023-10-24", 600)]
+
+
+def test_money_text_never_scientific(spark):
+    from clickfold.functions.text import money_text
+
+    vals = [25.0, 25.5, 1234.5, 9999999.5, 1e7, 12345678.5, 123456789.25, 0.5]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(money_text(F.col("x"))).collect()]
+    assert got == ["25", "25.5", "1234.5", "9999999.5", "10000000", "12345678.5", "123456789.25", "0.5"]
