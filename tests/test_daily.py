@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from clickfold.operators import commerce, email
 from clickfold.plans.daily import TABLES, save_reports
 from clickfold.sources.events import read_table
@@ -15,10 +17,16 @@ def same(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == b.count()
 
 
-def test_save_reports_and_chain(spark):
+@pytest.fixture(scope="module")
+def saved(spark):
     root = tempfile.mkdtemp(prefix="clickfold-daily-", dir="/tmp")
     ev, b, c = export_for(spark, SF), buyers_for(spark, SF), campaign_table(spark)
-    paths = save_reports(spark, ev, b, c, AS_OF, root)
+    return root, save_reports(spark, ev, b, c, AS_OF, root)
+
+
+def test_save_reports_and_chain(spark, saved):
+    root, paths = saved
+    ev, b, c = export_for(spark, SF), buyers_for(spark, SF), campaign_table(spark)
     assert set(paths) == set(TABLES)
     r9_saved = read_table(spark, paths["r09"])
     r9_direct = email.email_campaign_stats(ev, b, c, AS_OF)
@@ -51,14 +59,13 @@ def test_command_line_run(spark):
     assert r9.count() > 0 and "send_amt" in r9.columns
 
 
-def test_every_saved_table_equals_its_standalone_report(spark):
+def test_every_saved_table_equals_its_standalone_report(spark, saved):
     from pyspark.sql import functions as F
 
     from clickfold.operators import acquisition, attribution, buyers, commerce, funnel, sessions
 
-    root = tempfile.mkdtemp(prefix="clickfold-daily-all-", dir="/tmp")
-    ev, b, c = export_for(spark, SF), buyers_for(spark, SF), campaign_table(spark)
-    paths = save_reports(spark, ev, b, c, AS_OF, root)
+    _, paths = saved
+    ev, b = export_for(spark, SF), buyers_for(spark, SF)
     by_user = buyers.buyer_behavior_by_user(ev, b, AS_OF, 60)
     cart = commerce.cart_abandonment(ev, AS_OF, 1)
     standalone = {
