@@ -365,3 +365,32 @@ def test_money_text_never_scientific(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(money_text(F.col("x"))).collect()]
     assert got == ["25", "25.5", "1234.5", "9999999.5", "10000000", "12345678.5", "123456789.25", "0.5"]
+
+
+def test_channel_rules_agree_with_re2_on_random_text(spark):
+    """Java regex (Spark) vs RE2 (DuckDB, like the source engine) on
+    generated triples built from the rules' own fragments."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from oracle.base import channel_case
+
+    frags = ["google", "bing", "shop", "shopping", "xshop", "eshop", "cpc", "ppc", "paid", "cp", "video",
+             "email", "e mail", "social", "sm", "push", "mobile", "notification", "cross-network", "(direct)",
+             "(none)", "(not set)", "display", "organic", "referral", "audio", "sms", "affiliate", "fb", "vimeo",
+             "amazon", " ", "-", "\n", "9", "A", ""]
+    rnd = random.Random(7)
+
+    def text():
+        return "".join(rnd.choice(frags) for _ in range(rnd.randint(0, 3)))
+
+    rows = [(text(), text(), text()) for _ in range(3000)] + [(s, m, c) for s, m, c, _ in [
+        ("google", "ppc\n", "x", 0), ("a", "cpc\n", "b", 0), ("a", "b", "shopping\n", 0), ("a", "\nvideo", "b", 0)]]
+    pdf = pd.DataFrame(rows, columns=["s", "m", "c"]).reset_index()
+    want = duckdb.sql(f"SELECT index, {channel_case('s', 'm', 'c')} AS ch FROM pdf ORDER BY index").fetchall()
+    df = spark.createDataFrame(pdf)
+    got = sorted((r["index"], r["ch"]) for r in df.select("index", channel_group("s", "m", "c").alias("ch")).collect())
+    diffs = [(rows[i], a, b) for (i, a), (_, b) in zip(got, want) if a != b]
+    assert not diffs, diffs[:5]
