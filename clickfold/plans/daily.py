@@ -18,7 +18,7 @@ from clickfold.operators import acquisition, attribution, buyers, commerce, emai
 from clickfold.session import get_spark
 from clickfold.sources.events import read_events, read_table, write_table
 from clickfold.sources.lookups import read_buyers, read_campaigns
-from clickfold.sources.tables import scratch_table
+from clickfold.sources.tables import scratch_scope, scratch_table
 
 # report name -> table name used by the reports that read it
 TABLES = {
@@ -52,8 +52,19 @@ def save_reports(
     campaigns: DataFrame,
     as_of: dt.date,
     root: str,
+    *,
+    keep_scratch: bool = False,
+) -> dict[str, str]:
+    """Write all reports for `as_of`; returns report key -> path. The
+    shared intermediate tables are deleted once every report is written
+    (`keep_scratch=True` keeps them)."""
+    with scratch_scope(spark, keep=keep_scratch):
+        return _save_all(spark, events, buyer_flags, campaigns, as_of, root)
+
+
+def _save_all(
+    spark: SparkSession, events: DataFrame, buyer_flags: DataFrame, campaigns: DataFrame, as_of: dt.date, root: str
 ) -> dict[str, str]:
-    """Write all reports for `as_of`; returns report key -> path."""
     out: dict[str, str] = {}
 
     def save(key: str, df: DataFrame) -> DataFrame:

@@ -6,16 +6,24 @@ own, so the plans differ and no exchange is shared. Writing it once as
 Parquet and reading it back gives one computation, column pruning on the
 read, and a lineage cut: a lost executor recomputes from the table, not
 from the event scan.
+
+`scratch_scope` removes the tables written inside it when it exits, for
+jobs (like the daily run) that know when their intermediates are done.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from clickfold.session import ensure_checkpoint_dir
 
+_local = threading.local()
+
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` under `<spark checkpoint dir>/clickfold-tables/<app id>/`
@@ -26,4 +34,31 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{root}/clickfold-tables/{app}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    for scope in getattr(_local, "scopes", []):
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, *, keep: bool = False) -> Iterator[list[str]]:
+    """Collect the scratch tables written inside the block (this thread) and
+    delete them on exit unless `keep`. DataFrames reading them must not be
+    used after the block."""
+    created: list[str] = []
+    scopes = getattr(_local, "scopes", None)
+    if scopes is None:
+        scopes = _local.scopes = []
+    scopes.append(created)
+    try:
+        yield created
+    finally:
+        scopes.remove(created)
+        if not keep:
+            for path in created:
+                _delete(spark, path)

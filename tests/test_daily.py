@@ -98,3 +98,19 @@ def test_every_saved_table_equals_its_standalone_report(spark, saved):
         assert sorted(got.columns) == sorted(want.columns), key
         g, w = norm(got), norm(want)
         assert g.exceptAll(w).count() == 0 and w.exceptAll(g).count() == 0, key
+
+
+def test_daily_run_removes_its_scratch_tables(spark):
+    from clickfold.sources.tables import scratch_scope, scratch_table
+
+    with scratch_scope(spark) as created:
+        t = scratch_table(spark.range(10), "probe")
+        assert t.count() == 10 and len(created) == 1
+    path = created[0]
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    with scratch_scope(spark, keep=True) as kept:
+        scratch_table(spark.range(3), "kept")
+    p2 = jvm.org.apache.hadoop.fs.Path(kept[0])
+    assert p2.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p2)
