@@ -13,7 +13,10 @@ attribution look-back.
 AQE's skew thresholds are scaled down to the test data (at scale the
 defaults, 256 MB and 5x the median, play the same role).
 
-usage: python tools/skew_check.py [sf_dir]
+With --hot-session the hot user's events all carry one session id instead
+(one session holds a third of all events).
+
+usage: python tools/skew_check.py [sf_dir] [--hot-session] [-v]
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ REPORTS = [
 ]
 
 
-def skewed_export(spark, sf_dir: str, out: str):
+def skewed_export(spark, sf_dir: str, out: str, hot_session: bool = False):
     from pyspark.sql import functions as F
 
     from clickfold.sources.events import read_events
@@ -47,7 +50,8 @@ def skewed_export(spark, sf_dir: str, out: str):
     flat = flat.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
     nested = nested_events(flat)
     hot = F.col("user_pseudo_id") == "u0"
-    ten_minutes = F.floor(F.col("event_timestamp") / F.lit(600_000_000))
+    # many 10-minute sessions, or (hot_session) one session id for all of them
+    ten_minutes = F.lit(1).cast("bigint") if hot_session else F.floor(F.col("event_timestamp") / F.lit(600_000_000))
     params = F.transform(
         "event_params",
         lambda p: F.when(
@@ -142,7 +146,8 @@ def main() -> None:
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
     })
-    ev = skewed_export(spark, sf_dir, f"{scratch}/export")
+    hot_session = "--hot-session" in sys.argv
+    ev = skewed_export(spark, sf_dir, f"{scratch}/export", hot_session)
     total = ev.count()
     hot = ev.where("user_pseudo_id = 'u0'").count()
     sessions = ev.select("user_pseudo_id", F.expr("get(filter(event_params, p -> p.key = 'ga_session_id'), 0).value.int_value").alias("s")).distinct()
