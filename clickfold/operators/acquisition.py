@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickfold.functions.channels import channel_group
 from clickfold.functions.params import event_param, session_engaged, session_id_concat
-from clickfold.operators.sessions import GEO_FIELDS, first_labels, first_user_labels, geo_columns
+from clickfold.operators.sessions import DIRECT_DEFAULTS, first_geo, first_labels, first_user_labels, geo_fields
 from clickfold.sources.events import in_window
 from clickfold.sources.tables import scratch_table
 
@@ -116,23 +116,57 @@ def traffic_acquisition_from(
     )
 
 
-def traffic_and_geo(
+def _first_in_time(value: Column) -> Column:
+    """min of (time, value) over non-NULL values: the first non-NULL value
+    in time (ties: smaller value); minima of these roll up."""
+    return F.min(F.when(value.isNotNull(), F.struct(F.col("event_timestamp").alias("t"), value.alias("v"))))
+
+
+def acquisition_reports(
     events: DataFrame, as_of: dt.date, days: int = 30, *, materialize: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """R14 and R7 from one scan: both group the window by (user, user text +
-    session id), so one per-session table carries R14's measures and R7's
-    geography (written once as a scratch table with `materialize`)."""
-    ev = in_window(events, as_of, days)
-    table = ev.groupBy(F.col("user_pseudo_id"), session_id_concat().alias("session_id")).agg(
-        *first_labels(),
-        *_session_measures(session_engaged(int_fallback=False)),
-        F.max(session_engaged()).alias("_geo_session_engaged"),
-        *geo_columns(),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """R14, R15 and R7 from one scan of the window.
+
+    One table per (session, first-user source/medium/campaign) -- R15's
+    grouping -- is written once (scratch table with `materialize`). R15 is
+    read from it as is; its rows roll up exactly to the per-session rows of
+    R14 and R7 (first value in time = min of (time, value); maxima, sums
+    and the first event's geography likewise).
+    """
+    ev = in_window(events, as_of, days).select("*", session_id_concat().alias("_sid"), *first_user_labels())
+    fine = ev.groupBy(
+        "user_pseudo_id", F.col("_sid").alias("session_id"), "first_source", "first_medium", "first_campaign"
+    ).agg(
+        *[_first_in_time(event_param(k)).alias(f"_first_{k}") for k in DIRECT_DEFAULTS],
+        *_session_measures(session_engaged()),
+        F.max(session_engaged(int_fallback=False)).alias("_engaged_string"),
+        first_geo().alias("_geo"),
     )
     if materialize:
-        table = scratch_table(table, "sessions_30d")
-    r7 = table.select("user_pseudo_id", "session_id", F.col("_geo_session_engaged").alias("session_engaged"), *GEO_FIELDS)
-    return traffic_acquisition_from(table.drop("_geo_session_engaged", *GEO_FIELDS)), r7
+        fine = scratch_table(fine, "acquisition_sessions")
+    r15 = user_acquisition_from(fine)
+    per_session = fine.groupBy("user_pseudo_id", "session_id").agg(
+        *[F.min(f"_first_{k}").alias(f"_first_{k}") for k in DIRECT_DEFAULTS],
+        F.min("date").alias("date"),
+        F.max("session_number").alias("session_number"),
+        F.max("_engaged_string").alias("_engaged_string"),
+        F.max("session_engaged").alias("_engaged_any"),
+        F.max("engagement_time_msec").alias("engagement_time_msec"),
+        F.sum("event_count").alias("event_count"),
+        F.sum("conversions").alias("conversions"),
+        F.sum("total_revenue").alias("total_revenue"),
+        F.min("_geo").alias("_geo"),
+    )
+    prep14 = per_session.select(
+        "user_pseudo_id", "session_id",
+        *[F.coalesce(F.col(f"_first_{k}")["v"], F.lit(d)).alias(k) for k, d in DIRECT_DEFAULTS.items()],
+        "date", "session_number", F.col("_engaged_string").alias("session_engaged"), "engagement_time_msec",
+        "event_count", "conversions", "total_revenue",
+    )
+    r7 = per_session.select(
+        "user_pseudo_id", "session_id", F.col("_engaged_any").alias("session_engaged"), *geo_fields(F.col("_geo"))
+    )
+    return traffic_acquisition_from(prep14), r15, r7
 
 
 def user_sessions(
@@ -160,6 +194,13 @@ def user_acquisition(
     counted without DISTINCT, as in the source report. Options as in R14
     (`first_user_source_medium`)."""
     prep = user_sessions(events, as_of, days, specific_event=specific_event)
+    return user_acquisition_from(prep, specific_event=specific_event, with_source_medium=with_source_medium)
+
+
+def user_acquisition_from(
+    prep: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
+) -> DataFrame:
+    """R15's report level on its per-session table (`user_sessions`)."""
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
     num = F.col("session_number")
     dims = [

@@ -76,21 +76,26 @@ def session_source(events: DataFrame, as_of: dt.date, days: int = 60) -> DataFra
 GEO_FIELDS = tuple(f.name for f in GEO.fields)
 
 
-def geo_columns() -> list[Column]:
-    """Each geo field from the session's first event by (event_timestamp,
-    event_name), NULL values kept."""
-    order = F.struct(F.col("event_timestamp"), F.col("event_name"))
-    return [F.min_by(F.col("geo")[f], order).alias(f) for f in GEO_FIELDS]
+def first_geo() -> Column:
+    """The first event's (event_timestamp, event_name, geo) as one struct:
+    its minimum is the geography of the session's first event (NULL fields
+    kept; ties broken by the geo values). Minima of such structs also roll
+    up from finer groups."""
+    return F.min(F.struct(F.col("event_timestamp").alias("t"), F.col("event_name").alias("n"), F.col("geo").alias("g")))
+
+
+def geo_fields(first: Column) -> list[Column]:
+    return [first["g"][f].alias(f) for f in GEO_FIELDS]
 
 
 def geo_by_session(events: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """One geography per user and session.
 
-    Each geo field is taken from the session's first event by
-    (event_timestamp, event_name); NULL values are kept, like the first
-    element of an unordered array aggregate.
+    All geo fields come from the session's first event by (event_timestamp,
+    event_name); NULL values are kept, like the first element of an
+    unordered array aggregate.
     """
     ev = in_window(events, as_of, days)
     return ev.groupBy(F.col("user_pseudo_id"), session_id_concat().alias("session_id")).agg(
-        F.max(session_engaged()).alias("session_engaged"), *geo_columns()
-    )
+        F.max(session_engaged()).alias("session_engaged"), first_geo().alias("_geo")
+    ).select("user_pseudo_id", "session_id", "session_engaged", *geo_fields(F.col("_geo")))

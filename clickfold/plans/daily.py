@@ -84,19 +84,19 @@ def _save_all(
     r2 = save("r02", buyers.buyer_behavior_by_campaign_from(facts, r3))
     r4 = save("r04", commerce.cart_abandonment(events, as_of, 1))
     save("r01", commerce.abandoned_cart_user_ids(r4))
-    # R5 and R6 from one per-(session, day) table; R14 and R7 from one
-    # per-session table: one scan of the 30-day window for each pair
+    # R5 and R6 from one per-(session, day) table; R14, R15 and R7 from one
+    # per-(session, first-user labels) table: two scans of the 30-day window
     r5, r6 = funnel.closed_funnel_pair(events, as_of, 30)
     save("r05", r5)
     save("r06", r6)
-    r14, r7 = acquisition.traffic_and_geo(events, as_of, 30)
+    r14, r15, r7 = acquisition.acquisition_reports(events, as_of, 30)
     save("r07", r7)
     # both attribution reports from one numbered session table
     r10, r11 = attribution.attribution_reports(events, as_of, 30, 30)
     save("r10", r10)
     save("r11", r11)
     save("r14", r14)
-    save("r15", acquisition.user_acquisition(events, as_of, 30))
+    save("r15", r15)
     save("r09", email.email_campaign_stats_from(r13, r8_30, r12, r2, campaigns))
     return out
 

@@ -140,8 +140,9 @@ def test_shared_tables_give_the_standalone_reports(ev):
     r5, r6 = funnel.closed_funnel_pair(ev, AS_OF, 30)
     assert _same(r5, funnel.closed_funnel(ev, AS_OF, 30, by_date=True))
     assert _same(r6, funnel.closed_funnel(ev, AS_OF, 30, by_date=False))
-    r14, r7 = acquisition.traffic_and_geo(ev, AS_OF, 30)
+    r14, r15, r7 = acquisition.acquisition_reports(ev, AS_OF, 30)
     assert _same(r14, acquisition.traffic_acquisition(ev, AS_OF, 30))
+    assert _same(r15, acquisition.user_acquisition(ev, AS_OF, 30))
     assert _same(r7, sessions.geo_by_session(ev, AS_OF, 30))
 
 
