@@ -21,7 +21,7 @@ from clickfold.schema import CAMPAIGN_METRICS, CAMPAIGN_SCHEMA, EVENT_SCHEMA
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import read_events
 
-FIXTURE_VERSION = "2"
+FIXTURE_VERSION = "3"
 
 # --- fixed values of the fixture mapping (FIXTURES.md section 3) -----------
 EPOCH_DAY = "2024-01-01"
@@ -128,10 +128,12 @@ def nested_events(flat: DataFrame) -> DataFrame:
     for src, dst in reversed(list(EVENT_NAMES.items())):
         event_name = F.when(name == src, F.lit(dst)).otherwise(event_name)
 
-    j = F.when(k % 10 == 0, k % 24).otherwise((uid * 7 + F.floor(dd / 3)) % 24).cast("int")
+    # floor division and non-negative modulo: the mapping stays defined (and
+    # equal to the oracle's) for days before the epoch day too
+    j = F.when(k % 10 == 0, k % 24).otherwise(F.pmod(uid * 7 + F.floor(dd / 3), F.lit(24))).cast("int")
     traffic = F.get(_lit_triples(TRAFFIC_LIST, ("source", "medium", "campaign")), j)
     has_traffic = k % 4 != 0
-    session = F.when(eid % 37 != 0, F.lit(SESSION_BASE_SECONDS) + (dd - dd % 3) * 86400)
+    session = F.when(eid % 37 != 0, F.lit(SESSION_BASE_SECONDS) + (dd - F.pmod(dd, F.lit(3))) * 86400)
     title = F.get(F.array(*[F.lit(t).cast("string") for t in PAGE_TITLES]), (k % 5).cast("int"))
     engaged = eid % 3
     params = F.array(

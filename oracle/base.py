@@ -48,7 +48,7 @@ ev AS (
     strftime(s.ts, '%Y%m%d') AS event_date,
     CASE WHEN CAST(s.ts AS DATE) = DATE '2024-01-30' THEN 'intraday_' ELSE '' END
       || strftime(s.ts, '%Y%m%d') AS suffix,
-    CASE WHEN s.event_id % 37 <> 0 THEN CAST(1704067200 + (s.dd - s.dd % 3) * 86400 AS BIGINT) END AS ga_session_id,
+    CASE WHEN s.event_id % 37 <> 0 THEN CAST(1704067200 + (s.dd - ((s.dd % 3) + 3) % 3) * 86400 AS BIGINT) END AS ga_session_id,
     CASE WHEN s.event_type = 'view' THEN
       CASE s.k % 5 WHEN 0 THEN 'Home | Demo' WHEN 1 THEN 'Shows  | Demo' WHEN 2 THEN 'Tickets | Demo'
         WHEN 3 THEN 'Plain title' END END AS page_title,
@@ -68,8 +68,9 @@ ev AS (
     CASE WHEN s.k % 6 <> 0 THEN 'T' || CAST(s.uid % 50 AS VARCHAR) END AS geo_city,
     'M' || CAST(s.uid % 20 AS VARCHAR) AS geo_metro
   FROM src s
-  JOIN traffic t ON t.j = CASE WHEN s.k % 10 = 0 THEN s.k % 24 ELSE (s.uid * 7 + s.dd // 3) % 24 END
-  JOIN first_user f ON f.r = s.uid % 4
+  LEFT JOIN traffic t ON t.j = CASE WHEN s.k % 10 = 0 THEN s.k % 24
+    ELSE ((s.uid * 7 + CAST(floor(s.dd / 3) AS BIGINT)) % 24 + 24) % 24 END
+  LEFT JOIN first_user f ON f.r = s.uid % 4
 ),
 item_shapes(shape, kind) AS (VALUES (0,'sku'), (1,'sku'), (1,'Donation'), (2,'Fees'), (3,'hd3g4y'), (3,'Fees')),
 ev_items AS (
