@@ -47,7 +47,10 @@ def _funnel_groups(
     keys = [F.col("user_pseudo_id"), F.col("session_id")]
     if by_date:
         keys.append(utc_date(ts).alias("session_date"))
-    first_title = F.min_by(F.when(name == steps[0], F.col("page_title")), F.struct(ts, name))
+    # order: time, event name, then the title itself, so equal times still
+    # give one answer (a retried task computes the same landing page)
+    title = F.when(name == steps[0], F.col("page_title"))
+    first_title = F.min_by(title, F.struct(ts, name, F.coalesce(title, F.lit(""))))
     return ev.groupBy(*keys).agg(
         first_title.alias("first_page_view"),
         F.min(F.struct(ts, name)).alias("_first"),
@@ -147,8 +150,9 @@ def landing_pages(events: DataFrame, as_of: dt.date, days: int = 30, *, steps: t
     before the funnel filter."""
     name, ts = F.col("event_name"), F.col("event_timestamp")
     ev = in_window(events, as_of, days).where(name.isin(*steps))
+    title = F.when(name == steps[0], event_param("page_title"))
     return (
         ev.groupBy(F.col("user_pseudo_id"), session_id().alias("session_id"))
-        .agg(F.min_by(F.when(name == steps[0], event_param("page_title")), F.struct(ts, name)).alias("page_title"))
+        .agg(F.min_by(title, F.struct(ts, name, F.coalesce(title, F.lit("")))).alias("page_title"))
         .select("user_pseudo_id", "session_id", "page_title", landing_page_title(F.col("page_title")).alias("landing_page"))
     )

@@ -250,7 +250,7 @@ steps AS (
   FROM ev WHERE {win(days)} AND event_name IN ('page_view', 'add_to_cart', 'purchase')),
 opening AS (
   SELECT u, sid, CASE WHEN step = 'page_view' THEN page_title END AS opening_title
-  FROM steps QUALIFY row_number() OVER (PARTITION BY u, sid ORDER BY t, step) = 1),
+  FROM steps QUALIFY row_number() OVER (PARTITION BY u, sid ORDER BY t, step, coalesce(page_title, '')) = 1),
 step_times AS (
   SELECT u, sid, {day + ' AS session_date,' if by_date else ''}
     min(t) FILTER (WHERE step = 'page_view') AS t_view,

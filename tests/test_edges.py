@@ -394,3 +394,15 @@ def test_channel_rules_agree_with_re2_on_random_text(spark):
     got = sorted((r["index"], r["ch"]) for r in df.select("index", channel_group("s", "m", "c").alias("ch")).collect())
     diffs = [(rows[i], a, b) for (i, a), (_, b) in zip(got, want) if a != b]
     assert not diffs, diffs[:5]
+
+
+def test_landing_page_with_equal_times_is_determined(spark):
+    t = at(20, 9)
+    rows_ = [
+        ev("a", t, "page_view", params={"page_title": "Tickets | x"}),
+        ev("a", t, "page_view", params={"page_title": "Home | x"}),
+        ev("a", at(20, 10), "add_to_cart"),
+    ]
+    for _ in range(3):
+        got = {r["first_page_view"] for r in funnel.closed_funnel(events(spark, rows_).repartition(3), AS_OF, by_date=False).collect()}
+        assert got == {"Home"}
