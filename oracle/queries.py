@@ -288,7 +288,10 @@ SQL["m12_landing_page"] = with_base(
 # ---------------------------------------------------------------- R7
 def _geo(days: int) -> str:
     fields = ("continent", "sub_continent", "country", "region", "city", "metro")
-    firsts = ",\n  ".join(f"first(geo_{f} ORDER BY event_timestamp, event_name) AS {f}" for f in fields)
+    # the first event by (time, name), equal times broken by the geo values
+    # (NULL first), like the struct minimum on the Spark side
+    order = "event_timestamp, event_name, " + ", ".join(f"geo_{f} NULLS FIRST" for f in fields)
+    firsts = ",\n  ".join(f"first(geo_{f} ORDER BY {order}) AS {f}" for f in fields)
     return with_base(f"""
 SELECT user_pseudo_id, {skey('user_pseudo_id', 'ga_session_id')} AS session_id,
   max({ENGAGED}) AS session_engaged,
