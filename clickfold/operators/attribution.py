@@ -19,8 +19,9 @@ Plan shape, built for a user that holds a large share of the sessions:
 * six weights become rows with one `explode` and one final aggregate.
 
 Deviation from the source engine: a user whose sessions all lack a session
-id has n = 0; time decay and position based give NULL weight there, where
-the source would fail on a division by zero.
+id has n = 0; time decay gives NULL weight there, where the source would
+fail on a division by zero (position based is NULL there in the source
+too: no rule applies).
 """
 
 from __future__ import annotations
