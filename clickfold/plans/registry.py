@@ -145,6 +145,12 @@ for _days, _sfx in ((30, ""), (10, "_10d")):
         return sessions.geo_by_session(_ev(spark, sf_dir), AS_OF, _d)
 
 
+@register("r06_closed_funnel_two_steps")
+def _r06_two(spark, sf_dir):
+    """R6 with another step list (page view, then purchase)."""
+    return funnel.closed_funnel(_ev(spark, sf_dir), AS_OF, 30, by_date=False, steps=("page_view", "purchase"))
+
+
 @register("m11_funnel_sessions")
 def _m11(spark, sf_dir):
     return funnel.funnel_sessions(_ev(spark, sf_dir), AS_OF, 30, by_date=True)

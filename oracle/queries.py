@@ -242,32 +242,31 @@ def _landing(col: str) -> str:
     return f"CASE WHEN regexp_matches({col}, {_TITLE}) THEN regexp_extract({col}, {_TITLE}, 1) END"
 
 
-def _funnel(days: int, by_date: bool) -> str:
+def _funnel(days: int, by_date: bool, steps: tuple[str, ...] = ("page_view", "add_to_cart", "purchase")) -> str:
     day = "CAST(make_timestamp(t) AS DATE)"
+    names = ", ".join(f"'{x}'" for x in steps)
+    firsts = ",\n    ".join(f"min(t) FILTER (WHERE step = '{x}') AS t_{i}" for i, x in enumerate(steps))
+    rule = " AND ".join(f"(s.t_{i} IS NULL OR s.t_{i} > s.t_{i - 1})" for i in range(1, len(steps)))
     return f"""
 steps AS (
   SELECT user_pseudo_id AS u, ga_session_id AS sid, event_name AS step, event_timestamp AS t, page_title
-  FROM ev WHERE {win(days)} AND event_name IN ('page_view', 'add_to_cart', 'purchase')),
+  FROM ev WHERE {win(days)} AND event_name IN ({names})),
 opening AS (
-  SELECT u, sid, CASE WHEN step = 'page_view' THEN page_title END AS opening_title
+  SELECT u, sid, CASE WHEN step = '{steps[0]}' THEN page_title END AS opening_title
   FROM steps QUALIFY row_number() OVER (PARTITION BY u, sid ORDER BY t, step, coalesce(page_title, '')) = 1),
 step_times AS (
   SELECT u, sid, {day + ' AS session_date,' if by_date else ''}
-    min(t) FILTER (WHERE step = 'page_view') AS t_view,
-    min(t) FILTER (WHERE step = 'add_to_cart') AS t_cart,
-    min(t) FILTER (WHERE step = 'purchase') AS t_buy
+    {firsts}
   FROM steps GROUP BY u, sid{', ' + day if by_date else ''}),
 passing AS (
   SELECT s.*, o.opening_title
   FROM step_times s JOIN opening o ON o.u = s.u AND o.sid IS NOT DISTINCT FROM s.sid
-  WHERE s.t_view IS NOT NULL
-    AND (s.t_cart IS NULL OR s.t_cart > s.t_view)
-    AND (s.t_buy IS NULL OR s.t_buy > s.t_cart))"""
+  WHERE s.t_0 IS NOT NULL{' AND ' + rule if rule else ''})"""
 
 
 _FUNNEL_COUNTS = f"""count({skey('u', 'sid')}) AS sessions_page_view,
-  count({skey('u', 'sid')}) FILTER (WHERE t_cart IS NOT NULL) AS sessions_add_to_cart,
-  count(sid) FILTER (WHERE t_buy IS NOT NULL) AS sessions_purchase"""
+  count({skey('u', 'sid')}) FILTER (WHERE t_1 IS NOT NULL) AS sessions_add_to_cart,
+  count(sid) FILTER (WHERE t_2 IS NOT NULL) AS sessions_purchase"""
 
 for _d, _sfx in ((30, ""), (10, "_10d")):
     SQL[f"r05_closed_funnel_by_date{_sfx}"] = with_base(
@@ -278,8 +277,13 @@ for _d, _sfx in ((30, ""), (10, "_10d")):
         _funnel(_d, False))
 SQL["m11_funnel_sessions"] = with_base(
     """SELECT u AS user_pseudo_id, sid AS session_id, session_date, opening_title AS first_page_view,
-  t_view AS first_page_view_timestamp, t_cart AS first_add_to_cart_timestamp, t_buy AS first_purchase_timestamp
+  t_0 AS first_page_view_timestamp, t_1 AS first_add_to_cart_timestamp, t_2 AS first_purchase_timestamp
 FROM passing""", _funnel(30, True))
+SQL["r06_closed_funnel_two_steps"] = with_base(
+    f"""SELECT 'all_pages' AS all_pages, {_landing('opening_title')} AS first_page_view,
+  count({skey('u', 'sid')}) AS sessions_page_view,
+  count(sid) FILTER (WHERE t_1 IS NOT NULL) AS sessions_purchase
+FROM passing GROUP BY 2""", _funnel(30, False, ("page_view", "purchase")))
 SQL["m12_landing_page"] = with_base(
     f"SELECT u AS user_pseudo_id, sid AS session_id, opening_title AS page_title, {_landing('opening_title')} AS landing_page FROM opening",
     _funnel(30, False))
