@@ -114,6 +114,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--buyers-format", default="parquet")
     ap.add_argument("--out", required=True, help="root folder of the report tables")
     ap.add_argument("--as-of", default=dt.date.today().isoformat(), help="the run's 'today' (default: today)")
+    ap.add_argument("--keep-scratch", action="store_true", help="keep the shared intermediate tables")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or get_spark(app="clickfold-daily")
     opts = {"header": "true"} if args.campaigns_format == "csv" else {}
@@ -124,6 +125,7 @@ def main(argv: list[str] | None = None) -> None:
         read_campaigns(spark, args.campaigns, fmt=args.campaigns_format, **opts),
         dt.date.fromisoformat(args.as_of),
         args.out,
+        keep_scratch=args.keep_scratch,
     )
     for key, path in sorted(paths.items()):
         print(f"{key}\t{path}")
