@@ -82,12 +82,12 @@ def traffic_acquisition(
     `specific_event_count` (events of that name); `with_source_medium` adds
     the combined `session_source_medium` ('source / medium') dimension.
     """
-    prep = traffic_sessions(events, as_of, days, specific_event=specific_event)
-    return traffic_acquisition_from(prep, specific_event=specific_event, with_source_medium=with_source_medium)
+    per_session = traffic_sessions(events, as_of, days, specific_event=specific_event)
+    return traffic_acquisition_from(per_session, specific_event=specific_event, with_source_medium=with_source_medium)
 
 
 def traffic_acquisition_from(
-    prep: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
+    per_session: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
 ) -> DataFrame:
     """R14's report level on its per-session table (`traffic_sessions`)."""
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
@@ -101,7 +101,7 @@ def traffic_acquisition_from(
         dims.append(_source_medium("source", "medium").alias("session_source_medium"))
     dims.append(F.col("campaign").alias("session_campaign"))
     return (
-        prep.select(
+        per_session.select(
             "*", channel_group("source", "medium", "campaign").alias("session_default_channel_group")
         )
         .groupBy(*dims)
@@ -157,7 +157,7 @@ def acquisition_reports(
         F.sum("total_revenue").alias("total_revenue"),
         F.min("_geo").alias("_geo"),
     )
-    prep14 = per_session.select(
+    traffic_rows = per_session.select(
         "user_pseudo_id", "session_id",
         *[F.coalesce(F.col(f"_first_{k}")["v"], F.lit(d)).alias(k) for k, d in DIRECT_DEFAULTS.items()],
         "date", "session_number", F.col("_engaged_string").alias("session_engaged"), "engagement_time_msec",
@@ -166,7 +166,7 @@ def acquisition_reports(
     r7 = per_session.select(
         "user_pseudo_id", "session_id", F.col("_engaged_any").alias("session_engaged"), *geo_fields(F.col("_geo"))
     )
-    return traffic_acquisition_from(prep14), r15, r7
+    return traffic_acquisition_from(traffic_rows), r15, r7
 
 
 def user_sessions(
@@ -193,12 +193,12 @@ def user_acquisition(
     """First-user acquisition with new/returning users. Sessions are
     counted without DISTINCT, as in the source report. Options as in R14
     (`first_user_source_medium`)."""
-    prep = user_sessions(events, as_of, days, specific_event=specific_event)
-    return user_acquisition_from(prep, specific_event=specific_event, with_source_medium=with_source_medium)
+    per_session = user_sessions(events, as_of, days, specific_event=specific_event)
+    return user_acquisition_from(per_session, specific_event=specific_event, with_source_medium=with_source_medium)
 
 
 def user_acquisition_from(
-    prep: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
+    per_session: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
 ) -> DataFrame:
     """R15's report level on its per-session table (`user_sessions`)."""
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
@@ -213,7 +213,7 @@ def user_acquisition_from(
         dims.append(_source_medium("first_source", "first_medium").alias("first_user_source_medium"))
     dims.append(F.col("first_campaign").alias("first_user_campaign"))
     return (
-        prep.select(
+        per_session.select(
             "*",
             channel_group("first_source", "first_medium", "first_campaign").alias(
                 "first_user_default_channel_group"

@@ -56,12 +56,12 @@ def purchasing_sessions(facts: DataFrame) -> DataFrame:
 def buyer_behavior_by_campaign_from(facts: DataFrame, by_user: DataFrame, *, sort: bool = True) -> DataFrame:
     """R2 on a session-facts table and an R3 result (`sort=False` when the
     result feeds another report)."""
-    smc = purchasing_sessions(facts).select("user_pseudo_id", "session_id", *LABELS)
-    bb = by_user.select("user_pseudo_id", "new", "renew", "lapsed")
+    buying = purchasing_sessions(facts).select("user_pseudo_id", "session_id", *LABELS)
+    flags = by_user.select("user_pseudo_id", "new", "renew", "lapsed")
     user = F.col("user_pseudo_id")
     flagged = lambda c: F.count_distinct(F.when(F.col(c) == 1, user))
     out = (
-        smc.join(bb, "user_pseudo_id", "left")
+        buying.join(flags, "user_pseudo_id", "left")
         .groupBy(*LABELS)
         .agg(
             F.count_distinct(_session_key()).alias("count_purchasing_sessions"),

@@ -41,7 +41,7 @@ def email_campaign_stats_from(
     """R9 on saved inputs: R13, R8 (30-day run), R12, R2 and the mailing
     table. NULL labels never join; a campaign mailed several times gives
     one row per mailing."""
-    prep = (
+    mail_sessions = (
         session_source.where(F.col("medium") == F.lit(medium))
         .join(items, SESSION, "left")
         .groupBy(*LABELS)
@@ -53,8 +53,8 @@ def email_campaign_stats_from(
             F.sum("conversion_flag").alias("conversion_count"),
         )
     )
-    su = user_counts.select(*LABELS, "count_sessions", "count_engaged_sessions", F.col("count_users").alias("count_user_pseudo_id"))
-    bb = buyer_mix.select(
+    counts = user_counts.select(*LABELS, "count_sessions", "count_engaged_sessions", F.col("count_users").alias("count_user_pseudo_id"))
+    mix = buyer_mix.select(
         *LABELS, "count_purchasing_user_pseudo_id", "count_new_buyers", "count_renew_buyers", "count_lapsed_buyers"
     )
 
@@ -63,8 +63,8 @@ def email_campaign_stats_from(
 
     mail = campaigns.select(F.col("name").alias("_mail_name"), "ldate", *[to_int(m).alias(m) for m in CAMPAIGN_METRICS])
     return (
-        prep.join(su, LABELS, "left")
-        .join(bb, LABELS, "left")
+        mail_sessions.join(counts, LABELS, "left")
+        .join(mix, LABELS, "left")
         .join(mail, F.col("campaign") == F.col("_mail_name"), "left")
         .drop("_mail_name")
         .orderBy(F.desc("total_product_revenue"))
