@@ -7,4 +7,5 @@ partitions, pushes filters into the Parquet scan and plans the shuffles.
 
 from clickfold.session import ensure_checkpoint_dir, get_spark
 
-__all__ = ["get_spark", "ensure_checkpoint_dir"]
+__version__ = "0.1.0"
+__all__ = ["__version__", "ensure_checkpoint_dir", "get_spark"]
