@@ -5,6 +5,9 @@ The driver ships `events(event_id, ts, user_id, event_type, value, props)` and
 into one export row with `event_params`, `items`, `geo`, ... so the reports run
 on real nested input, while the DuckDB oracle works from the flat columns.
 It is a row-wise projection: it partitions and scales with the flat table.
+Day arithmetic uses floor division and a non-negative modulo, so the mapping
+is also defined (and equal to the oracle's) for days before 2024-01-01; on
+the driver's data it is exactly FIXTURES.md.
 """
 
 from __future__ import annotations
