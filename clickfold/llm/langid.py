@@ -212,9 +212,10 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") ->
     """`docs` without the rows that the model calls `und`; all columns stay."""
 
     @F.arrow_udf(BooleanType())
-    def known(text: pa.Array) -> pa.Array:
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
-        return pa.array([scorer.predict(t.as_py())[0] != UNKNOWN for t in text], pa.bool_())
+        for part in texts:
+            yield pa.array([scorer.predict(t.as_py())[0] != UNKNOWN for t in part], pa.bool_())
 
     return docs.where(known(F.col(text_col)))
 
