@@ -6,11 +6,11 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import bpe, langid, linededup, mixing
-from clickfold.llm.common import ship_package, table
+from clickfold.llm import ann, bpe, chat, embeddedup, langid, linededup, mixing, secrets, simhash, warc
+from clickfold.llm.common import hex64, scratch, ship_package, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -31,6 +31,37 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def secret_digests(found: DataFrame) -> DataFrame:
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return mixing.mixed(sized, plan).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -41,6 +72,31 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
+    return warc.read_archives(spark, path)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    replies = scratch(chat.replies_of(talks), "replies")
+    return chat_digests(chat.format_paths(replies, chat.best_paths(replies))).withColumnRenamed("tree", "conv_id")
+
+
+def chat_digests(formatted: DataFrame) -> DataFrame:
+    """Everything but the ids is read back from the formatted conversations."""
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    written = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return formatted.select(
+        "tree", F.size(turns).cast("long").alias("n_turns"), F.sha2(written, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def bpe_digests(coded: DataFrame) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -57,6 +113,10 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+OPERATORS = (
+    op1_language_id, op2_line_dedup, op3_secret_scan, op4_embedding_dedup, op5_simhash_dedup,
+    op6_nearest_neighbours, op7_mixing, op8_bpe, op9_warc, op10_chat_formatting,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_language_id, op2_line_dedup, op7_mixing, op8_bpe)
+    f.__name__: shipped(f) for f in OPERATORS
 }

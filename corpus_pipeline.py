@@ -1,4 +1,5 @@
-"""Corpus pipeline over `documents`: language ID, line dedup, mixing, BPE.
+"""Corpus pipeline over `documents`: language ID, line dedup, SimHash
+near-dedup, mixing to target weights, BPE.
 
 Every stage works on all rows its predecessor kept. All but the last return
 the columns of `documents`.
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import bpe, langid, linededup, mixing, queries
+from clickfold.llm import bpe, langid, linededup, mixing, queries, simhash
 from clickfold.llm.common import scratch, ship_package
 
 ORACLE_SQL = None  # hashes, merges and a trained model; tested stage by stage instead
@@ -32,6 +33,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies.
+    Rows without an id are kept unless a document with one is in their group."""
+    ship_package(spark)
+    return simhash.keep_first(docs, shingle=4, max_bits=4)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents until each source nears its target."""
     _, plan = mixing.plan_mix(docs)
@@ -48,6 +56,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identify_languages),
     ("line_dedup", dedup_lines),
+    ("simhash_dedup", dedup_near),
     ("mixing", mix_sources),
     ("bpe", tokenize),
 ]

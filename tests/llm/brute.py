@@ -83,3 +83,64 @@ def targets(rows: list[tuple]) -> dict:
         left -= sum(target[s] for s in over)
         free -= over
     return sizes, target
+
+
+def spans(text: str | None) -> list[tuple]:
+    """Base secret spans (kind, start, end) by the contract's own patterns."""
+    text = text or ""
+    out = []
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for m in re.finditer(assign, text, re.IGNORECASE | re.ASCII):
+        if len(m.group(2)) >= 8:
+            out.append((m.start(), 0, "assign", m.end()))
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        if len(m.group()) >= 16:
+            out.append((m.start(), 1, "access", m.end()))
+    for m in re.finditer("[0-9a-f]+", text):
+        if len(m.group()) >= 32:
+            out.append((m.start(), 2, "hex", m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def components(nodes: list, edges: list[tuple]) -> dict:
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def simhash(text: str | None, k: int = 4) -> int:
+    import xxhash
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = WORDS.findall((text or "").translate(lower))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(rows: list[tuple]) -> dict[int, tuple]:
+    fps = {r[0]: simhash(r[1]) for r in rows}
+    ids = sorted(fps)
+    edges = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 4]
+    comp = components(ids, edges)
+    return {i: (f"{fps[i]:016x}", comp[i]) for i in ids}
+
+
+def conversation(rows: list[tuple]) -> tuple:
+    """rows: (turn, role, text) of one conversation."""
+    first = lambda x: (x is not None, x if x is not None else 0)
+    rows = sorted(rows, key=lambda r: (first(r[0]), (r[1] is not None, r[1] or ""), (r[2] is not None, r[2] or "")))
+    turns = "".join(f"{r[1] or ''}\n{r[2] or ''}\n" for r in rows)
+    loss = "".join(r[2] or "" for r in rows if r[1] == "assistant")
+    return len(rows), sha(turns), len(loss), sha(loss)

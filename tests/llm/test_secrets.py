@@ -1,0 +1,45 @@
+import random
+
+import pytest
+
+from clickfold.llm import queries, secrets
+from tests.llm import brute
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(9)
+    parts = ["password", "passwd", "PassWord", "ſecret", "secret", "toKen", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "==",
+             "abcdefgh", "short", "0123456789abcdef" * 2, "0123456789abcdef" * 3, "AKIA", "AKIAABCDEFGHIJKL", "AKIAAKIA", "é", "🙂", "\n", ".", "-/+_", "deadbeef", "x"]
+    out = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25))), None, None, None, 0) for i in range(400)]
+    odd = [None, "", "password=" + "a" * 5000, "é" * 10 + "token = '0123456789abcdef0123456789abcdef'", "0" * 32, "0" * 31]
+    return out + [(1000 + i, t, None, None, None, 0) for i, t in enumerate(odd)] + [(1, out[1][1], None, None, None, 5)]
+
+
+def test_base_spans(spark, rows, tmp_path):
+    spark.createDataFrame(rows, brute.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_secret_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by_id = {r[0]: r[1] for r in rows}
+    for r in got:
+        want = brute.spans(by_id[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex")]
+        assert r["base_sha256"] == brute.sha(",".join(f"{k}:{s}:{e}" for k, s, e in want))
+        listed = [x for x in r["spans"].split(",") if x and not x.startswith("novel:")]
+        assert listed == [f"{k}:{s}:{e}" for k, s, e in want]
+
+
+def test_novelty_reports_random_strings_in_sensitive_context_only():
+    found = lambda t: secrets.Novelty(0.7).spans(t, t.lower(), secrets.base_spans(t, t.lower()))
+    key = "xK9vQ2mZr7LpW4tYb8NcJ3dHs6Fg"
+    text = f"def connect(client):\n    credentials.load('{key}')\n"
+    assert [(text[s:e], k) for s, k, e in found(text)] == [(key, 3)]
+    assert found(f"the picture is called {key} and is large") == []  # no sensitive word near
+    assert found("authorization = get_credentials_from_password_settings_file_2()") == []  # made of identifiers
+    copied = f"{key} {key} " + "auth " + key
+    assert found(copied) == []  # already in the code around it
+    assert found(f"password={key}") == []  # covered by a base span
+
+
+def test_empty_table(spark):
+    assert secrets.scan(spark.createDataFrame([], brute.SCHEMA)).collect() == []
