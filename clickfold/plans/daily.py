@@ -41,6 +41,10 @@ TABLES = {
 }
 
 
+def utc_today() -> dt.date:
+    return dt.datetime.now(dt.timezone.utc).date()
+
+
 def table_path(root: str, key: str, as_of: dt.date) -> str:
     return f"{root.rstrip('/')}/{TABLES[key]}/as_of={as_of.isoformat()}"
 
@@ -113,7 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--campaigns-format", default="parquet")
     ap.add_argument("--buyers-format", default="parquet")
     ap.add_argument("--out", required=True, help="root folder of the report tables")
-    ap.add_argument("--as-of", default=dt.date.today().isoformat(), help="the run's 'today' (default: today)")
+    ap.add_argument("--as-of", default=utc_today().isoformat(), help="the run's 'today' (default: today, UTC)")
     ap.add_argument("--keep-scratch", action="store_true", help="keep the shared intermediate tables")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or get_spark(app="clickfold-daily")

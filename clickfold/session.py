@@ -1,4 +1,4 @@
-"""Spark session defaults for the library and its tests."""
+"""Spark session defaults of the library; local sessions for tests and bench."""
 
 from __future__ import annotations
 
@@ -26,26 +26,34 @@ def get_spark(
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Local session for tests and the bench; on a cluster use your own
-    session and only make sure the DEFAULT_CONF keys hold."""
-    builder = SparkSession.builder.master(f"local[{cores or '*'}]").appName(app)
+    """The session of this process, with the DEFAULT_CONF keys.
+
+    Master, heap and shuffle partitions are those of the submit command; no
+    argument, no setting. `cores` asks for a local session (tests, bench):
+    it sets the master, as many shuffle partitions and a local heap.
+    """
+    builder = SparkSession.builder.appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cores or 8)
-    conf["spark.driver.memory"] = os.environ.get("CLICKFOLD_DRIVER_MEMORY", "16g")
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]")
+        conf["spark.sql.shuffle.partitions"] = str(8 if cores == "*" else cores)
+        conf["spark.driver.memory"] = os.environ.get("CLICKFOLD_DRIVER_MEMORY", "8g")
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    On a cluster `spark.checkpoint.dir` names a shared folder and is used as
-    is. Only when it is unset (local runs, tests) a scratch folder is made.
+    `spark.checkpoint.dir` names it. Where it is unset, a local session (one
+    process, one disk) gets a scratch folder; on a cluster every executor
+    would write to a disk of its own, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +63,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not is_one_process(sc.master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set (master {sc.master}): name a folder that driver and executors share"
+            )
         configured = tempfile.mkdtemp(prefix="clickfold-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def is_one_process(master: str) -> bool:
+    """Whether the master runs everything in the driver's process."""
+    return master == "local" or master.startswith("local[")

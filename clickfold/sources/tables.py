@@ -8,11 +8,15 @@ read, and a lineage cut: a lost executor recomputes from the table, not
 from the event scan.
 
 `scratch_scope` removes the tables written inside it when it exits, for
-jobs (like the daily run) that know when their intermediates are done.
+jobs (like the daily run) that know when their intermediates are done; an
+outer scope no longer holds what an inner one has deleted. A report called
+on its own keeps its tables until `free_scratch(df)` or the end of the
+application's folder, since its result reads them.
 """
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Iterator
@@ -58,7 +62,19 @@ def scratch_scope(spark: SparkSession, *, keep: bool = False) -> Iterator[list[s
     try:
         yield created
     finally:
-        scopes.remove(created)
+        # by identity: two open scopes may hold equal lists
+        scopes[:] = [s for s in scopes if s is not created]
         if not keep:
             for path in created:
                 _delete(spark, path)
+            for outer in scopes:
+                outer[:] = [p for p in outer if p not in created]
+
+
+def free_scratch(df: DataFrame) -> list[str]:
+    """Delete the scratch tables that `df` reads (once its result is used or
+    saved); returns their paths. Only tables of this module are touched."""
+    tables = sorted({m.group(0) for f in df.inputFiles() if (m := re.search(r".*/clickfold-tables/[^/]+/[^/]+(?=/)", f))})
+    for path in tables:
+        _delete(df.sparkSession, path)
+    return tables
