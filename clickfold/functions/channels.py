@@ -1,7 +1,6 @@
 """Default channel grouping: an ordered rule list, first hit wins.
 
-The rules are data (RULES) so that one table feeds both the Spark column
-expression here and the SQL of the test oracle.
+The rules are data (RULES); the test oracle states them on its own.
 """
 
 from __future__ import annotations
@@ -58,9 +57,10 @@ CHANNELS = [name for name, _ in RULES] + [FALLBACK]
 
 
 def java_pattern(pattern: str) -> str:
-    """The rules' `$` matches only at the very end of the text; Java's
-    also matches before a final line break. `\\z` is the former."""
-    return pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
+    """The rules' `$` matches only at the very end of the text (`\\z`); Java's
+    also matches before a final line break. Their `.` stops at "\\n" alone
+    (`(?d)`); Java's also at "\\r", U+0085, U+2028 and U+2029."""
+    return "(?d)" + (pattern[:-1] + r"\z" if pattern.endswith("$") else pattern)
 
 
 def _column(cond, cols: dict[str, Column]) -> Column:

@@ -16,7 +16,8 @@ Plan shape, built for a user that holds a large share of the sessions:
   with (see ordinal.py), no window over all of a user's rows;
 * time decay's denominator: closed form of sum_{j=1..m} 2^(j/n);
 * last non-direct click: one `max_by` aggregate per user;
-* six weights become rows with one `explode` and one final aggregate.
+* five weights are summed per label in one aggregate; only the label rows
+  are turned into (model, label) rows.
 
 Deviation from the source engine: a user whose sessions all lack a session
 id has n = 0; time decay gives NULL weight there, where the source would
@@ -46,6 +47,8 @@ POSITION_PAIR = 0.5      # each session when n = 2
 # ---------------------------------------------------------------------------
 
 DAY_MICROS = 86_400_000_000
+#: Buyers up to which their ids (some tens of bytes each) are broadcast.
+BROADCAST_USERS = 200_000
 USER = "user_pseudo_id"
 
 
@@ -126,11 +129,15 @@ def attribution_sessions(
         # huge number of sessions across tasks (its skew-join rule only
         # applies when both join inputs are shuffles it inserted).
         conv = scratch_table(conv, "first_conversions")
-    # Sessions are aggregated first (map-side combined, so a user or session
-    # holding many events costs one partial row per task) and only then
-    # meet the one-row-per-user conversions. A semi join on raw events would
-    # shuffle the events themselves by user ahead of the aggregate.
     ev = in_window(events, as_of, conversion_days + acquisition_days, end_offset=1, include_intraday=False)
+    # Events of users who never bought are dropped at the scan while the
+    # buyers are few enough to broadcast (counted in the written table).
+    # Beyond that, sessions are aggregated first (map-side combined, so a user
+    # or session holding many events costs one partial row per task) and only
+    # then meet the conversions: a shuffled semi join would move the raw
+    # events themselves by user.
+    if materialize and conv.count() <= BROADCAST_USERS:
+        ev = ev.join(F.broadcast(conv.select(USER)), USER, "left_semi")
     labels = [dims, *[d for d in extra_dims if d != dims]]
     sess = ev.groupBy(F.col(USER), session_id().alias("session_id")).agg(
         F.min("event_timestamp").alias("session_start"),
@@ -164,7 +171,7 @@ def attribution_sessions(
     else:
         bucket = F.floor(start / F.lit(MINUTE_MICROS))
     key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
-    return ordinal_within(
+    numbered = ordinal_within(
         rows,
         USER,
         order,
@@ -176,6 +183,8 @@ def attribution_sessions(
             "conv_key": (F.max(F.when(F.col("conversion_id").isNotNull(), key)), "max"),
         },
     ).drop("_range")
+    # one numbering for every report and model that reads these rows
+    return scratch_table(numbered, "numbered_sessions") if materialize else numbered
 
 
 def _decay_total(m: Column, n: Column) -> Column:
@@ -252,8 +261,9 @@ def attribution_reports(
     acquisition_days: int = 30,
     dims_list: tuple[tuple[str, ...], ...] = (("source", "medium"), ("source", "medium", "campaign")),
 ) -> list[DataFrame]:
-    """R10 and R11 (or any label sets) from one numbered session table:
-    one scan of the window, one numbering, one aggregate per label set."""
+    """R10 and R11 (or any label sets) from one numbered session table,
+    written once: one scan of the window for purchases, one for sessions, one
+    numbering, and one aggregate per label set and model kind."""
     raw = attribution_sessions(
         events, as_of, conversion_days, acquisition_days, dims_list[0], extra_dims=tuple(dims_list[1:])
     )
@@ -263,8 +273,7 @@ def attribution_reports(
 def attribution_from(raw: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """Summed credit per model and label from `attribution_sessions` rows."""
     label = label_name(dims)
-    w = model_weights(raw)
-    # (model, weight column, keep rows without weight?)
+    # (model, weight column, keep labels without any weight?)
     arms = [
         ("first click", "w_first_click", False),
         ("last click", "w_last_click", False),
@@ -272,21 +281,20 @@ def attribution_from(raw: DataFrame, dims: tuple[str, ...]) -> DataFrame:
         ("time decay", "w_time_decay", True),
         ("position based", "w_position_based", True),
     ]
-    per_row = w.select(
-        F.col(label),
-        F.explode(F.array(*[
-            F.struct(F.lit(mname).alias("m"), F.col(col).alias("w"), F.lit(keep).alias("keep")) for mname, col, keep in arms
-        ])).alias("a"),
-    ).where(F.col("a")["keep"] | F.col("a")["w"].isNotNull())
-    arms_rows = per_row.select(F.col("a")["m"].alias("attribution_model"), F.col(label), F.col("a")["w"].alias("w"))
-    lnd_rows = last_non_direct(raw, dims).select(
-        F.lit("last non direct click").alias("attribution_model"), F.col(label), F.col("attribution_weight").alias("w")
-    )
-    return (
-        arms_rows.unionByName(lnd_rows)
-        .groupBy("attribution_model", label)
-        .agg(F.sum("w").alias("attribution_weight"))
+    # one row per label with a sum per model; only these few are unpivoted
+    sums = model_weights(raw).groupBy(label).agg(*[F.sum(col).alias(col) for _, col, _ in arms])
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("m"), F.col(col).alias("w"), F.lit(keep).alias("keep")) for name, col, keep in arms
+    ])
+    per_model = sums.select(label, F.explode(rows).alias("a")).where(F.col("a")["keep"] | F.col("a")["w"].isNotNull())
+    per_model = per_model.select(F.col("a")["m"].alias("attribution_model"), F.col(label), F.col("a")["w"].alias("attribution_weight"))
+    non_direct = (
+        last_non_direct(raw, dims)
+        .groupBy(label)
+        .agg(F.sum("attribution_weight").alias("attribution_weight"))
+        .select(F.lit("last non direct click").alias("attribution_model"), label, "attribution_weight")
     )
+    return per_model.unionByName(non_direct)
 
 
 def model_rows(raw_weights: DataFrame, weight_col: str, dims: tuple[str, ...], keep_null: bool) -> DataFrame:

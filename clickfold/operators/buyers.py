@@ -57,19 +57,24 @@ def buyer_behavior_by_campaign_from(facts: DataFrame, by_user: DataFrame, *, sor
     """R2 on a session-facts table and an R3 result (`sort=False` when the
     result feeds another report)."""
     buying = purchasing_sessions(facts).select("user_pseudo_id", "session_id", *LABELS)
-    flags = by_user.select("user_pseudo_id", "new", "renew", "lapsed")
-    user = F.col("user_pseudo_id")
-    flagged = lambda c: F.count_distinct(F.when(F.col(c) == 1, user))
-    out = (
-        buying.join(flags, "user_pseudo_id", "left")
-        .groupBy(*LABELS)
-        .agg(
-            F.count_distinct(_session_key()).alias("count_purchasing_sessions"),
-            F.count_distinct(user).alias("count_purchasing_user_pseudo_id"),
-            flagged("new").alias("count_new_buyers"),
-            flagged("renew").alias("count_renew_buyers"),
-            flagged("lapsed").alias("count_lapsed_buyers"),
-        )
+    # Sessions reduce to one row per (labels, user) before the user join, so
+    # a user with very many sessions meets the flags once per label set. The
+    # flags are reduced to one row per user (a buyer may be listed twice).
+    users = buying.select(*LABELS, "user_pseudo_id").distinct()
+    any_ = lambda c: F.max((F.col(c) == 1).cast("int")).alias(c)
+    flags = by_user.groupBy("user_pseudo_id").agg(any_("new"), any_("renew"), any_("lapsed"))
+    flagged = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    per_label = users.join(flags, "user_pseudo_id", "left").groupBy(*LABELS).agg(
+        F.count("user_pseudo_id").alias("count_purchasing_user_pseudo_id"),
+        flagged("new").alias("count_new_buyers"),
+        flagged("renew").alias("count_renew_buyers"),
+        flagged("lapsed").alias("count_lapsed_buyers"),
+    )
+    counts = buying.groupBy(*LABELS).agg(F.count_distinct(_session_key()).alias("count_purchasing_sessions"))
+    same = [counts[c].eqNullSafe(per_label[c]) for c in LABELS]
+    out = counts.join(per_label, same[0] & same[1] & same[2]).select(
+        *[counts[c] for c in LABELS], "count_purchasing_sessions", "count_purchasing_user_pseudo_id",
+        "count_new_buyers", "count_renew_buyers", "count_lapsed_buyers",
     )
     return out.orderBy(F.desc("count_purchasing_user_pseudo_id")) if sort else out
 

@@ -11,6 +11,7 @@ bound changes the result. Doubles are rounded to 6 digits for comparison.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ from clickfold.functions.channels import channel_group
 from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat
 from clickfold.operators import acquisition, buyers, commerce, email, funnel, sessions
 from clickfold.operators import attribution as attr
-from clickfold.sources.events import in_window
+from clickfold.session import ensure_checkpoint_dir
+from clickfold.sources.events import in_window, read_table, write_table
 from clickfold.sources.fixture import buyers_for, campaign_table, export_for
+from clickfold.sources.lookups import read_buyers, read_campaigns
 
 AS_OF = dt.date(2024, 1, 30)
 
@@ -173,31 +176,80 @@ for (_c, _a), _sfx in (((30, 30), ""), ((10, 10), "_10_10")):
         return attr.attribution(_ev(spark, sf_dir), AS_OF, _c, _a, _SMC)
 
 
-@register("m16_first_conversion")
-def _m16(spark, sf_dir):
-    return attr.first_conversion(_ev(spark, sf_dir), AS_OF, 10)
+def _weights(spark, sf_dir, conv: int, acq: int):
+    return attr.model_weights(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, conv, acq, _SM))
 
 
-def _weights(spark, sf_dir):
-    return attr.model_weights(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, 10, 10, _SM))
+for (_c, _a), _sfx in (((30, 30), ""), ((10, 10), "_10_10")):
+
+    @register(f"m16_first_conversion{_sfx}")
+    def _m16(spark, sf_dir, _c=_c):
+        return attr.first_conversion(_ev(spark, sf_dir), AS_OF, _c)
+
+    @register(f"m19_last_non_direct{_sfx}")
+    def _m19(spark, sf_dir, _c=_c, _a=_a):
+        return attr.last_non_direct(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, _c, _a, _SM), _SM)
+
+    for _name, _col, _keep in (
+        ("m17_first_click", "w_first_click", False),
+        ("m18_last_click", "w_last_click", False),
+        ("m20_linear", "w_linear", True),
+        ("m21_time_decay", "w_time_decay", True),
+        ("m22_position_based", "w_position_based", True),
+    ):
+
+        @register(f"{_name}{_sfx}")
+        def _m(spark, sf_dir, _c=_c, _a=_a, _col=_col, _keep=_keep):
+            return attr.model_rows(_weights(spark, sf_dir, _c, _a), _col, _SM, _keep)
+
+
+# the reports that read other reports, over saved tables as the daily run does
+def _saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/saved/{uuid.uuid4().hex}/{name}"
+    write_table(df, path)
+    return read_table(spark, path)
+
+
+def _saved_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/saved/{uuid.uuid4().hex}/buyers"
+    write_table(buyers_for(spark, sf_dir), path)
+    return read_buyers(spark, path)
 
 
-for _name, _col, _keep in (
-    ("m17_first_click", "w_first_click", False),
-    ("m18_last_click", "w_last_click", False),
-    ("m20_linear", "w_linear", True),
-    ("m21_time_decay", "w_time_decay", True),
-    ("m22_position_based", "w_position_based", True),
-):
+def _saved_campaigns(spark: SparkSession) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/saved/{uuid.uuid4().hex}/campaigns"
+    write_table(campaign_table(spark), path)
+    return read_campaigns(spark, path)
 
-    @register(_name)
-    def _m(spark, sf_dir, _col=_col, _keep=_keep):
-        return attr.model_rows(_weights(spark, sf_dir), _col, _SM, _keep)
 
+@register("r01_saved")
+def _r01_saved(spark, sf_dir):
+    """R1 on a saved R4."""
+    r4 = _saved(spark, commerce.cart_abandonment(_ev(spark, sf_dir), AS_OF, 1), "r04")
+    return commerce.abandoned_cart_user_ids(r4)
 
-@register("m19_last_non_direct")
-def _m19(spark, sf_dir):
-    return attr.last_non_direct(attr.attribution_sessions(_ev(spark, sf_dir), AS_OF, 10, 10, _SM), _SM)
+
+def _saved_r2(spark, sf_dir, facts: DataFrame) -> DataFrame:
+    r3 = buyers.buyer_behavior_by_user_from(buyers.user_accounts(facts), _saved_buyers(spark, sf_dir))
+    return buyers.buyer_behavior_by_campaign_from(facts, _saved(spark, r3, "r03"))
+
+
+@register("r02_saved")
+def _r02_saved(spark, sf_dir):
+    """R2 on a saved R3, buyers read from a lookup table."""
+    facts = _saved(spark, sessions.session_facts(_ev(spark, sf_dir), AS_OF, 60), "facts")
+    return _saved_r2(spark, sf_dir, facts)
+
+
+@register("r09_saved")
+def _r09_saved(spark, sf_dir):
+    """R9 on saved R13, R8 (30 days), R12, R2 and mailing tables."""
+    facts = _saved(spark, sessions.session_facts(_ev(spark, sf_dir), AS_OF, 60), "facts")
+    r13 = _saved(spark, facts.select("user_pseudo_id", "session_id", "session_engaged", "source", "medium", "campaign"), "r13")
+    r8 = _saved(spark, commerce.items_by_session(_ev(spark, sf_dir), AS_OF, 30), "r08")
+    r12 = _saved(spark, buyers.session_user_counts_from(facts), "r12")
+    r2 = _saved(spark, _saved_r2(spark, sf_dir, facts), "r02")
+    return email.email_campaign_stats_from(r13, r8, r12, r2, _saved_campaigns(spark))
 
 
 for _idays, _sfx in ((30, ""), (5, "_items_5d")):
@@ -291,6 +343,14 @@ def _m09(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("event_count"))
 
 
+@register("m10_channel_group_events")
+def _m10e(spark, sf_dir):
+    """The grouping of each event's own labels: every alternative of every rule."""
+    return in_window(_ev(spark, sf_dir), AS_OF, 30).groupBy(
+        *[event_param(c).alias(c) for c in ("source", "medium", "campaign")]
+    ).agg(F.count(F.lit(1)).alias("events")).withColumn("channel_group", channel_group("source", "medium", "campaign"))
+
+
 @register("m10_channel_group")
 def _m10(spark, sf_dir):
     return _first_sources(spark, sf_dir).groupBy(

@@ -24,7 +24,7 @@ from clickfold.schema import CAMPAIGN_METRICS, CAMPAIGN_SCHEMA, EVENT_SCHEMA
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import read_events
 
-FIXTURE_VERSION = "3"
+FIXTURE_VERSION = "4"
 
 # --- fixed values of the fixture mapping (FIXTURES.md section 3) -----------
 EPOCH_DAY = "2024-01-01"
@@ -37,7 +37,9 @@ EVENT_NAMES = {
     "signup": "session_start",
     "error": "user_engagement",
 }
-PAGE_TITLES = ["Home | Demo", "Shows  | Demo", "Tickets | Demo", "Plain title", None]
+PAGE_TITLES = [
+    "Home | Demo", "Shows  | Demo", "Tickets | Demo", "Plain title", None, "Ho\rme | Demo", "Late\u2028show\x0b\x85 | Demo",
+]
 # (source, medium, campaign); None = parameter absent
 TRAFFIC_LIST = [
     ("google", "cpc", "brand"), ("google", "organic", None), ("bing", "ppc", "fall"),
@@ -50,7 +52,24 @@ TRAFFIC_LIST = [
     ("(direct)", "(not set)", None), ("dm", "e-mail", "dm1"), ("google", "cpc", "shop-sale"),
     (None, "email", "oct-news"),
 ]
-# traffic_source by user_id % 4
+# Every alternative of the channel rules, combined by q = event_id div 7 on
+# events with event_id % 7 = 3 (list lengths share no factor).
+ALT_SOURCES = [
+    "alibaba", "amazon", "google shopping", "shopify", "etsy", "ebay", "stripe", "walmart",
+    "baidu", "bing", "duckduckgo", "ecosia", "google", "yahoo", "yandex",
+    "badoo", "facebook", "fb", "instagram", "linkedin", "pinterest", "tiktok", "twitter", "whatsapp",
+    "dailymotion", "disneyplus", "netflix", "youtube", "vimeo", "twitch",
+    "email", "e-mail", "e_mail", "e mail", "(direct)", "plain", None,
+]
+ALT_MEDIUMS = [
+    "cpc", "ppc", "paid", "paid\rx", "a\rcpc", "xcp\u2028y", "organic", "(none)", "(not set)",
+    "display", "banner", "expandable", "interstitial", "cpm",
+    "social", "social-network", "social-media", "sm", "social network", "social media",
+    "a video b", "vi\x85 video", "email", "e-mail", "e_mail", "e mail", "affiliate", "referral", "audio", "sms",
+    "web push", "mobile", "app notification", "misc", "ppc\n", None,
+]
+ALT_CAMPAIGNS = [None, "brand", "cross-network x", "e-shop", "a\rshopping"]
+# traffic_source by user_id % 4, one further on events with k % 9 = 0
 FIRST_USER_TRAFFIC = [
     ("google", "cpc", "brand"), (None, None, None),
     ("newsletter", "email", "oct-news"), ("facebook", "social", "fb1"),
@@ -136,8 +155,14 @@ def nested_events(flat: DataFrame) -> DataFrame:
     j = F.when(k % 10 == 0, k % 24).otherwise(F.pmod(uid * 7 + F.floor(dd / 3), F.lit(24))).cast("int")
     traffic = F.get(_lit_triples(TRAFFIC_LIST, ("source", "medium", "campaign")), j)
     has_traffic = k % 4 != 0
+    q, is_alt = F.floor(eid / 7), eid % 7 == 3
+
+    def label(part: str, alternatives: list) -> Column:
+        alt = F.get(F.array(*[F.lit(a).cast("string") for a in alternatives]), (q % len(alternatives)).cast("int"))
+        return F.when(has_traffic, F.when(is_alt, alt).otherwise(traffic[part]))
+
     session = F.when(eid % 37 != 0, F.lit(SESSION_BASE_SECONDS) + (dd - F.pmod(dd, F.lit(3))) * 86400)
-    title = F.get(F.array(*[F.lit(t).cast("string") for t in PAGE_TITLES]), (k % 5).cast("int"))
+    title = F.get(F.array(*[F.lit(t).cast("string") for t in PAGE_TITLES]), (k % 7).cast("int"))
     engaged = eid % 3
     params = F.array(
         _iparam("ga_session_id", session),
@@ -146,14 +171,18 @@ def nested_events(flat: DataFrame) -> DataFrame:
         _sparam("session_engaged", F.when(engaged == 0, F.lit("1")).when(engaged == 2, F.lit("0"))),
         _iparam("session_engaged", F.when(engaged == 1, F.lit(1))),
         _iparam("engagement_time_msec", F.when(eid % 2 == 0, F.floor(value * 1000))),
-        _sparam("source", F.when(has_traffic, traffic["source"])),
-        _sparam("medium", F.when(has_traffic, traffic["medium"])),
-        _sparam("campaign", F.when(has_traffic, traffic["campaign"])),
+        _sparam("source", label("source", ALT_SOURCES)),
+        _sparam("medium", label("medium", ALT_MEDIUMS)),
+        _sparam("campaign", label("campaign", ALT_CAMPAIGNS)),
     )
     event_params = F.array_compact(params)
 
     is_purchase = event_name == "purchase"
-    price = (F.floor(value) + F.lit(0.5) * (k % 2)).cast("double")
+    price = (
+        F.when(k % 20 == 0, F.lit(0.0005) * (k % 3 + 1).cast("double"))
+        .when((k % 20 == 1) & (event_name == "add_to_cart"), F.lit(12345678.25) + (k % 3).cast("double"))
+        .otherwise(F.floor(value).cast("double") + k.cast("double") / F.lit(100.0))
+    )
     qty = (k % 3 + 1).cast("bigint")
     revenue = F.when(is_purchase, price * qty)
 
@@ -170,20 +199,21 @@ def nested_events(flat: DataFrame) -> DataFrame:
         .when(shape == 2, F.array(it(F.lit(FEES[0]), F.lit(FEES[1]))))
         .otherwise(F.array(it(F.lit(GIFT[0]), F.lit(GIFT[1])), it(F.lit(FEES[0]), F.lit(FEES[1]))))
     )
-    first_user = F.get(_lit_triples(FIRST_USER_TRAFFIC, ("source", "medium", "name")), (uid % 4).cast("int"))
+    first_user = F.get(_lit_triples(FIRST_USER_TRAFFIC, ("source", "medium", "name")), ((uid + (k % 9 == 0).cast("int")) % 4).cast("int"))
     geo = F.struct(
-        F.concat(F.lit("R"), (uid % 5).cast("string")).alias("continent"),
-        F.concat(F.lit("S"), (uid % 10).cast("string")).alias("sub_continent"),
-        F.concat(F.lit("C"), (uid % 25).cast("string")).alias("country"),
-        F.concat(F.lit("G"), (uid % 40).cast("string")).alias("region"),
+        F.concat(F.lit("R"), ((uid + k % 2) % 5).cast("string")).alias("continent"),
+        F.concat(F.lit("S"), ((uid + k % 3) % 10).cast("string")).alias("sub_continent"),
+        F.concat(F.lit("C"), ((uid + k % 5) % 25).cast("string")).alias("country"),
+        F.concat(F.lit("G"), ((uid + k % 7) % 40).cast("string")).alias("region"),
         F.when(k % 6 != 0, F.concat(F.lit("T"), (uid % 50).cast("string"))).alias("city"),
-        F.concat(F.lit("M"), (uid % 20).cast("string")).alias("metro"),
+        F.concat(F.lit("M"), ((uid + k % 4) % 20).cast("string")).alias("metro"),
     )
     out = base.select(
         F.col("_us").alias("event_timestamp"),
         event_name.alias("event_name"),
         event_params.alias("event_params"),
-        F.when(uid % 3 != 0, uid.cast("string")).alias("user_id"),
+        F.when(uid % 5 == 2, F.when(k % 2 == 0, F.lit("9")).otherwise(F.lit("10")))
+        .when(uid % 3 != 0, uid.cast("string")).alias("user_id"),
         F.concat(F.lit("u"), uid.cast("string")).alias("user_pseudo_id"),
         items.alias("items"),
         F.struct(F.when(is_purchase, value).alias("purchase_revenue")).alias("ecommerce"),
@@ -197,11 +227,14 @@ def nested_events(flat: DataFrame) -> DataFrame:
 
 
 def buyers_from_customers(customer: DataFrame) -> DataFrame:
+    """Flags by c_custkey % 4; every tenth buyer is listed a second time, as renewing."""
     c = F.col("c_custkey")
     flag = lambda r: F.when(c % 4 == r, F.lit(1)).otherwise(F.lit(0)).cast("int")
-    return customer.select(
-        c.cast("bigint").alias("const_id"), flag(0).alias("new"), flag(1).alias("renew"), flag(2).alias("lapsed")
-    )
+    one, none = F.lit(1).cast("int"), F.lit(0).cast("int")
+    own = F.struct(flag(0).alias("new"), flag(1).alias("renew"), flag(2).alias("lapsed"))
+    again = F.struct(none.alias("new"), one.alias("renew"), none.alias("lapsed"))
+    listed = F.explode(F.when(c % 10 == 0, F.array(own, again)).otherwise(F.array(own)))
+    return customer.select(c.cast("bigint").alias("const_id"), listed.alias("f")).select("const_id", "f.*")
 
 
 def campaign_table(spark: SparkSession) -> DataFrame:
@@ -244,7 +277,9 @@ def export_for(spark: SparkSession, sf_dir: str) -> DataFrame:
             flat = spark.read.parquet(f"{sf_dir}/events.parquet")
             (
                 nested_events(flat)
-                .repartition("event_date", "export_kind")
+                # a rebalance, not a repartition: a day of any size becomes as
+                # many files as its bytes ask for (AQE splits large partitions)
+                .hint("rebalance", "event_date", "export_kind")
                 .sortWithinPartitions("event_name", "user_pseudo_id")
                 .write.mode("overwrite")
                 .partitionBy("event_date", "export_kind")

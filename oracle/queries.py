@@ -180,7 +180,19 @@ SQL["r08_items_by_session_10d"] = with_base(_R8_OUT, _item_sums(10))
 
 # ---------------------------------------------------------------- R4 / R1 / M13-M15
 def _money(x: str) -> str:
-    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+    """Plain digits of the shortest text of a double, over its whole range."""
+    t = f"CAST({x} AS VARCHAR)"
+    return f"""(SELECT CASE
+      WHEN t IS NULL THEN NULL WHEN t = 'nan' THEN 'NaN' WHEN t LIKE '%inf' THEN t
+      WHEN t NOT LIKE '%e%' THEN regexp_replace(t, '\\.0$', '')
+      WHEN e >= length(f) THEN w || f || repeat('0', e - length(f))
+      WHEN e >= 0 THEN w || substr(f, 1, e) || '.' || substr(f, e + 1)
+      ELSE regexp_replace(w, '[0-9]+', '') || '0.' || repeat('0', -e - 1) || ltrim(w, '-') || f END
+    FROM (SELECT t, split_part(split_part(t, 'e', 1), '.', 1) AS w, split_part(split_part(t, 'e', 1), '.', 2) AS f,
+                 CAST(nullif(split_part(t, 'e', 2), '') AS INTEGER) AS e FROM (SELECT {t} AS t)))"""
+
+
+_FOLD = "list_reduce(list({v} ORDER BY {o}) FILTER ({v} IS NOT NULL), lambda a, b: a + b)"
 
 
 def _cart(days: int) -> str:
@@ -196,9 +208,16 @@ def _cart(days: int) -> str:
 carted AS (
   SELECT user_pseudo_id, ga_session_id AS session_id, item_id, item_name, quantity, price
   FROM ev_items WHERE {win(days)} AND event_name = 'add_to_cart'),
+priced AS (
+  SELECT user_pseudo_id, session_id, item_id, item_name, price, CAST(sum(quantity) AS DOUBLE) * price AS value
+  FROM carted GROUP BY user_pseudo_id, session_id, item_id, item_name, price),
+line_value AS (
+  SELECT user_pseudo_id, session_id, item_id, item_name, {_FOLD.format(v='value', o='price')} AS value
+  FROM priced GROUP BY user_pseudo_id, session_id, item_id, item_name),
 cart_value AS (
-  SELECT user_pseudo_id, session_id, sum(quantity * price) AS total_cart_price
-  FROM carted GROUP BY user_pseudo_id, session_id),
+  SELECT user_pseudo_id, session_id,
+    {_FOLD.format(v='value', o='item_name NULLS FIRST, item_id NULLS FIRST')} AS total_cart_price
+  FROM line_value GROUP BY user_pseudo_id, session_id),
 cart_items AS (
   SELECT user_pseudo_id, session_id, item_id, item_name,
     CAST(sum(quantity) AS BIGINT) AS item_quantity, max(price) AS max_item_price, min(price) AS min_item_price
@@ -370,19 +389,21 @@ SQL["r10_attribution_source_medium"] = _attr(30, 30, False)
 SQL["r10_attribution_source_medium_10_10"] = _attr(10, 10, False)
 SQL["r11_attribution_source_medium_campaign"] = _attr(30, 30, True)
 SQL["r11_attribution_source_medium_campaign_10_10"] = _attr(10, 10, True)
-SQL["m16_first_conversion"] = with_base(
-    "SELECT u AS user_pseudo_id, sid AS session_id, conv_id AS conversion_id, conv_ts AS conversion_timestamp "
-    "FROM earliest", _credit(10, 10, False))
 _ROWS = ("SELECT u AS user_pseudo_id, sid AS session_id, pos AS session_number, lbl AS source_medium, "
          "round({w}, 6) AS attribution_weight FROM {src}")
-SQL["m17_first_click"] = with_base(_ROWS.format(w="CAST(1 AS DOUBLE)", src="numbered WHERE pos = 1"), _credit(10, 10, False))
-SQL["m18_last_click"] = with_base(_ROWS.format(w="CAST(1 AS DOUBLE)", src="numbered WHERE pos = n_sess"), _credit(10, 10, False))
-SQL["m19_last_non_direct"] = with_base(
-    "SELECT u AS user_pseudo_id, conv_id AS conversion_id, lbl AS source_medium, CAST(1 AS DOUBLE) AS attribution_weight "
-    "FROM non_direct", _credit(10, 10, False))
-SQL["m20_linear"] = with_base(_ROWS.format(w="w_linear", src="weighted"), _credit(10, 10, False))
-SQL["m21_time_decay"] = with_base(_ROWS.format(w="w_decay", src="weighted"), _credit(10, 10, False))
-SQL["m22_position_based"] = with_base(_ROWS.format(w="w_position", src="weighted"), _credit(10, 10, False))
+for _n, _sfx in ((30, ""), (10, "_10_10")):
+    _ctes = _credit(_n, _n, False)
+    SQL[f"m16_first_conversion{_sfx}"] = with_base(
+        "SELECT u AS user_pseudo_id, sid AS session_id, conv_id AS conversion_id, conv_ts AS conversion_timestamp "
+        "FROM earliest", _ctes)
+    SQL[f"m17_first_click{_sfx}"] = with_base(_ROWS.format(w="CAST(1 AS DOUBLE)", src="numbered WHERE pos = 1"), _ctes)
+    SQL[f"m18_last_click{_sfx}"] = with_base(_ROWS.format(w="CAST(1 AS DOUBLE)", src="numbered WHERE pos = n_sess"), _ctes)
+    SQL[f"m19_last_non_direct{_sfx}"] = with_base(
+        "SELECT u AS user_pseudo_id, conv_id AS conversion_id, lbl AS source_medium, CAST(1 AS DOUBLE) AS attribution_weight "
+        "FROM non_direct", _ctes)
+    SQL[f"m20_linear{_sfx}"] = with_base(_ROWS.format(w="w_linear", src="weighted"), _ctes)
+    SQL[f"m21_time_decay{_sfx}"] = with_base(_ROWS.format(w="w_decay", src="weighted"), _ctes)
+    SQL[f"m22_position_based{_sfx}"] = with_base(_ROWS.format(w="w_position", src="weighted"), _ctes)
 
 
 # ---------------------------------------------------------------- R9
@@ -472,3 +493,11 @@ FROM ev WHERE {win(30)} GROUP BY 1, 2, 3, 4, 5""")
 SQL["m10_channel_group"] = with_base(f"""
 SELECT source, medium, campaign, {channel_case('source', 'medium', 'campaign')} AS channel_group, count(*) AS sessions
 FROM first_seen GROUP BY 1, 2, 3, 4""", _FIRST_SEEN)
+SQL["m10_channel_group_events"] = with_base(f"""
+SELECT source, medium, campaign, count(*) AS events, {channel_case('source', 'medium', 'campaign')} AS channel_group
+FROM ev WHERE {win(30)} GROUP BY 1, 2, 3""")
+
+# the same reports over saved tables
+SQL["r01_saved"] = SQL["r01_abandoned_cart_user_ids"]
+SQL["r02_saved"] = SQL["r02_buyer_behavior_by_campaign"]
+SQL["r09_saved"] = SQL["r09_email_campaign_stats"]

@@ -3,16 +3,19 @@
 All keys run on sf0.001; a sample also runs on sf0.01 (the driver's scale)."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
+from clickfold.plans.registry import QUERIES
 from oracle.compare import compare, duckdb_for
+from oracle.queries import SQL
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
@@ -23,6 +26,22 @@ def test_every_query_has_an_oracle():
         assert any(k.startswith(key) for k in QUERIES), key
 
 
+def test_entry_point_offers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_point_without_the_optional_subpackage(tmp_path):
+    """The library, its queries and the entry module stand without it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("clickfold", "oracle"):
+        shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()), sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=True)
+    assert out.stdout.strip() == f"{sorted(QUERIES)} {sorted(SQL)}"
+
+
 @pytest.fixture(scope="module")
 def con_small():
     return duckdb_for(SMALL)

@@ -58,12 +58,26 @@ def test_funnel_has_no_window_over_raw_events(ev):
     assert "Window" not in p
 
 
-def test_attribution_reads_the_event_window_once(ev):
-    df = attribution.attribution(ev, AS_OF, 30, 30)
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    final = final.split("== Initial Plan ==")[0]
-    # the numbering and the model weights read the scratch table only
-    scans = [ln for ln in final.split("\n") if "FileScan parquet" in ln]
-    assert scans and all("clickfold-tables/" in ln and "/attribution_sessions-" in ln for ln in scans)
-    assert not any("event_params" in ln for ln in scans)
+def test_event_scans_of_an_attribution_run(ev, monkeypatch):
+    """Two scans of the export (purchases, sessions), both in the eager jobs;
+    numbering, weights and reports read the written tables only."""
+    written = []
+    write = attribution.scratch_table
+
+    def recording(df, name):
+        written.append((name, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+        return write(df, name)
+
+    monkeypatch.setattr(attribution, "scratch_table", recording)
+    reports = attribution.attribution_reports(ev, AS_OF, 30, 30)
+    assert [name for name, _ in written] == ["first_conversions", "attribution_sessions", "numbered_sessions"]
+    scans = lambda p: [ln for ln in p.split("\n") if "FileScan parquet" in ln]
+    of_events = {name: sum("event_params" in ln for ln in scans(p)) for name, p in written}
+    assert of_events == {"first_conversions": 1, "attribution_sessions": 1, "numbered_sessions": 0}
+    sessions_plan = dict(written)["attribution_sessions"]
+    assert "BroadcastHashJoin" in sessions_plan and "LeftSemi" in sessions_plan  # buyers only, at the scan
+    for df in reports:
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert scans(final) and all("/numbered_sessions-" in ln for ln in scans(final))
+        assert "Window" not in final

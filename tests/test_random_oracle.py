@@ -13,11 +13,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as entry
+from clickfold.plans.registry import QUERIES
 from oracle.compare import compare, duckdb_for
+from oracle.queries import SQL
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
 TYPES = ["view", "click", "purchase", "signup", "error"]
 
 
