@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.sources.tables import scratch_table
+from clickfold.sources.tables import free_scratch, scratch_table
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -94,17 +94,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-large")
+        lowest = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-large")
         large = (
-            both.join(least, "u")
+            both.join(lowest, "u")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("a"), F.col("m").alias("b"))
             .distinct()
         )
         large = scratch(large, "cc-star")
+        free_scratch(lowest)
         least = scratch(large.groupBy("a").agg(F.min("b").alias("m")), "cc-small")
         moved = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = scratch(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        after = scratch(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        # the round's tables are done with: `after` is a table of its own
+        for done in (e, large, least):
+            free_scratch(done)
+        e = after
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

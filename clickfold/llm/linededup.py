@@ -157,9 +157,12 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with its text cut to the kept lines, and a struct column
-    `line_dedup` (n_lines, n_dropped). Untouched texts stay as they are."""
+def apply_bitmaps(
+    docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stats_col: str | None = "line_dedup"
+) -> DataFrame:
+    """`docs` with its text cut to the kept lines and, unless `stats_col` is
+    None, a struct column of that name (n_lines, n_dropped). Untouched texts
+    stay as they are."""
     marks = bitmaps.select(
         F.col(id_col).alias("__mark_doc"), F.col("ver").alias("__mark_ver"),
         F.col("n_dropped").alias("__mark_dropped"), F.col("keep_bitmap").alias("__mark_bitmap"),
@@ -172,10 +175,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
         _kept_lines(F.when(F.col("__mark_bitmap").isNotNull(), text), F.col("__mark_bitmap"))
     )
     stats = F.struct(n_lines.alias("n_lines"), F.coalesce("__mark_dropped", F.lit(0)).cast("long").alias("n_dropped"))
-    return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], stats.alias("line_dedup")
-    )
+    cut = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*cut, *([stats.alias(stats_col)] if stats_col else []))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    return apply_bitmaps(docs, keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), id_col=id_col, text_col=text_col)
+def dedup_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, stats_col: str | None = "line_dedup"
+) -> DataFrame:
+    bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
+    return apply_bitmaps(docs, bitmaps, id_col=id_col, text_col=text_col, stats_col=stats_col)

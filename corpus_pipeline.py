@@ -7,6 +7,7 @@ the columns of `documents`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickfold.llm import bpe, langid, linededup, mixing, queries, simhash
-from clickfold.llm.common import scratch, ship_package
+from clickfold.llm.common import ship_package
+from clickfold.session import ensure_checkpoint_dir
+from clickfold.sources.tables import scratch_scope
 
 ORACLE_SQL = None  # hashes, merges and a trained model; tested stage by stage instead
 
@@ -29,8 +32,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines; n_chars follows the text."""
     ship_package(spark)
-    out = linededup.dedup_lines(docs).drop("line_dedup")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    out = linededup.dedup_lines(docs, stats_col=None)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +66,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
+    """All stages over `documents`, each written to the shared folder and read
+    again; what a stage wrote for itself goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-pipeline/{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
