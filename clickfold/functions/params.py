@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clickfold.functions._cache import per_context
 
 _KINDS = {"string": "string_value", "int": "int_value"}
+_strict = ContextVar("strict_params", default=False)
 
 
-@per_context
-def event_param(key: str, kind: str = "string", *, strict: bool = False, params: str = "event_params") -> Column:
+@contextmanager
+def strict_params(on: bool = True) -> Iterator[None]:
+    """Reports built inside the block fail on an event that holds a looked-up
+    key twice, as the source's scalar subquery does."""
+    token = _strict.set(on)
+    try:
+        yield
+    finally:
+        _strict.reset(token)
+
+
+def event_param(key: str, kind: str = "string", *, strict: bool | None = None, params: str = "event_params") -> Column:
     """Value of parameter `key` of the row's event, NULL when absent.
 
     The position of the first entry with that key in the array of keys,
     then the value at that position: built-in array functions over the
-    row's own array (no lambda, no join, no subquery). With `strict=True`
-    a key present twice raises, as a scalar subquery would; by default the
-    first entry wins.
+    row's own array (no lambda, no join, no subquery). With `strict=True`,
+    or inside `strict_params()`, a key present twice raises, as a scalar
+    subquery would; by default the first entry wins.
     """
+    return _event_param(key, kind, _strict.get() if strict is None else strict, params)
+
+
+@per_context
+def _event_param(key: str, kind: str, strict: bool, params: str) -> Column:
     field = _KINDS[kind]
     keys = F.col(params)["key"]
     at = F.array_position(keys, F.lit(key)).cast("int") - 1  # -1 when absent
@@ -35,19 +55,16 @@ def event_param(key: str, kind: str = "string", *, strict: bool = False, params:
     return value
 
 
-@per_context
 def session_id() -> Column:
     """`ga_session_id` as bigint (NULL when the event has none)."""
     return event_param("ga_session_id", "int")
 
 
-@per_context
 def session_id_concat() -> Column:
     """User id text followed by the session id; NULL when either is NULL."""
     return F.concat(F.col("user_pseudo_id"), session_id().cast("string"))
 
 
-@per_context
 def session_engaged(int_fallback: bool = True) -> Column:
     """Per-event engaged flag as text: the string value, else the int value
     as text. `int_fallback=False` reads the string value only."""

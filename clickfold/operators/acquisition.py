@@ -48,9 +48,12 @@ def _report_measures(specific_event: str | None = None) -> list[Column]:
     ]
 
 
+def _is_active() -> Column:
+    return (F.col("engagement_time_msec") > 0) | (F.col("session_engaged") == "1")
+
+
 def _active(user: Column) -> Column:
-    cond = (F.col("engagement_time_msec") > 0) | (F.col("session_engaged") == "1")
-    return F.count_distinct(F.when(cond, user))
+    return F.count_distinct(F.when(_is_active(), user))
 
 
 def _source_medium(source: str, medium: str) -> Column:
@@ -212,6 +215,11 @@ def user_acquisition_from(
     if with_source_medium:
         dims.append(_source_medium("first_source", "first_medium").alias("first_user_source_medium"))
     dims.append(F.col("first_campaign").alias("first_user_campaign"))
+    names = [
+        "date", "first_user_default_channel_group", "first_user_source", "first_user_medium",
+        *(["first_user_source_medium"] if with_source_medium else []), "first_user_campaign",
+    ]
+    extra = [] if specific_event is None else ["specific_event_count"]
     return (
         per_session.select(
             "*",
@@ -219,15 +227,28 @@ def user_acquisition_from(
                 "first_user_default_channel_group"
             ),
         )
-        .groupBy(*dims)
+        .groupBy(*dims, user)
         .agg(
-            F.count_distinct(user).alias("total_users"),
-            _active(user).alias("active_users"),
-            F.count_distinct(F.when(num == 1, user)).alias("new_users"),
-            F.count_distinct(F.when(num > 1, user)).alias("returning_users"),
+            F.max(_is_active().cast("int")).alias("_active"),
+            F.max((num == 1).cast("int")).alias("_new"),
+            F.max((num > 1).cast("int")).alias("_returning"),
             F.count(sid).alias("sessions"),
             F.count(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
             *_report_measures(specific_event),
         )
+        # one row per (dimensions, user): users are counted without DISTINCT,
+        # which would write every session once per counted expression
+        .groupBy(*names)
+        .agg(
+            F.count(user).alias("total_users"),
+            *[
+                F.count(F.when(F.col(flag) == 1, user)).alias(f"{kind}_users")
+                for flag, kind in (("_active", "active"), ("_new", "new"), ("_returning", "returning"))
+            ],
+            F.sum("sessions").alias("sessions"),
+            F.sum("engaged_sessions").alias("engaged_sessions"),
+            F.sum("engagement_time").alias("engagement_time"),
+            *[F.sum(c).alias(c) for c in ("total_event_count", *extra, "conversions", "total_revenue")],
+        )
         .orderBy(F.desc("total_users"))
     )

@@ -14,6 +14,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickfold.functions.params import strict_params
 from clickfold.operators import acquisition, attribution, buyers, commerce, email, funnel, sessions
 from clickfold.session import get_spark
 from clickfold.sources.events import read_events, read_table, write_table
@@ -118,19 +119,21 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--buyers-format", default="parquet")
     ap.add_argument("--out", required=True, help="root folder of the report tables")
     ap.add_argument("--as-of", default=utc_today().isoformat(), help="the run's 'today' (default: today, UTC)")
+    ap.add_argument("--strict-params", action="store_true", help="fail on events that hold a looked-up parameter twice")
     ap.add_argument("--keep-scratch", action="store_true", help="keep the shared intermediate tables")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession() or get_spark(app="clickfold-daily")
     opts = {"header": "true"} if args.campaigns_format == "csv" else {}
-    paths = save_reports(
-        spark,
-        read_events(spark, args.events),
-        read_buyers(spark, args.buyers, fmt=args.buyers_format),
-        read_campaigns(spark, args.campaigns, fmt=args.campaigns_format, **opts),
-        dt.date.fromisoformat(args.as_of),
-        args.out,
-        keep_scratch=args.keep_scratch,
-    )
+    with strict_params(args.strict_params):
+        paths = save_reports(
+            spark,
+            read_events(spark, args.events),
+            read_buyers(spark, args.buyers, fmt=args.buyers_format),
+            read_campaigns(spark, args.campaigns, fmt=args.campaigns_format, **opts),
+            dt.date.fromisoformat(args.as_of),
+            args.out,
+            keep_scratch=args.keep_scratch,
+        )
     for key, path in sorted(paths.items()):
         print(f"{key}\t{path}")
 

@@ -23,12 +23,12 @@ def run(*args):
     return json.loads(out.stdout)
 
 
-@pytest.mark.parametrize("variant", ["hot-user", "hot-session"])
+@pytest.mark.parametrize("variant", ["hot-user", "hot-session", "broadcast"])
 def test_no_report_stage_concentrates_the_hot_key(variant):
-    res = run("--hot-session") if variant == "hot-session" else run()
+    res = run() if variant == "hot-user" else run(f"--{variant}")
     worst = res["worst_stage_by_report"]
     naive = worst.pop("naive_user_window")["max_task_share"]
-    if variant == "hot-user":
+    if variant != "hot-session":
         assert res["hot_user_sessions"] / res["sessions"] > 0.5
         assert naive > 0.5  # the data is skewed
     else:

@@ -57,3 +57,18 @@ def test_regex_dialect_is_re2s(spark, seed):
     title = f"CASE WHEN regexp_matches(title, {pattern}) THEN regexp_extract(title, {pattern}, 1) END"
     want = con.execute(f"SELECT i, {channel_case('s', 'm', 'c')}, {title} FROM x").fetchall()
     assert sorted((r["i"], r["g"], r["t"]) for r in got) == sorted(want)
+
+
+def test_strict_params_reach_the_reports(spark):
+    from clickfold.functions.params import event_param, session_id, strict_params
+
+    schema = "event_params array<struct<key: string, value: struct<string_value: string, int_value: bigint>>>"
+    twice = spark.createDataFrame([([("ga_session_id", (None, 1)), ("ga_session_id", (None, 2))],)], schema)
+    once = spark.createDataFrame([([("ga_session_id", (None, 1)), ("x", (None, 2))],)], schema)
+    assert twice.select(session_id()).first()[0] == 1
+    with strict_params():
+        assert once.select(session_id()).first()[0] == 1
+        with pytest.raises(Exception, match="more than once"):
+            twice.select(session_id()).collect()
+        assert twice.select(event_param("ga_session_id", "int", strict=False)).first()[0] == 1
+    assert twice.select(session_id()).first()[0] == 1

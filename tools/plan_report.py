@@ -4,8 +4,9 @@ For each report (default parameters, sf0.01 fixture export): the scans with
 their partition filters, pushed filters and read columns, and counts of
 exchanges, joins, windows and aggregates in the plan Spark picks before
 running (AQE may still switch sort-merge joins to broadcast at run time).
-Scratch tables a report writes first (attribution, e-mail chain) show up as
-scans of `clickfold-tables/...`.
+Reports that write scratch tables first (attribution, e-mail chain, buyer
+mix) run those jobs when they are called; each is listed with its own scans
+as "writes <table>", ahead of the plan that reads them.
 
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
 """
@@ -56,7 +57,12 @@ def summarize(plan: str) -> tuple[list[str], dict[str, int]]:
     return scans, counts
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def main() -> None:
+    from clickfold.operators import acquisition, attribution, buyers, commerce, email, funnel
     from clickfold.plans.registry import QUERIES
     from clickfold.session import get_spark
 
@@ -70,13 +76,20 @@ def main() -> None:
         "into a broadcast join, coalesce or split partitions at run time.",
         "",
     ]
+    written: list[tuple[str, str]] = []
+    for module in (acquisition, attribution, buyers, commerce, email, funnel):
+        write = getattr(module, "scratch_table", None)
+        if write is not None:
+            module.scratch_table = lambda df, table, write=write: (written.append((table, plan_of(df))), write(df, table))[1]
     for name in REPORTS:
+        written.clear()
         df = QUERIES[name](spark, sf)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        scans, counts = summarize(plan)
-        out += [f"## {name}", "", "| scan | partition filters | pushed filters | columns read |", "|---|---|---|---|"]
-        out += scans
-        out += ["", ", ".join(f"{k}: {v}" for k, v in counts.items() if v), ""]
+        out += [f"## {name}", ""]
+        for title, plan in [*((f"writes {t}", p) for t, p in written), ("result", plan_of(df))]:
+            scans, counts = summarize(plan)
+            out += [f"**{title}**", "", "| scan | partition filters | pushed filters | columns read |", "|---|---|---|---|"]
+            out += scans
+            out += ["", ", ".join(f"{k}: {v}" for k, v in counts.items() if v), ""]
     spark.stop()
     print("\n".join(out))
 

@@ -70,6 +70,10 @@ def skewed_export(spark, sf_dir: str, out: str, hot_session: bool = False):
     return read_events(spark, out)
 
 
+#: Records from which a single-task stage is reported.
+MANY = 3000
+
+
 def read_log(log_dir: str) -> list[dict]:
     import zstandard
 
@@ -90,7 +94,9 @@ def read_log(log_dir: str) -> list[dict]:
 
 def stage_shares(events: list[dict], detail: bool = False) -> dict[str, tuple[float, int]]:
     """job group -> (largest task share of records read in any stage with
-    >= 1000 records and more than one task, records in that stage)"""
+    >= 1000 records, records in that stage). A stage of one task counts too
+    once it holds as many records as MANY: below that, AQE has coalesced a
+    small stage; above, everything goes through one task."""
     group_of_stage, per_stage, names = {}, {}, {}
     for e in events:
         if e["Event"] == "SparkListenerStageCompleted":
@@ -115,8 +121,8 @@ def stage_shares(events: list[dict], detail: bool = False) -> dict[str, tuple[fl
         if detail:
             print(f"  {g!s:32s} stage {s:4d} tasks={len(recs):3d} records={tot:7d} max={max(recs):7d} "
                   f"share={share:.3f} {names.get(s, '')}", file=sys.stderr)
-        if len(recs) == 1 or "PartitionwiseSampledRDD" in names.get(s, ""):
-            # one task for a whole coalesced small stage, or the range
+        if len(recs) == 1 and tot < MANY or "PartitionwiseSampledRDD" in names.get(s, ""):
+            # a whole small stage coalesced into one task, or the range
             # partitioner's sampling pass: not keyed work
             continue
         if share > out.get(g, (0.0, 0, 0))[0]:
@@ -144,7 +150,8 @@ def main() -> None:
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        # --broadcast: Spark's default, so small sides (buyer flags) are broadcast as in production
+        **({} if "--broadcast" in sys.argv else {"spark.sql.autoBroadcastJoinThreshold": "-1"}),
     })
     hot_session = "--hot-session" in sys.argv
     ev = skewed_export(spark, sf_dir, f"{scratch}/export", hot_session)
