@@ -13,8 +13,8 @@ exactly and through the index, and the smallest share whose recall reaches
 `target_recall` is used (in a larger table neighbours are nearer, so recall
 there is no lower). Vectors without any structure need a large share.
 
-Cells are dealt in order to shards of about SHARD_ROWS rows; a cell larger
-than that takes several. Queries go, in blocks, to the shards of their cells.
+Cells are dealt in order to shards of at most about SHARD_ROWS rows; a larger
+cell takes several. Queries go, in blocks, to the shards of their cells.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components, whose id is null or whose length is not the most common one take
@@ -37,7 +37,8 @@ from clickfold.llm.embeddedup import is_usable
 
 SAMPLE_ROWS, CENTROIDS, ROUNDS = 16384, 64, 12
 CHECK_QUERIES = 400
-SHARD_ROWS, QUERY_BLOCK, STRIP = 8192, 1024, 256
+SHARD_ROWS, LEAST_SHARD_ROWS = 8192, 512
+QUERY_BLOCK, STRIP = 1024, 256
 NEAR = "query_id long, vec_id long, score double"
 
 
@@ -120,17 +121,19 @@ class Index:
             needed += (reach[cell[best]] / n).tolist()
         return float(np.quantile(needed, target)) if needed else 1.0
 
-    def deal(self, counts: np.ndarray) -> None:
-        """Shards of the cells: small cells share one, large ones take several."""
+    def deal(self, counts: np.ndarray, tasks: int) -> None:
+        """Shards of the cells: small cells share one, large ones take several.
+        A small table is cut finer, so that there is a shard for every task."""
+        full = int(min(SHARD_ROWS, max(LEAST_SHARD_ROWS, counts.sum() // tasks)))
         self.counts = counts
-        self.parts = np.maximum(1, -(-counts // SHARD_ROWS))
-        start, room, shard = np.zeros(self.n_cells, np.int64), SHARD_ROWS, 0
+        self.parts = np.maximum(1, -(-counts // full))
+        start, room, shard = np.zeros(self.n_cells, np.int64), full, 0
         for c in np.flatnonzero(counts):
-            if counts[c] > room and room < SHARD_ROWS:
-                shard, room = shard + 1, SHARD_ROWS
+            if counts[c] > room and room < full:
+                shard, room = shard + 1, full
             start[c] = shard
             if self.parts[c] > 1:
-                shard, room = shard + self.parts[c], SHARD_ROWS
+                shard, room = shard + self.parts[c], full
             else:
                 room -= counts[c]
         self.start, self.n_shards = start, shard + 1
@@ -248,7 +251,7 @@ def search(
     counts = np.zeros(index.n_cells, np.int64)
     for r in listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # at most one row per cell
         counts[r["cell"]] = r["n"]
-    index.deal(counts)
+    index.deal(counts, shuffle_partitions(spark))
     share = index.share_for(sample, k, target_recall)
     wanted = max(k + 1, int(np.ceil(share * counts.sum())))
     queries = listed.where(is_query).select("id", "vec")

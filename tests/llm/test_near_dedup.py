@@ -196,6 +196,7 @@ def found_neighbours(out):
 def test_nearest_neighbours_with_every_cell_seen(spark, monkeypatch, tmp_path, shard, block):
     """Recall 1 asked of a sample that is the whole table: exact results."""
     monkeypatch.setattr(ann, "SHARD_ROWS", shard)
+    monkeypatch.setattr(ann, "LEAST_SHARD_ROWS", 20)
     monkeypatch.setattr(ann, "QUERY_BLOCK", block)
     monkeypatch.setattr(ann, "CENTROIDS", 5)
     monkeypatch.setattr(ann.Index, "share_for", lambda *a: 1.0)
