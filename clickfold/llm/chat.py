@@ -67,20 +67,21 @@ def best_paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
 
     `messages`: tree, node, parent (null for roots), score."""
     own = messages.select("tree", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).cast("long").alias("far"))
-    checked = _step(own, "up", own).withColumn("up", F.when(F.col("far2").isNotNull(), F.col("up")))
-    level = scratch(checked.select("tree", "node", "up", "score", "far"), "reply-jumps")
+    replies = _step(own.where("up is not null"), "up", own).withColumn("up", F.when(F.col("far2").isNotNull(), F.col("up")))
+    level = own.where("up is null").unionByName(replies.select(own.columns))
+    level = scratch(level, "reply-jumps")
     levels, total = [level], level.count()
     parents = level.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = level.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", "node")
     leaves = scratch(leaves, "reply-leaves")
     # up: 2^k messages further; score and far: summed over the messages passed
     while 1 << (len(levels) - 1) < total and not levels[-1].where("up is not null").isEmpty():
+        # only messages that have not reached their root yet are joined again
         last = levels[-1]
-        further = _step(last, "up", last).select(
-            "tree", "node", F.col("up2").alias("up"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
-        )
-        levels.append(scratch(further, "reply-jumps"))
+        further = _step(last.where("up is not null"), "up", last).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("far") + F.col("far2")).alias("far")
+        )
+        levels.append(scratch(last.where("up is null").unionByName(further), "reply-jumps"))
     rooted = levels[-1].where("up is null").select("tree", "node", "score", F.col("far").alias("length"))
     ends = leaves.join(
         rooted.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score", "length"),
