@@ -115,7 +115,8 @@ def traffic_acquisition_from(
             F.count_distinct(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
             *_report_measures(specific_event),
         )
-        .orderBy(F.desc("total_users"))
+        # ties by the dimensions: equal counts would all fall into one range
+        .orderBy(F.desc("total_users"), "date", "session_default_channel_group", "session_source", "session_medium", "session_campaign")
     )
 
 
@@ -250,5 +251,5 @@ def user_acquisition_from(
             F.sum("engagement_time").alias("engagement_time"),
             *[F.sum(c).alias(c) for c in ("total_event_count", *extra, "conversions", "total_revenue")],
         )
-        .orderBy(F.desc("total_users"))
+        .orderBy(F.desc("total_users"), *names)
     )

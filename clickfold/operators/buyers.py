@@ -76,7 +76,7 @@ def buyer_behavior_by_campaign_from(facts: DataFrame, by_user: DataFrame, *, sor
         *[counts[c] for c in LABELS], "count_purchasing_sessions", "count_purchasing_user_pseudo_id",
         "count_new_buyers", "count_renew_buyers", "count_lapsed_buyers",
     )
-    return out.orderBy(F.desc("count_purchasing_user_pseudo_id")) if sort else out
+    return out.orderBy(F.desc("count_purchasing_user_pseudo_id"), *LABELS) if sort else out
 
 
 def buyer_behavior_by_campaign(

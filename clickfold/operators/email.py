@@ -67,7 +67,7 @@ def email_campaign_stats_from(
         .join(mix, LABELS, "left")
         .join(mail, F.col("campaign") == F.col("_mail_name"), "left")
         .drop("_mail_name")
-        .orderBy(F.desc("total_product_revenue"))
+        .orderBy(F.desc("total_product_revenue"), *LABELS, "ldate")
     )
 
 

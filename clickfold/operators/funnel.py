@@ -127,7 +127,7 @@ def _report(fs: DataFrame, by_date: bool, steps: tuple[str, ...]) -> DataFrame:
         return (
             fs.groupBy(F.col("session_date"), page)
             .agg(*_counts(steps))
-            .orderBy(F.col("session_date"), F.desc(f"sessions_{steps[0]}"))
+            .orderBy(F.col("session_date"), F.desc(f"sessions_{steps[0]}"), "first_page_view")
         )
     return fs.groupBy(F.lit("all_pages").alias("all_pages"), page).agg(*_counts(steps))
 
