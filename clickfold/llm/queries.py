@@ -69,7 +69,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
-    return bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents"), path, decoded_col="decoded"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text per document."""
     ship_package(spark)
     path = public_tokenizers.path(queries.VOCABULARY)
-    return queries.bpe_digests(bpe.decode(bpe.encode(docs, path), path))
+    return queries.bpe_digests(bpe.encode(docs, path, decoded_col="decoded"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

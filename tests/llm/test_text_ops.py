@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -176,8 +177,19 @@ def test_bpe_random_texts():
     for _ in range(1500):
         text = "".join(rng.choices(alphabet, k=rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", "<|startoftext|>a"])
         ids = lib.encode(text, add_special_tokens=False).ids
-        assert own.encode(text).tolist() == ids, repr(text)
-        assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == ids, repr(text)
+        assert own.decode(np.array(ids, np.int32)) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_decode_alone_equals_decode_beside_encode(spark, docs):
+    both = bpe.encode(docs, PATH, decoded_col="decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(bpe.encode(docs, PATH), PATH).collect()))
+
+
+def test_bpe_decode_of_null_and_unknown_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [256, 99999999, -1, 320])], "doc_id long, ids array<int>")
+    want = Tokenizer.from_file(PATH).decode([256, 320], skip_special_tokens=False)
+    assert [r["decoded"] for r in bpe.decode(rows, PATH).orderBy("doc_id").collect()] == ["", "", want]
 
 
 def test_bpe_scan_and_heap_agree():
@@ -187,7 +199,7 @@ def test_bpe_scan_and_heap_agree():
     rng = random.Random(4)
     for _ in range(300):
         word = "".join(rng.choices("aeinrstthou", k=rng.randint(2, 200)))
-        parts = [own.ids[c] for c in word[:-1]] + [own.ids[word[-1] + "</w>"]]
+        parts = [own.inner[ord(c)] for c in word[:-1]] + [own.last[ord(word[-1])]]
         assert own.merge_scan(list(parts)) == own.merge_heap(list(parts))
 
 
@@ -196,3 +208,13 @@ def test_bpe_clears_its_bounded_cache(monkeypatch):
     want = own.encode("some words that repeat some words")
     monkeypatch.setattr(bpe, "CACHE_WORDS", 1)
     assert bpe.Codec(open(PATH, encoding="utf-8").read()).encode("some words that repeat some words") == want
+
+
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    """Rows without an id, and repeated rows, each give a row of their own."""
+    rows = [(None, "the cat sat on the mat", "en", None, None, 1), (None, None, None, None, None, 2), (3, "der hund", "de", "s", 1, 3), (3, "der hund", "de", "s", 1, 3)]
+    spark.createDataFrame(rows, brute.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("op1_language_id", "op2_line_dedup", "op3_secret_scan", "op5_simhash_dedup", "op7_mixing", "op8_bpe"):
+        out = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r["doc_id"] or 0 for r in out) == [0, 0, 3, 3], name
+        assert len({tuple(r) for r in out if r["doc_id"] == 3}) == 1, name
