@@ -6,7 +6,9 @@ has a sensitive word shortly before it is compressed together with the text
 around it by a compressor primed with identifiers common in code; the extra
 bytes it costs over the surrounding text alone are its novelty. A string
 whose marginal bytes per byte reach `min_novelty` cannot be rebuilt from code
-and identifiers and is reported, unless a base span covers part of it.
+and identifiers and is reported, unless a base span covers part of it. Copies
+of a string do not explain each other: it is measured without them, save for
+earlier ones outside sensitive context, which make it part of the code.
 
 Defined cases: null text is the empty text. Spans are in code points, end
 exclusive, ordered by start, then assign, access, hex, novel. Whole texts
@@ -71,25 +73,33 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_checksum=False)
 
-    def score(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes of text[start:end] per byte of it."""
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
-        own = text[start:end].encode()
+    def score(self, text: str, start: int, end: int, blank_before: bool = False) -> float:
+        """Marginal compressed bytes of text[start:end] per byte of it, against
+        the text around it without its later copies, or without any."""
+        own, far = text[start:end], AROUND + end - start
+        before, after = text[max(0, start - far) : start], text[end : end + far].replace(own, "")
+        if blank_before:
+            before = before.replace(own, "")
+        around, added = (before[-AROUND:] + after[:AROUND]).encode(), own.encode()
         compress = self.compressor.compress
-        return (len(compress(before + after + own)) - len(compress(before + after))) / len(own)
+        return (len(compress(around + added)) - len(compress(around))) / len(added)
 
     def spans(self, text: str, low: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not any(w in low for w in SENSITIVE_WORDS):
             return []
         out = []
+        plain: dict[str, int] = {}  # end of the last copy outside sensitive context
         for m in TOKEN.finditer(text):
             s, e = m.span()
             own = m[0]
             if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
                 continue
-            if any(s < b and a < e for a, _, b in taken) or not SENSITIVE.search(text, max(0, s - NEAR), s):
+            if not SENSITIVE.search(text, max(0, s - NEAR), s):
+                plain[own] = e
                 continue
-            if self.score(text, s, e) >= self.min_novelty:
+            if any(s < b and a < e for a, _, b in taken):
+                continue
+            if self.score(text, s, e, plain.get(own, -AROUND - 1) < s - AROUND) >= self.min_novelty:
                 out.append((s, 3, e))
         return out
 

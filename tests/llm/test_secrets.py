@@ -41,5 +41,16 @@ def test_novelty_reports_random_strings_in_sensitive_context_only():
     assert found(f"password={key}") == []  # covered by a base span
 
 
+def test_copies_in_sensitive_context_are_all_reported():
+    found = lambda t: [t[s:e] for s, _, e in secrets.Novelty(0.7).spans(t, t.lower(), secrets.base_spans(t, t.lower()))]
+    key = "xK9vQ2mZr7LpW4tYb8NcJ3dHs6Fg"
+    line = f"    credentials.load('{key}')\n"
+    assert found(line * 2) == [key] * 2
+    assert found(line * 40) == [key] * 40
+    assert found(line + "x = 1\n" * 36 + line) == [key] * 2  # the copy is cut by the end of the text around
+    assert found(line + "    client.open_the_first_connection_of_the_whole_session_pool(\n" + f"'{key}')") == [key]
+    assert found(f"password={key}\n" + line) == [key]  # beside a base span
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], brute.SCHEMA)).collect() == []
