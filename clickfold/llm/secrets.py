@@ -1,14 +1,19 @@
 """Secret scan: fixed patterns plus dictionary-primed zstandard novelty.
 
 The fixed patterns give the base spans (assign, access, hex). Novelty adds
-`novel` spans: a long run of token characters with letters and digits that
-has a sensitive word shortly before it is compressed together with the text
-around it by a compressor primed with identifiers common in code; the extra
-bytes it costs over the surrounding text alone are its novelty. A string
-whose marginal bytes per byte reach `min_novelty` cannot be rebuilt from code
-and identifiers and is reported, unless a base span covers part of it. Copies
-of a string do not explain each other: it is measured without them, save for
-earlier ones outside sensitive context, which make it part of the code.
+`novel` spans: a run of 8 or more token characters with a sensitive word in
+it or near it on either side is compressed together with the text around it
+by a compressor primed with identifiers common in code; the extra bytes it
+costs over the surrounding text alone are its novelty. Sensitive context
+holds for all tokens that follow each other with only blanks, line ends,
+quotes, dots or backslashes between, so for the lines of a key and the parts
+of a bearer token. A string whose marginal bytes per byte reach `min_novelty`
+cannot be rebuilt from code and identifiers and is reported, unless a base
+span covers part of it or it has no digit and is made like a word: most of
+its letter trigrams occur in words of the dictionary or of the same text.
+Copies of a string do not explain each other: it is measured without them,
+save for earlier ones outside sensitive context, which make it part of the
+code.
 
 Defined cases: null text is the empty text. Spans are in code points, end
 exclusive, ordered by start, then assign, access, hex, novel. Whole texts
@@ -17,7 +22,9 @@ are scanned. Repeated rows get equal spans; other columns stay out.
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +38,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a shorter run fails as a whole, a longer one matches as a whole
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: `name=` ahead of a value, and what may stand between tokens of one value.
+NAME = re.compile(r"(?:[A-Za-z][A-Za-z0-9_-]*=+)+(?=[A-Za-z0-9+/_-]{8})")
+GAP = re.compile(r"""[\s"'`.\\]*""")
 SENSITIVE = re.compile(r"passw|passwd|pwd|secret|token|api.?key|credential|auth|bearer|private|signature|access.?key", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("passw", "pwd", "secret", "token", "api", "credential", "auth", "bearer", "private", "signature", "access")
-#: Characters before a candidate in which a sensitive word counts, and characters of text on either side that it is measured against.
+#: Copies of the candidate itself in the text after it, and a sensitive word that stands right ahead of one of them.
+COPY = "\udc00"
+AFTER = re.compile(rf"""(?:{SENSITIVE.pattern})(?!\w*["']?[\x20:=]*["']?{COPY})""", re.IGNORECASE | re.ASCII)
+#: Characters on either side of a candidate in which a sensitive word counts, and characters of text on either side that it is measured against.
 NEAR, AROUND = 48, 256
 #: What source code and configuration are full of, as the compressor's dictionary.
 IDENTIFIERS = (
@@ -52,8 +65,31 @@ IDENTIFIERS = (
     "settings signature source static status storage stream string struct style subscription super switch system table "
     "target template test this thread throw timeout timestamp title token transaction true type undefined update upload "
     "username uuid validate value variable version void website window workspace 0123456789 "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
+    "-----BEGIN RSA PRIVATE KEY----- -----BEGIN CERTIFICATE----- -----END PRIVATE KEY----- -----END CERTIFICATE-----"
 )
+#: Words that stand alone, in lower case.
+PLAIN = re.compile(r"(?<![\w+/=])[a-z]{3,}(?![\w+/=])")
+
+
+def trigrams(word: str) -> set[str]:
+    return {word[i : i + 3] for i in range(len(word) - 2)}
+
+
+def words_by_trigram(words: set[str]) -> Counter[str]:
+    return Counter(g for w in words for g in trigrams(w))
+
+
+KNOWN = frozenset(words_by_trigram({w for w in PLAIN.findall(IDENTIFIERS) if len(w) < 26}))
+
+
+def is_word(own: str, words: set[str], holding: Counter[str]) -> bool:
+    """Whether a token without a digit is made like words: most of its letter
+    trigrams occur in the dictionary or in other words of the text."""
+    parts = [x.lower() for x in re.findall("[A-Za-z]+", own)]
+    mine = [x[i : i + 3] for x in parts for i in range(len(x) - 2)]
+    in_own = words_by_trigram(words & set(parts))
+    return not parts or sum(g in KNOWN or holding[g] > in_own[g] for g in mine) > 0.6 * len(mine)
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -73,37 +109,86 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_checksum=False)
 
-    def score(self, text: str, start: int, end: int, blank_before: bool = False) -> float:
+    def score(self, text: str, start: int, end: int, blank_before: bool = False, run: tuple[int, int] | None = None) -> float:
         """Marginal compressed bytes of text[start:end] per byte of it, against
-        the text around it without its later copies, or without any."""
-        own, far = text[start:end], AROUND + end - start
-        before, after = text[max(0, start - far) : start], text[end : end + far].replace(own, "")
+        the text around it without its later copies, or without any; if it
+        stands in a `run` of tokens, at least those against the text around
+        the run, as parts of one value do not explain each other."""
+        own = text[start:end]
+        first, last = run or (start, end)
+        far = AROUND + len(own)
+        before, after = text[max(0, first - far) : first], text[last : last + far].replace(own, "")
         if blank_before:
             before = before.replace(own, "")
         around, added = (before[-AROUND:] + after[:AROUND]).encode(), own.encode()
         compress = self.compressor.compress
-        return (len(compress(around + added)) - len(compress(around))) / len(added)
+        found = (len(compress(around + added)) - len(compress(around))) / len(added)
+        return found if run is None or run == (start, end) else max(found, self.score(text, start, end, blank_before))
 
     def spans(self, text: str, low: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not any(w in low for w in SENSITIVE_WORDS):
             return []
         out = []
+        words = None
         plain: dict[str, int] = {}  # end of the last copy outside sensitive context
-        for m in TOKEN.finditer(text):
-            s, e = m.span()
-            own = m[0]
-            if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
-                continue
-            if not SENSITIVE.search(text, max(0, s - NEAR), s):
-                plain[own] = e
-                continue
-            if any(s < b and a < e for a, _, b in taken):
-                continue
-            if self.score(text, s, e, plain.get(own, -AROUND - 1) < s - AROUND) >= self.min_novelty:
+        for run in token_runs(text):
+            sensitive = any(in_sensitive_context(text, s, e) for s, e in run)
+            for s, e in run:
+                own = text[s:e]
+                if not sensitive:
+                    plain[own] = e
+                    continue
+                if any(s < b and a < e for a, _, b in taken):
+                    continue
+                around = run[0][0], run[-1][1]
+                if self.score(text, s, e, plain.get(own, -AROUND - 1) < s - AROUND, around) < self.min_novelty:
+                    a, b = dotted(text, run, s)
+                    if (a, b) == (s, e) or own in plain or self.score(text, a, b, True, around) < self.min_novelty:
+                        continue
+                if not any(c.isdigit() for c in own):
+                    if words is None:
+                        words = set(PLAIN.findall(low))
+                        holding = words_by_trigram(words)
+                    if is_word(own, words, holding):
+                        continue
                 out.append((s, 3, e))
         return out
 
 
+def token_runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Tokens (start, end) in runs with nothing but GAP between them."""
+    run: list[tuple[int, int]] = []
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        if run and not GAP.fullmatch(text, run[-1][1], s):
+            yield run
+            run = []
+        if name := NAME.match(text, s, e):
+            s = name.end()
+        run.append((s, e))
+    if run:
+        yield run
+
+
+def dotted(text: str, run: list[tuple[int, int]], start: int) -> tuple[int, int]:
+    """The value of parts with a single dot between them that holds the token at `start`."""
+    at = first = last = bisect.bisect_left(run, (start, 0))
+    while first and text[run[first - 1][1] : run[first][0]] == ".":
+        first -= 1
+    while last + 1 < len(run) and text[run[last][1] : run[last + 1][0]] == ".":
+        last += 1
+    return (run[first][0], run[last][1]) if first < last else run[at]
+
+
+def in_sensitive_context(text: str, start: int, end: int) -> bool:
+    """Whether a sensitive word begins in the token or near it on either side;
+    one that leads to another copy of the token counts for that copy only."""
+    if SENSITIVE.search(text, max(0, start - NEAR), end):
+        return True
+    own = text[start:end]
+    return bool(AFTER.search(text[end : end + NEAR + AROUND].replace(own, COPY)[:NEAR]))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_novelty: float = 0.7) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of every whole text."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
