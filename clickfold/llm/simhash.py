@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from clickfold.llm.common import connected_components, join_labels, scratch, shuffle_partitions
 
@@ -196,8 +197,23 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """`docs` without the rows whose component holds a smaller id. Rows that
-    share an id are judged by their own texts, and stay if any of these does."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of `docs` per component of near copies: the one with the
+    smallest id, a null id last; of equal ids the one with the smallest hash
+    of its text, then the first as written."""
+
+    @F.arrow_udf(LongType())
+    def printed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array(np.array([fingerprint(t.as_py(), shingle) for t in part], np.uint64).astype(np.int64), pa.int64())
+
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", printed(F.col(text_col)))
+    rows = scratch(rows, "simhash-rows")  # fixes the row numbers
+    key = F.struct(
+        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row")
+    )
+    parts = connected_components(links(rows.select(F.col("__fp").alias("fp")), max_bits=max_bits))
+    # written first, as in near_duplicates; minima are taken map-side
+    least = scratch(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(key).alias("least")), "simhash-least")
+    named = least.join(parts, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("component", "fp").alias("component"))
+    heads = named.groupBy("component").agg(F.min("least").alias("head")).select(F.col("head.row").alias("__head"))
+    return rows.join(scratch(heads, "simhash-heads"), F.col("__row") == F.col("__head"), "left_semi").select(*docs.columns)

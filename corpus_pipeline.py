@@ -37,8 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies.
-    Rows without an id are kept unless a document with one is in their group."""
+    """Keeps one row of each group of near copies: the one with the smallest
+    id, or one without an id if no row of the group has any."""
     ship_package(spark)
     return simhash.keep_first(docs, shingle=4, max_bits=4)
 

@@ -92,6 +92,19 @@ def test_simhash_null_ids_and_empty(spark):
         simhash.links(spark.createDataFrame([], "fp long"), max_bits=5)
 
 
+def test_keep_first_keeps_one_row_per_group(spark):
+    a, b, c, d = "a b c d e", "one two three four five six", "zzz yyy xxx", "lone text of its own"
+    rows = [(3, a), (3, a), (3, a), (None, a), (5, a.upper())]  # repeated rows and a row without an id
+    rows += [(None, b), (None, b), (None, b)]  # a group without any id
+    rows += [(3, c), (2, c), (2, c), (7, d), (None, "")]  # id 3 is kept above; here its text belongs to 2
+    frame = spark.createDataFrame([(i, t, None, None, None, 0) for i, t in rows], brute.SCHEMA).repartition(4)
+    out = simhash.keep_first(frame)
+    assert out.schema == frame.schema
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect()))
+    assert got == sorted([(3, a), (0, b), (2, c), (7, d), (0, "")])
+    assert simhash.keep_first(frame.limit(0)).collect() == []
+
+
 # --- embeddings ----------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, n_links long"
