@@ -209,13 +209,17 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that the model calls `und`; all columns stay."""
+    """`docs` without the rows that the model calls `und`; all columns stay.
+    If the model has learned nothing, only texts without a letter go."""
 
     @F.arrow_udf(BooleanType())
     def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for part in texts:
-            yield pa.array([scorer.predict(t.as_py())[0] != UNKNOWN for t in part], pa.bool_())
+            if model.labels:
+                yield pa.array([scorer.predict(t.as_py())[0] != UNKNOWN for t in part], pa.bool_())
+            else:
+                yield pa.array([has_letter(t.as_py()) for t in part], pa.bool_())
 
     return docs.where(known(F.col(text_col)))
 

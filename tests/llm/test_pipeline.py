@@ -40,6 +40,12 @@ def test_language_stage_drops_only_texts_without_letters(spark, docs, rows):
     assert out == sorted(r[0] for r in rows if any(c.isalpha() for c in r[1] or ""))
 
 
+def test_language_stage_without_any_label_keeps_texts_with_letters(spark):
+    texts = ["clean text", "другой текст", "123 !?", "", None]
+    docs = spark.createDataFrame([(i, t, None, None, None, 0) for i, t in enumerate(texts)], brute.SCHEMA)
+    assert sorted(r["doc_id"] for r in STAGES["language_id"](spark, docs, "").collect()) == [0, 1]
+
+
 def test_line_stage(spark, docs, rows):
     want = brute.line_dedup(rows)
     out = STAGES["line_dedup"](spark, docs, "").collect()
