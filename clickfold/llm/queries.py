@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfold.llm import ann, bpe, chat, embeddedup, langid, linededup, mixing, secrets, simhash, warc
+from clickfold.llm import ann, bpe, chat, embeddedup, langid, linededup, mixing, resampling, secrets, simhash, toxicity, vectorcodes, warc
 from clickfold.llm.common import hex64, scratch, ship_package, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -86,6 +86,28 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(chat.format_paths(replies, chat.best_paths(replies))).withColumnRenamed("tree", "conv_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    found = toxicity.score(docs, model)
+    written = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"], p["end"])), ",")
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), written.alias("passages"),
+    )
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    coded = vectorcodes.with_label_error(vectorcodes.encode(vectors, vectorcodes.fit(vectors)))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """Everything but the ids is read back from the formatted conversations."""
     turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
@@ -116,6 +138,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 OPERATORS = (
     op1_language_id, op2_line_dedup, op3_secret_scan, op4_embedding_dedup, op5_simhash_dedup,
     op6_nearest_neighbours, op7_mixing, op8_bpe, op9_warc, op10_chat_formatting,
+    op11_toxicity, op12_resampling, op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f) for f in OPERATORS

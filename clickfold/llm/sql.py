@@ -69,5 +69,44 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(written) + count(*) - 1)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op13_vector_codes": r"""
+-- vectors of 64 components, distinct ids
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, p, list_slice(v, 4 * p + 1, 4 * p + 4) AS x FROM kept, range(16) t(p)
+), code0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)
+), near1 AS (
+  SELECT k.vec_id, k.p, k.x, min(struct_pack(d := list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := c.e)) AS best
+  FROM parts k JOIN code0 c ON k.p = c.p GROUP BY k.vec_id, k.p, k.x
+), moved1 AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM near1, range(1, 5) t(i) GROUP BY p, best.e, i
+  ) GROUP BY p, e
+), code1 AS (
+  SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM code0 c LEFT JOIN moved1 m ON c.p = m.p AND c.e = m.e
+), near2 AS (
+  SELECT k.vec_id, k.p, k.x, min(struct_pack(d := list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := c.e)) AS best
+  FROM parts k JOIN code1 c ON k.p = c.p GROUP BY k.vec_id, k.p, k.x
+), moved2 AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM near2, range(1, 5) t(i) GROUP BY p, best.e, i
+  ) GROUP BY p, e
+), code2 AS (
+  SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM code1 c LEFT JOIN moved2 m ON c.p = m.p AND c.e = m.e
+), near3 AS (
+  SELECT k.vec_id, k.p, k.x, min(struct_pack(d := list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := c.e)) AS best
+  FROM parts k JOIN code2 c ON k.p = c.p GROUP BY k.vec_id, k.p, k.x
+), coded AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near3 GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS sha FROM code2
+)
+SELECT c.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, books.sha AS codebooks_sha256
+FROM coded c JOIN kept k ON c.vec_id = k.vec_id, books
 """,
 }

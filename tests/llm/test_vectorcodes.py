@@ -1,0 +1,100 @@
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from clickfold.llm import vectorcodes
+
+
+def expected(rows, parts=16, entries=64, rounds=2):
+    """Plain lists: (id, code, error, label_error, digest), by row."""
+    usable = [(i, v, x) for i, v, x in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = {}
+    by_length = {}
+    for n, (i, v, x) in enumerate(usable):
+        by_length.setdefault(len(v), []).append((n, i, v))
+    for d, group in by_length.items():
+        width = -(-d // parts)
+        whole = {n: [math.floor(256 * float(c)) for c in v] + [0] * (width * parts - d) for n, _, v in group}
+        cut = {n: [w[p * width : (p + 1) * width] for p in range(parts)] for n, w in whole.items()}
+        first = {}
+        for n, i, v in sorted(group, key=lambda g: ((g[1] is None, g[1] or 0), list(g[2]))):
+            first.setdefault(i, n)
+        books = [[list(cut[n][p]) for n in list(first.values())[:entries]] for p in range(parts)]
+
+        def nearest(x, book):
+            return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+
+        for _ in range(rounds):
+            for p in range(parts):
+                held = {}
+                for n in cut:
+                    held.setdefault(nearest(cut[n][p], books[p])[1], []).append(cut[n][p])
+                for k, xs in held.items():
+                    books[p][k] = [sum(c) // len(xs) for c in zip(*xs, strict=True)]
+        sha = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+        for n, _, _ in group:
+            found = [nearest(cut[n][p], books[p]) for p in range(parts)]
+            out[n] = ("".join(f"{k:02x}" for _, k in found), sum(e for e, _ in found), sha)
+    by_label = {}
+    for n, (_, _, x) in enumerate(usable):
+        by_label[x] = by_label.get(x, 0) + out[n][1]
+    return sorted(((i, out[n][0], out[n][1], by_label[x], out[n][2]) for n, (i, _, x) in enumerate(usable)), key=str)
+
+
+def got(spark, rows, n=3):
+    data = [(i, v, x, 1, 2, 3) for i, v, x in rows]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, code int, error int, id int").repartition(n)
+    out = vectorcodes.with_label_error(vectorcodes.encode(df, vectorcodes.fit(df)))
+    return sorted((tuple(r) for r in out.select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect()), key=str)
+
+
+def vectors(n, dims, seed=1, first=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(9, dims))
+    x = (centres[rng.integers(0, 9, n)] + rng.normal(scale=0.2, size=(n, dims))).astype(np.float32)
+    return [(first + 3 * i, x[i].tolist(), i % 4 if i % 5 else None) for i in range(n)]
+
+
+@pytest.mark.parametrize("dims", [16, 64, 50, 5, 96])
+def test_equal_to_plain_lists(spark, dims):
+    rows = vectors(150, dims)
+    random.Random(2).shuffle(rows)
+    assert got(spark, rows) == expected(rows)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = vectors(90, 32) + vectors(70, 16, seed=2, first=1)
+    rows += [(7, None, 1), (8, [nan] * 32, 1), (9, [1.0] * 31 + [inf], 1), (10, [1.0, None] * 16, 2), (11, [0.0] * 32, None), (12, [], 3), (13, [], None)]
+    rows += [(None, [0.5] * 32, None)] * 2 + [(0, [0.25] * 32, 0)] + [(400, [-0.001] * 32, 5)] * 40
+    assert got(spark, rows, 4) == expected(rows)
+
+
+def test_few_and_no_vectors(spark):
+    assert got(spark, []) == []
+    assert got(spark, [(1, None, 1)]) == []
+    rows = vectors(3, 16)
+    assert got(spark, rows) == expected(rows)
+
+
+def test_huge_components_are_clamped(spark):
+    rows = [(i, [1e38 * (-1) ** i] + [0.1 * i] * 15, 1) for i in range(5)]
+    assert len(got(spark, rows)) == 5
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 16])
+def test_transform_rows_are_in_sequency_order_and_orthogonal(size):
+    h = vectorcodes.hadamard(np.eye(size, dtype=np.int64)).T
+    assert [int((np.diff(r) != 0).sum()) for r in h] == list(range(size))
+    assert (h @ h.T == size * np.eye(size)).all()
+
+
+def test_early_elimination_keeps_the_nearest_with_ties_to_the_lower_index():
+    rng = np.random.default_rng(0)
+    x, entries = rng.integers(-3, 4, (9000, 6)), rng.integers(-3, 4, (64, 6))
+    best, error = vectorcodes.nearest(vectorcodes.hadamard(x), vectorcodes.hadamard(entries))
+    d = ((x[:, None, :] - entries[None]) ** 2).sum(axis=2)
+    assert (best == d.argmin(axis=1)).all() and (error == d.min(axis=1)).all()
