@@ -86,6 +86,37 @@ def chunks(texts: Iterable[tuple[int, str | None]], longest: int) -> Iterator[Ch
         yield Chunk(pieces, longest)
 
 
+def by_length(length: np.ndarray) -> np.ndarray:
+    """Stable order by length (a radix sort where the lengths are short)."""
+    short = length.astype(np.uint16) if length.max(initial=0) < 1 << 16 else length
+    return np.argsort(short, kind="stable")
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
+def crc32(chunk: Chunk, grams: np.ndarray) -> np.ndarray:
+    """crc32 of the n-grams `grams`, one array step per byte."""
+    order = by_length(chunk.length[grams])
+    length, start = chunk.length[grams][order], chunk.start[grams][order]
+    text = np.frombuffer(chunk.text, np.uint8)
+    crc = np.full(len(grams), 0xFFFFFFFF, np.uint32)
+    for i in range(int(length[-1]) if len(length) else 0):
+        more = int(np.searchsorted(length, i, side="right"))
+        c = crc[more:]
+        crc[more:] = CRC[(c ^ text[start[more:] + i]) & np.uint32(255)] ^ (c >> np.uint32(8))
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    return out
+
+
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
@@ -93,7 +124,7 @@ def _rotl(x: np.ndarray, r: int) -> np.ndarray:
 def xxh64(chunk: Chunk) -> np.ndarray:
     """xxhash64 (seed 0) of all n-grams: those under 32 bytes as arrays."""
     n = len(chunk.start)
-    order = np.argsort(chunk.length, kind="stable")
+    order = by_length(chunk.length)
     length = chunk.length[order]
     short = int(np.searchsorted(length, 32))
     size, at = length[:short], chunk.start[order[:short]].copy()
@@ -171,10 +202,7 @@ class GramTable:
         for i in range(int(words.max(initial=0))):
             more = np.flatnonzero(words > i)
             self.bytes[at[more] + i] = chunk.word64(grams[more], i)
-        text, b, crc = chunk.text, self.buckets, zlib.crc32
-        start = chunk.start[grams]
-        spans = zip(start.tolist(), (start + chunk.length[grams]).tolist(), strict=True)
-        self.bucket[slots] = [crc(text[s:e]) % b for s, e in spans]
+        self.bucket[slots] = crc32(chunk, grams) % np.uint32(self.buckets)
         self.used += len(grams)
 
     def slots(self, chunk: Chunk) -> np.ndarray:

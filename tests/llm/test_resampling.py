@@ -90,6 +90,13 @@ def test_array_hash_is_xxhash64():
         assert gramtable.xxh64(chunk).tolist() == [xxhash.xxh64_intdigest(chunk.gram(i)) for i in range(len(chunk.start))]
 
 
+def test_array_crc_is_crc32():
+    (chunk,) = gramtable.chunks(enumerate(["the cat sat " * 9, "é" * 60 + " x", ""]), 3)
+    some = np.arange(len(chunk.start))[::-1]
+    assert gramtable.crc32(chunk, some).tolist() == [zlib.crc32(chunk.gram(i)) for i in some]
+    assert gramtable.crc32(chunk, some[:0]).tolist() == []
+
+
 def test_equal_hashes_keep_different_grams_apart(monkeypatch):
     monkeypatch.setattr(gramtable, "xxh64", lambda chunk: np.full(len(chunk.start), (1 << 12) - 2, np.uint64))
     table = gramTable = gramtable.GramTable(10000, bits=12)  # probing also wraps around
