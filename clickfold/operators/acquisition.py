@@ -1,10 +1,11 @@
 """Traffic acquisition (R14, session scope) and user acquisition (R15,
 first-user scope), both with the default channel grouping.
 
-Two aggregation levels: events -> sessions (map-side combined), then
-sessions -> report rows. The distinct counts of the second level run on
-session rows only (Expand + two-phase aggregate), so a dimension value that
-holds most sessions is still split by the distinct key in the first phase.
+Aggregation levels: events -> sessions (map-side combined), sessions ->
+one row per (labels, user or session), those -> report rows. Users and
+sessions are counted without DISTINCT, and a label that holds most sessions is
+split by user and session. The channel group depends on the labels alone: its
+rules run on the report rows, not on the sessions.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 
 from clickfold.functions.channels import channel_group
 from clickfold.functions.params import event_param, session_engaged, session_id_concat
+from clickfold.operators.counts import counted_by_key
 from clickfold.operators.sessions import DIRECT_DEFAULTS, first_geo, first_labels, first_user_labels, geo_fields
 from clickfold.sources.events import in_window
 from clickfold.sources.tables import scratch_table
 
 
-def _session_measures(engaged: Column, specific_event: str | None = None) -> list[Column]:
+def session_measures(engaged: Column, specific_event: str | None = None) -> list[Column]:
     is_start = F.col("event_name") == "session_start"
     extra = [] if specific_event is None else [
         F.count_if(F.col("event_name") == F.lit(specific_event)).alias("specific_event_count")
@@ -37,23 +39,21 @@ def _session_measures(engaged: Column, specific_event: str | None = None) -> lis
     ]
 
 
-def _report_measures(specific_event: str | None = None) -> list[Column]:
-    extra = [] if specific_event is None else [F.sum("specific_event_count").alias("specific_event_count")]
-    return [
-        F.sum(F.col("engagement_time_msec") / F.lit(1000)).alias("engagement_time"),
-        F.sum("event_count").alias("total_event_count"),
-        *extra,
-        F.sum("conversions").alias("conversions"),
-        F.coalesce(F.sum("total_revenue"), F.lit(0.0)).alias("total_revenue"),
-    ]
+def _report_measures(specific_event: str | None = None) -> dict[str, Column]:
+    """What the report sums over sessions."""
+    extra = {} if specific_event is None else {"specific_event_count": F.col("specific_event_count")}
+    return {
+        "engagement_time": F.col("engagement_time_msec") / F.lit(1000), "total_event_count": F.col("event_count"),
+        **extra, "conversions": F.col("conversions"), "total_revenue": F.col("total_revenue"),
+    }
 
 
-def _is_active() -> Column:
-    return (F.col("engagement_time_msec") > 0) | (F.col("session_engaged") == "1")
+def _no_null_revenue(measures: list[str]) -> list[Column]:
+    return [F.coalesce(m, F.lit(0.0)).alias(m) if m == "total_revenue" else F.col(m) for m in measures]
 
 
-def _active(user: Column) -> Column:
-    return F.count_distinct(F.when(_is_active(), user))
+def _is_active() -> Column:
+    return (F.col("engagement_time_msec") > 0) | (F.col("session_engaged") == "1")
 
 
 def _source_medium(source: str, medium: str) -> Column:
@@ -67,7 +67,7 @@ def traffic_sessions(
     engaged flag from the string value only."""
     ev = in_window(events, as_of, days)
     return ev.groupBy(F.col("user_pseudo_id"), session_id_concat().alias("session_id")).agg(
-        *first_labels(), *_session_measures(session_engaged(int_fallback=False), specific_event)
+        *first_labels(), *session_measures(session_engaged(int_fallback=False), specific_event)
     )
 
 
@@ -93,34 +93,25 @@ def traffic_acquisition_from(
     per_session: DataFrame, *, specific_event: str | None = None, with_source_medium: bool = False
 ) -> DataFrame:
     """R14's report level on its per-session table (`traffic_sessions`)."""
-    user, sid = F.col("user_pseudo_id"), F.col("session_id")
-    dims = [
-        F.col("date"),
-        F.col("session_default_channel_group"),
-        F.col("source").alias("session_source"),
-        F.col("medium").alias("session_medium"),
-    ]
-    if with_source_medium:
-        dims.append(_source_medium("source", "medium").alias("session_source_medium"))
-    dims.append(F.col("campaign").alias("session_campaign"))
-    return (
-        per_session.select(
-            "*", channel_group("source", "medium", "campaign").alias("session_default_channel_group")
-        )
-        .groupBy(*dims)
-        .agg(
-            F.count_distinct(user).alias("total_users"),
-            _active(user).alias("active_users"),
-            F.count_distinct(sid).alias("sessions"),
-            F.count_distinct(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
-            *_report_measures(specific_event),
-        )
-        # ties by the dimensions: equal counts would all fall into one range
-        .orderBy(F.desc("total_users"), "date", "session_default_channel_group", "session_source", "session_medium", "session_campaign")
+    labels = ["date", "source", "medium", "campaign"]
+    measures = _report_measures(specific_event)
+    counted = counted_by_key(
+        per_session,
+        labels,
+        {"user": (F.col("user_pseudo_id"), _is_active()), "session": (F.col("session_id"), F.col("session_engaged") == "1")},
+        measures,
     )
+    group = channel_group("source", "medium", "campaign").alias("session_default_channel_group")
+    pair = [_source_medium("source", "medium").alias("session_source_medium")] if with_source_medium else []
+    return counted.select(
+        "date", group, F.col("source").alias("session_source"), F.col("medium").alias("session_medium"), *pair,
+        F.col("campaign").alias("session_campaign"), F.col("user").alias("total_users"), F.col("user_flagged").alias("active_users"),
+        F.col("session").alias("sessions"), F.col("session_flagged").alias("engaged_sessions"), *_no_null_revenue(list(measures)),
+        # ties by the dimensions: equal counts would all fall into one range
+    ).orderBy(F.desc("total_users"), "date", "session_default_channel_group", "session_source", "session_medium", "session_campaign")
 
 
-def _first_in_time(value: Column) -> Column:
+def first_in_time(value: Column) -> Column:
     """min of (time, value) over non-NULL values: the first non-NULL value
     in time (ties: smaller value); minima of these roll up."""
     return F.min(F.when(value.isNotNull(), F.struct(F.col("event_timestamp").alias("t"), value.alias("v"))))
@@ -141,13 +132,18 @@ def acquisition_reports(
     fine = ev.groupBy(
         "user_pseudo_id", F.col("_sid").alias("session_id"), "first_source", "first_medium", "first_campaign"
     ).agg(
-        *[_first_in_time(event_param(k)).alias(f"_first_{k}") for k in DIRECT_DEFAULTS],
-        *_session_measures(session_engaged()),
+        *[first_in_time(event_param(k)).alias(f"_first_{k}") for k in DIRECT_DEFAULTS],
+        *session_measures(session_engaged()),
         F.max(session_engaged(int_fallback=False)).alias("_engaged_string"),
         first_geo().alias("_geo"),
     )
     if materialize:
         fine = scratch_table(fine, "acquisition_sessions")
+    return acquisition_reports_from(fine)
+
+
+def acquisition_reports_from(fine: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """R14, R15 and R7 on the table per (session, first-user labels)."""
     r15 = user_acquisition_from(fine)
     per_session = fine.groupBy("user_pseudo_id", "session_id").agg(
         *[F.min(f"_first_{k}").alias(f"_first_{k}") for k in DIRECT_DEFAULTS],
@@ -183,7 +179,7 @@ def user_sessions(
     )
     return ev.groupBy(
         "user_pseudo_id", F.col("_sid").alias("session_id"), "first_source", "first_medium", "first_campaign"
-    ).agg(*_session_measures(session_engaged(), specific_event))
+    ).agg(*session_measures(session_engaged(), specific_event))
 
 
 def user_acquisition(
@@ -207,39 +203,32 @@ def user_acquisition_from(
     """R15's report level on its per-session table (`user_sessions`)."""
     user, sid = F.col("user_pseudo_id"), F.col("session_id")
     num = F.col("session_number")
+    labels = ["date", "first_source", "first_medium", "first_campaign"]
+    group = channel_group("first_source", "first_medium", "first_campaign").alias("first_user_default_channel_group")
+    pair = [_source_medium("first_source", "first_medium").alias("first_user_source_medium")] if with_source_medium else []
     dims = [
-        F.col("date"),
-        F.col("first_user_default_channel_group"),
-        F.col("first_source").alias("first_user_source"),
-        F.col("first_medium").alias("first_user_medium"),
+        "date", group, F.col("first_source").alias("first_user_source"), F.col("first_medium").alias("first_user_medium"),
+        *pair, F.col("first_campaign").alias("first_user_campaign"),
     ]
-    if with_source_medium:
-        dims.append(_source_medium("first_source", "first_medium").alias("first_user_source_medium"))
-    dims.append(F.col("first_campaign").alias("first_user_campaign"))
     names = [
         "date", "first_user_default_channel_group", "first_user_source", "first_user_medium",
         *(["first_user_source_medium"] if with_source_medium else []), "first_user_campaign",
     ]
-    extra = [] if specific_event is None else ["specific_event_count"]
+    measures = _report_measures(specific_event)
+    counts = ["total_users", "active_users", "new_users", "returning_users", "sessions", "engaged_sessions"]
     return (
-        per_session.select(
-            "*",
-            channel_group("first_source", "first_medium", "first_campaign").alias(
-                "first_user_default_channel_group"
-            ),
-        )
-        .groupBy(*dims, user)
+        per_session.groupBy(*labels, user)
         .agg(
             F.max(_is_active().cast("int")).alias("_active"),
             F.max((num == 1).cast("int")).alias("_new"),
             F.max((num > 1).cast("int")).alias("_returning"),
             F.count(sid).alias("sessions"),
             F.count(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
-            *_report_measures(specific_event),
+            *[F.sum(m).alias(n) for n, m in measures.items()],
         )
         # one row per (dimensions, user): users are counted without DISTINCT,
         # which would write every session once per counted expression
-        .groupBy(*names)
+        .groupBy(*labels)
         .agg(
             F.count(user).alias("total_users"),
             *[
@@ -248,8 +237,8 @@ def user_acquisition_from(
             ],
             F.sum("sessions").alias("sessions"),
             F.sum("engaged_sessions").alias("engaged_sessions"),
-            F.sum("engagement_time").alias("engagement_time"),
-            *[F.sum(c).alias(c) for c in ("total_event_count", *extra, "conversions", "total_revenue")],
+            *[F.sum(c).alias(c) for c in measures],
         )
+        .select(*dims, *counts, *_no_null_revenue(list(measures)))
         .orderBy(F.desc("total_users"), *names)
     )

@@ -29,11 +29,13 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickfold.functions.params import event_param, session_id
+from clickfold.operators.membership import only_members
 from clickfold.operators.ordinal import MINUTE_MICROS, ordinal_within
 from clickfold.sources.events import in_window
 from clickfold.sources.tables import scratch_table
@@ -72,19 +74,26 @@ def session_label(dims: tuple[str, ...]) -> Column:
 def conversions(events: DataFrame, as_of: dt.date, conversion_days: int = 30) -> DataFrame:
     """Purchases of the last `conversion_days` full days (daily shards), one
     row per (user, session, conversion id = user text + event time)."""
-    ev = in_window(events, as_of, conversion_days, end_offset=1, include_intraday=False).where(
-        F.col("event_name") == "purchase"
+    rows = conversion_rows(in_window(events, as_of, conversion_days, end_offset=1, include_intraday=False))
+    return rows.groupBy(USER, "session_id", "conversion_id").agg(F.max("event_timestamp").alias("conversion_timestamp"))
+
+
+def conversion_rows(events: DataFrame) -> DataFrame:
+    """Purchases with their session and conversion id."""
+    return events.where(F.col("event_name") == "purchase").select(
+        USER, session_id().alias("session_id"), F.concat(F.col(USER), F.col("event_timestamp").cast("string")).alias("conversion_id"),
+        "event_timestamp", "event_date", "export_kind",
     )
-    ts = F.col("event_timestamp")
-    return ev.groupBy(
-        F.col(USER), session_id().alias("session_id"), F.concat(F.col(USER), ts.cast("string")).alias("conversion_id")
-    ).agg(F.max(ts).alias("conversion_timestamp"))
 
 
 def first_conversion(events: DataFrame, as_of: dt.date, conversion_days: int = 30) -> DataFrame:
     """Each user's first conversion (ties: conversion id, then session
     id). `conversion_timestamp` is in microseconds."""
-    c = conversions(events, as_of, conversion_days)
+    return first_conversion_from(conversions(events, as_of, conversion_days))
+
+
+def first_conversion_from(c: DataFrame) -> DataFrame:
+    """M16 on a table of conversions."""
     first = c.groupBy(USER).agg(F.min(F.struct("conversion_timestamp", "conversion_id", "session_id")).alias("c"))
     return first.select(
         USER,
@@ -123,35 +132,46 @@ def attribution_sessions(
     converting session, NULL when it is not in the window).
     """
     conv = first_conversion(events, as_of, conversion_days)
+    ev = in_window(events, as_of, conversion_days + acquisition_days, end_offset=1, include_intraday=False)
+    labels = [dims, *[d for d in extra_dims if d != dims]]
+
+    def sessions_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col(USER), session_id().alias("session_id")).agg(
+            F.min("event_timestamp").alias("session_start"),
+            *[F.max(session_label(d)).alias(label_name(d)) for d in labels],
+        )
+
+    return numbered_sessions(conv, ev, sessions_of, [label_name(d) for d in labels], acquisition_days, materialize=materialize)
+
+
+def numbered_sessions(
+    conv: DataFrame,
+    rows: DataFrame,
+    sessions_of: Callable[[DataFrame], DataFrame],
+    labels: list[str],
+    acquisition_days: int = 30,
+    *,
+    materialize: bool = True,
+) -> DataFrame:
+    """`attribution_sessions` on first conversions and rows (events, or states
+    of sessions) that `sessions_of` turns into sessions."""
     if materialize:
         # Read back from a table, the conversions reach the join through a
         # plain shuffle like the sessions do, so AQE can split a user with a
         # huge number of sessions across tasks (its skew-join rule only
         # applies when both join inputs are shuffles it inserted).
         conv = scratch_table(conv, "first_conversions")
-    ev = in_window(events, as_of, conversion_days + acquisition_days, end_offset=1, include_intraday=False)
-    # Events of users who never bought are dropped at the scan while the
-    # buyers are few enough to broadcast (counted in the written table).
-    # Beyond that, sessions are aggregated first (map-side combined, so a user
-    # or session holding many events costs one partial row per task) and only
-    # then meet the conversions: a shuffled semi join would move the raw
-    # events themselves by user.
-    if materialize and conv.count() <= BROADCAST_USERS:
-        ev = ev.join(F.broadcast(conv.select(USER)), USER, "left_semi")
-    labels = [dims, *[d for d in extra_dims if d != dims]]
-    sess = ev.groupBy(F.col(USER), session_id().alias("session_id")).agg(
-        F.min("event_timestamp").alias("session_start"),
-        *[F.max(session_label(d)).alias(label_name(d)) for d in labels],
-    )
+        rows = of_buyers(rows, conv)
+    sess = sessions_of(rows)
     c = conv.select(
         USER, F.col("session_id").alias("_conv_sid"), "conversion_id", F.col("conversion_timestamp").alias("_conv_ts")
     )
     start = F.col("session_start")
-    rows = (
+    found = (
         sess.join(c, USER)
         .where((start <= F.col("_conv_ts")) & (start >= F.col("_conv_ts") - F.lit(acquisition_days * DAY_MICROS)))
         .select(
-            USER, "session_id", "session_start", *[label_name(d) for d in labels],
+            USER, "session_id", "session_start", *labels,
             F.when(F.col("session_id") == F.col("_conv_sid"), F.col("conversion_id")).alias("conversion_id"),
         )
     )
@@ -162,17 +182,17 @@ def attribution_sessions(
         # Spark balances by sampling, so a user with a huge number of
         # sessions is spread over many buckets. Stored in the table, the
         # index stays fixed when a task is retried.
-        rows = (
-            rows.repartitionByRange(F.col(USER), *order)
+        found = (
+            found.repartitionByRange(F.col(USER), *order)
             .withColumn("_range", F.spark_partition_id().cast("bigint"))
         )
-        rows = scratch_table(rows, "attribution_sessions")
+        found = scratch_table(found, "attribution_sessions")
         bucket = F.col("_range")
     else:
         bucket = F.floor(start / F.lit(MINUTE_MICROS))
     key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
     numbered = ordinal_within(
-        rows,
+        found,
         USER,
         order,
         bucket_of=bucket,
@@ -187,6 +207,19 @@ def attribution_sessions(
     return scratch_table(numbered, "numbered_sessions") if materialize else numbered
 
 
+def of_buyers(rows: DataFrame, conv: DataFrame) -> DataFrame:
+    """Rows of users with a conversion, filtered where they are scanned.
+
+    Few buyers (counted in their written table) are broadcast. Beyond that a
+    hash bitmap of them is, which lets a few rows of others pass; the join
+    with the conversions that follows the session aggregate is exact. A
+    shuffled semi join would move the raw rows by user."""
+    n = conv.count()
+    if n <= BROADCAST_USERS:
+        return rows.join(F.broadcast(conv.select(USER)), USER, "left_semi")
+    return only_members(rows, conv, USER, n)
+
+
 def _decay_total(m: Column, n: Column) -> Column:
     """sum_{j=1..m} 2^(j/n) = r (r^m - 1) / (r - 1), r = 2^(1/n), via expm1."""
     step = F.lit(math.log(2.0)) / n

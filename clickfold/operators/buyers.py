@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickfold.operators.counts import counted_by_key
 from clickfold.operators.sessions import session_facts
 from clickfold.sources.events import in_window
 from clickfold.sources.tables import scratch_table
@@ -88,11 +89,10 @@ def buyer_behavior_by_campaign(
 
 def session_user_counts_from(facts: DataFrame) -> DataFrame:
     """R12 on a session-facts table."""
-    key = _session_key()
-    return facts.groupBy(*LABELS).agg(
-        F.count_distinct(key).alias("count_sessions"),
-        F.count_distinct(F.when(F.col("session_engaged") == "1", key)).alias("count_engaged_sessions"),
-        F.count_distinct("user_pseudo_id").alias("count_users"),
+    keys = {"session": (_session_key(), F.col("session_engaged") == "1"), "user": (F.col("user_pseudo_id"), F.lit(False))}
+    return counted_by_key(facts, list(LABELS), keys).select(
+        *LABELS, F.col("session").alias("count_sessions"), F.col("session_flagged").alias("count_engaged_sessions"),
+        F.col("user").alias("count_users"),
     )
 
 

@@ -38,24 +38,36 @@ def _funnel_groups(
     """Funnel events grouped per session (and UTC date with `by_date`):
     first time of each step, the group's first event (`_first`) and that
     event's title when it is the first step (`first_page_view`)."""
-    name, ts = F.col("event_name"), F.col("event_timestamp")
-    ev = in_window(events, as_of, days).where(name.isin(*steps))
-    ev = ev.select(
+    keys = ["user_pseudo_id", "session_id", *(["session_date"] if by_date else [])]
+    rows = funnel_rows(in_window(events, as_of, days), steps)
+    return day_groups_from(rows.groupBy(*keys).agg(*[c.alias(n) for c, n in funnel_states(steps)]))
+
+
+def funnel_rows(events: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """The funnel's events with their session, UTC date and title."""
+    return events.where(F.col("event_name").isin(*steps)).select(
         "user_pseudo_id", session_id().alias("session_id"), "event_name", "event_timestamp",
-        event_param("page_title").alias("page_title"),
+        event_param("page_title").alias("page_title"), utc_date(F.col("event_timestamp")).alias("session_date"),
+        "event_date", "export_kind",
     )
-    keys = [F.col("user_pseudo_id"), F.col("session_id")]
-    if by_date:
-        keys.append(utc_date(ts).alias("session_date"))
+
+
+def funnel_states(steps: tuple[str, ...] = STEPS) -> list[tuple[Column, str]]:
+    """Minima over funnel rows: the first event with its title, and the first
+    time of each step. Minima of several groups' minima are the minima of
+    their union."""
+    name, ts = F.col("event_name"), F.col("event_timestamp")
     # order: time, event name, then the title itself, so equal times still
     # give one answer (a retried task computes the same landing page)
     title = F.when(name == steps[0], F.col("page_title"))
-    first_title = F.min_by(title, F.struct(ts, name, F.coalesce(title, F.lit(""))))
-    return ev.groupBy(*keys).agg(
-        first_title.alias("first_page_view"),
-        F.min(F.struct(ts, name)).alias("_first"),
-        *[F.min(F.when(name == s, ts)).alias(_step_col(s)) for s in steps],
-    )
+    landing = F.struct(ts.alias("t"), name.alias("n"), F.coalesce(title, F.lit("")).alias("order"), title.alias("title"))
+    return [(F.min(landing), "_landing"), *[(F.min(F.when(name == s, ts)), _step_col(s)) for s in steps]]
+
+
+def day_groups_from(states: DataFrame) -> DataFrame:
+    """`first_page_view` and `_first` out of the first event."""
+    first = F.struct(F.col("_landing")["t"].alias("event_timestamp"), F.col("_landing")["n"].alias("event_name"))
+    return states.select("*", F.col("_landing")["title"].alias("first_page_view"), first.alias("_first")).drop("_landing")
 
 
 def _passing(grouped: DataFrame, steps: tuple[str, ...]) -> DataFrame:
@@ -140,6 +152,11 @@ def closed_funnel_pair(
     day_groups = _funnel_groups(events, as_of, days, True, steps)
     if materialize:
         day_groups = scratch_table(day_groups, "funnel_days")
+    return closed_funnel_pair_from(day_groups, steps)
+
+
+def closed_funnel_pair_from(day_groups: DataFrame, steps: tuple[str, ...] = STEPS) -> tuple[DataFrame, DataFrame]:
+    """R5 and R6 on the per-(session, day) groups."""
     r5 = _report(_passing(_session_landing(day_groups), steps), True, steps)
     r6 = _report(_passing(_roll_up_days(day_groups, steps), steps), False, steps)
     return r5, r6

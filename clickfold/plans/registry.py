@@ -11,6 +11,7 @@ bound changes the result. Doubles are rounded to 6 digits for comparison.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -22,10 +23,14 @@ from clickfold.functions.channels import channel_group
 from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat
 from clickfold.operators import acquisition, buyers, commerce, email, funnel, sessions
 from clickfold.operators import attribution as attr
+from clickfold.plans.daily import FromStore
+from clickfold.plans.daystore import DayStore
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import in_window, read_table, write_table
-from clickfold.sources.fixture import buyers_for, campaign_table, export_for
+from clickfold.sources.fixture import buyers_for, campaign_table, export_for, export_path, shard_folders_for
 from clickfold.sources.lookups import read_buyers, read_campaigns
+from clickfold.sources.shards import PartitionedExport
+from clickfold.sources.tables import scratch_table
 
 AS_OF = dt.date(2024, 1, 30)
 
@@ -252,6 +257,79 @@ def _r09_saved(spark, sf_dir):
     return email.email_campaign_stats_from(r13, r8, r12, r2, _saved_campaigns(spark))
 
 
+# the same reports on the states of a day store that was refreshed day by day
+_STORES: dict[str, DayStore] = {}
+_STORE_LOCK = threading.Lock()
+
+
+def _store(spark: SparkSession, sf_dir: str) -> FromStore:
+    _ev(spark, sf_dir)
+    path = export_path(spark, sf_dir)
+    with _STORE_LOCK:
+        if path not in _STORES:
+            store = DayStore(spark, f"{path}-store-{uuid.uuid4().hex}")
+            # the day before as_of first, then only what is new on as_of
+            store.refresh(PartitionedExport(path), AS_OF - dt.timedelta(days=1))
+            store.refresh(PartitionedExport(path), AS_OF)
+            _STORES[path] = store
+    return FromStore(_STORES[path], AS_OF)
+
+
+@register("r13_day_store")
+def _r13_store(spark, sf_dir):
+    return _store(spark, sf_dir).facts().select("user_pseudo_id", "session_id", "session_engaged", *_SMC)
+
+
+@register("r12_day_store")
+def _r12_store(spark, sf_dir):
+    return buyers.session_user_counts_from(_store(spark, sf_dir).facts())
+
+
+@register("r02_day_store")
+def _r02_store(spark, sf_dir):
+    return _saved_r2(spark, sf_dir, scratch_table(_store(spark, sf_dir).facts(), "session_facts"))
+
+
+@register("r08_day_store")
+def _r08_store(spark, sf_dir):
+    return _store(spark, sf_dir).items()[0]
+
+
+@register("r05_day_store")
+def _r05_store(spark, sf_dir):
+    return _store(spark, sf_dir).funnels()[0]
+
+
+@register("r06_day_store")
+def _r06_store(spark, sf_dir):
+    return _store(spark, sf_dir).funnels()[1]
+
+
+@register("r07_day_store")
+def _r07_store(spark, sf_dir):
+    return _store(spark, sf_dir).acquisition()[2]
+
+
+@register("r14_day_store")
+def _r14_store(spark, sf_dir):
+    return _store(spark, sf_dir).acquisition()[0]
+
+
+@register("r15_day_store")
+def _r15_store(spark, sf_dir):
+    return _store(spark, sf_dir).acquisition()[1]
+
+
+@register("r10_day_store")
+def _r10_store(spark, sf_dir):
+    return _store(spark, sf_dir).attribution()[0]
+
+
+@register("r11_day_store")
+def _r11_store(spark, sf_dir):
+    return _store(spark, sf_dir).attribution()[1]
+
+
 for _idays, _sfx in ((30, ""), (5, "_items_5d")):
 
     @register(f"r09_email_campaign_stats{_sfx}")
@@ -279,6 +357,21 @@ def _m02(spark, sf_dir):
     return _shard_counts(in_window(_ev(spark, sf_dir), AS_OF, 1, include_intraday=False))
 
 
+@register("m01_shard_folders")
+def _m01_folders(spark, sf_dir):
+    return _shard_counts(in_window(shard_folders_for(spark, sf_dir).events(spark), AS_OF, 1))
+
+
+@register("m02_shard_folders")
+def _m02_folders(spark, sf_dir):
+    return _shard_counts(in_window(shard_folders_for(spark, sf_dir).events(spark), AS_OF, 1, include_intraday=False))
+
+
+@register("r14_shard_folders")
+def _r14_folders(spark, sf_dir):
+    return acquisition.traffic_acquisition(shard_folders_for(spark, sf_dir).events(spark), AS_OF, 30)
+
+
 @register("m03_event_param")
 def _m03(spark, sf_dir):
     return in_window(_ev(spark, sf_dir), AS_OF, 30).select(

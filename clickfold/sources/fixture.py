@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from clickfold.schema import CAMPAIGN_METRICS, CAMPAIGN_SCHEMA, EVENT_SCHEMA
 from clickfold.session import ensure_checkpoint_dir
+from clickfold.sources import files
 from clickfold.sources.events import read_events
+from clickfold.sources.shards import PartitionedExport, ShardFolders
 
 FIXTURE_VERSION = "4"
 
@@ -289,6 +291,20 @@ def export_for(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _OPENED[path]
 
 
+def shard_folders_for(spark: SparkSession, sf_dir: str) -> ShardFolders:
+    """The same export in folders named as its tables (`events_YYYYMMDD`,
+    `events_intraday_YYYYMMDD`), written once per session."""
+    path = export_path(spark, sf_dir) + "-shards"
+    events = export_for(spark, sf_dir)
+    with _BUILD_LOCK:
+        if not files.exists(spark, f"{path}/_DONE"):
+            events.hint("rebalance", "event_date", "export_kind").write.mode("overwrite").partitionBy("event_date", "export_kind").parquet(f"{path}-parts")
+            for (day, kind), folder in PartitionedExport(f"{path}-parts").shards(spark).items():
+                files.move(spark, folder, f"{path}/events_{'intraday_' if kind == 'intraday' else ''}{day}")
+            files.write_once(spark, f"{path}/_DONE", "")
+    return ShardFolders(path)
+
+
 def nested_events_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same rows as `export_for`, computed lazily without writing."""
     return nested_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -300,5 +316,5 @@ def buyers_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = [
     "CAMPAIGN_ROWS", "FIRST_USER_TRAFFIC", "TRAFFIC_LIST", "buyers_for", "buyers_from_customers",
-    "campaign_table", "export_for", "nested_events", "nested_events_for",
+    "campaign_table", "export_for", "nested_events", "nested_events_for", "shard_folders_for",
 ]

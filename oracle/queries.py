@@ -501,3 +501,15 @@ FROM ev WHERE {win(30)} GROUP BY 1, 2, 3""")
 SQL["r01_saved"] = SQL["r01_abandoned_cart_user_ids"]
 SQL["r02_saved"] = SQL["r02_buyer_behavior_by_campaign"]
 SQL["r09_saved"] = SQL["r09_email_campaign_stats"]
+
+# the same reports over the day store's states and over folders per shard
+for _name, _same in {
+    "r13": "r13_session_source", "r12": "r12_session_user_counts", "r02": "r02_buyer_behavior_by_campaign",
+    "r08": "r08_items_by_session", "r05": "r05_closed_funnel_by_date", "r06": "r06_closed_funnel",
+    "r07": "r07_geo_by_session", "r14": "r14_traffic_acquisition", "r15": "r15_user_acquisition",
+    "r10": "r10_attribution_source_medium", "r11": "r11_attribution_source_medium_campaign",
+}.items():
+    SQL[f"{_name}_day_store"] = SQL[_same]
+SQL["m01_shard_folders"] = SQL["m01_read_with_intraday"]
+SQL["m02_shard_folders"] = SQL["m02_read_daily_only"]
+SQL["r14_shard_folders"] = SQL["r14_traffic_acquisition"]
