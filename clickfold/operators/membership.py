@@ -38,10 +38,21 @@ def key_bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
         .groupBy(F.bitmap_bucket_number(slot).alias("page"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     )
-    word = lambda i: F.conv(F.hex(F.substring("bits", 4 * i + 1, 4)), 16, 10).cast("bigint")
+    return pages.select((F.col("page") - 1).alias("__page"), page_words(F.col("bits")).alias("__words"))
+
+
+def page_words(bits: Column) -> Column:
+    """A page of the bitmap aggregate as an array of 32-bit words."""
+    word = lambda i: F.conv(F.hex(F.substring(bits, 4 * i + 1, 4)), 16, 10).cast("bigint")
     signed = lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int")
-    words = F.transform(F.sequence(F.lit(0), F.lit(PAGE_BITS // 32 - 1)), lambda i: signed(word(i)))
-    return pages.select((F.col("page") - 1).alias("__page"), words.alias("__words"))
+    return F.transform(F.sequence(F.lit(0), F.lit(PAGE_BITS // 32 - 1)), lambda i: signed(word(i)))
+
+
+def is_set(words: Column, at: Column) -> Column:
+    """Whether bit `at` (0 to 32767, int) of a page's words is set."""
+    # byte p / 8 of the page, bit p % 8 of the byte; a word is four bytes, highest first
+    shift = F.lit(24) - F.lit(8) * F.shiftright(at, 3).bitwiseAND(3) + at.bitwiseAND(7)
+    return F.get(words, F.shiftright(at, 5)).bitwiseAND(F.call_function("shiftleft", F.lit(1), shift)) != 0
 
 
 def only_members(rows: DataFrame, keys: DataFrame, key: str, n_keys: int, **size) -> DataFrame:
@@ -49,9 +60,7 @@ def only_members(rows: DataFrame, keys: DataFrame, key: str, n_keys: int, **size
     bits = bitmap_size(n_keys, **size)
     slot = _slot(F.col(key), bits)
     at = slot.bitwiseAND(PAGE_BITS - 1).cast("int")
-    # byte p / 8 of the page, bit p % 8 of the byte; a word is four bytes, highest first
-    shift = F.lit(24) - F.lit(8) * F.shiftright(at, 3).bitwiseAND(3) + at.bitwiseAND(7)
-    held = F.get(F.col("__words"), F.shiftright(at, 5)).bitwiseAND(F.call_function("shiftleft", F.lit(1), shift)) != 0
+    held = is_set(F.col("__words"), at)
     page = F.shiftright(slot, 15)
     bitmap = F.broadcast(key_bitmap(keys, key, bits))
     return rows.join(bitmap, (page == F.col("__page")) & held & F.col(key).isNotNull(), "left_semi")
