@@ -79,7 +79,9 @@ def _crossing(hist: DataFrame, bucket: str, plan: DataFrame, budget: str) -> Dat
     """Per source the first bucket at which the running sum passes the budget,
     with what the buckets before it leave of the budget."""
     running = F.sum("words").over(Window.partitionBy("source").orderBy(bucket))
-    joined = hist.join(plan.select(F.col("source").alias("s"), budget), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a source without a budget has no cut: wordless documents would pass below any
+    wanted = plan.select(F.col("source").alias("s"), budget).where(F.col(budget) > 0)
+    joined = hist.join(wanted, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     crossed = joined.withColumn("run", running).where(F.col("run") > F.col(budget))
     first = F.min(F.struct(bucket, F.col(budget) - (F.col("run") - F.col("words")), F.col("words"))).alias("x")
     return crossed.groupBy("source").agg(first).select(
