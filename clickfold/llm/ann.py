@@ -17,15 +17,16 @@ Cells are dealt in order to shards of at most about SHARD_ROWS rows; a larger
 cell takes several. Queries go, in blocks, to the shards of their cells.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
-components, whose id is null or whose length is not the most common one take
-no part, neither as query nor as candidate. Rows with equal ids count once
-(smallest vector). Fewer candidates than k: all of them. Equal scores: the
+components, or whose id is null, take no part, neither as query nor as
+candidate. Every vector length is a search of its own with its own index.
+Rows with equal id and length count once (smallest vector). Fewer candidates than k: all of them. Equal scores: the
 smaller id first.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -237,15 +238,22 @@ def search(
     column `id`) holds, the row itself left out."""
     spark = vectors.sparkSession
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(is_usable(F.col("vec")) & F.col("id").isNotNull())
-    common = usable.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    usable = usable.where(F.size("vec") == common["dims"])
-    rows = scratch(usable.groupBy("id").agg(F.min("vec").alias("vec")), "ann-rows")
+    rows = scratch(usable.groupBy("id", F.size("vec").alias("dims")).agg(F.min("vec").alias("vec")), "ann-rows")
+    sizes = {r["dims"]: r["n"] for r in rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length
+    found = [_search(rows.where(F.col("dims") == d).select("id", "vec"), is_query, d, sizes[d], k, target_recall) for d in sorted(sizes)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, is_query: Column, dims: int, n_rows: int, k: int, target_recall: float) -> DataFrame:
+    """`search` over vectors of one length, ids unique."""
+    spark = rows.sparkSession
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     longest = float(rows.agg(F.max(norm)).first()[0]) ** 0.5
-    drawn = rows.orderBy(F.xxhash64("id"), "id").select("vec").limit(SAMPLE_ROWS).toArrow().column(0).combine_chunks()
-    sample = _matrix(drawn, common["dims"])
+    # the smallest hashes; a threshold first, so that one task sorts little more than the sample
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    drawn = rows.where(place < F.lit(min(1 << 30, int((1 << 30) * 1.2 * SAMPLE_ROWS / n_rows) + 1)))
+    drawn = drawn.orderBy(place, "id").select("vec").limit(SAMPLE_ROWS).toArrow().column(0).combine_chunks()
+    sample = _matrix(drawn, dims)
     index = Index(sample, longest)
     listed = scratch(rows.mapInArrow(_list_cells(index), f"id long, vec {rows.schema['vec'].dataType.simpleString()}, cell int"), "ann-cells")
     counts = np.zeros(index.n_cells, np.int64)
