@@ -22,7 +22,6 @@ are scanned. Repeated rows get equal spans; other columns stay out.
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -133,7 +132,9 @@ class Novelty:
         plain: dict[str, int] = {}  # end of the last copy outside sensitive context
         for run in token_runs(text):
             sensitive = any(in_sensitive_context(text, s, e) for s, e in run)
-            for s, e in run:
+            whole: dict[int, float] = {}  # novelty of dotted values, by start
+            values = dotted(text, run) if sensitive else run
+            for (s, e), (a, b) in zip(run, values, strict=True):
                 own = text[s:e]
                 if not sensitive:
                     plain[own] = e
@@ -142,8 +143,11 @@ class Novelty:
                     continue
                 around = run[0][0], run[-1][1]
                 if self.score(text, s, e, plain.get(own, -AROUND - 1) < s - AROUND, around) < self.min_novelty:
-                    a, b = dotted(text, run, s)
-                    if (a, b) == (s, e) or own in plain or self.score(text, a, b, True, around) < self.min_novelty:
+                    if (a, b) == (s, e) or own in plain:
+                        continue
+                    if a not in whole:
+                        whole[a] = self.score(text, a, b, True, around)
+                    if whole[a] < self.min_novelty:
                         continue
                 if not any(c.isdigit() for c in own):
                     if words is None:
@@ -170,14 +174,11 @@ def token_runs(text: str) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
-def dotted(text: str, run: list[tuple[int, int]], start: int) -> tuple[int, int]:
-    """The value of parts with a single dot between them that holds the token at `start`."""
-    at = first = last = bisect.bisect_left(run, (start, 0))
-    while first and text[run[first - 1][1] : run[first][0]] == ".":
-        first -= 1
-    while last + 1 < len(run) and text[run[last][1] : run[last + 1][0]] == ".":
-        last += 1
-    return (run[first][0], run[last][1]) if first < last else run[at]
+def dotted(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each token of a run the value of parts with a single dot between
+    them that holds it."""
+    starts = [0, *(i for i in range(1, len(run)) if text[run[i - 1][1] : run[i][0]] != "."), len(run)]
+    return [(run[i][0], run[j - 1][1]) for i, j in zip(starts, starts[1:]) for _ in range(i, j)]
 
 
 def in_sensitive_context(text: str, start: int, end: int) -> bool:

@@ -72,3 +72,16 @@ def test_sensitive_context_reaches_whole_values():
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], brute.SCHEMA)).collect() == []
+
+
+def test_long_dotted_run_is_scanned_in_linear_time():
+    import time
+
+    from clickfold.llm import secrets
+
+    words = "request response session database manager controller connection configuration".split()
+    text = "auth " + ".".join(words[i % 8] for i in range(100_000))
+    start = time.monotonic()
+    novelty = secrets.Novelty(0.7)
+    assert novelty.spans(text, text.lower(), []) == []
+    assert len(text) > 900_000 and time.monotonic() - start < 60
