@@ -32,17 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from clickfold.llm.common import connected_components, join_labels, scratch, shuffle_partitions
+from clickfold.operators.membership import PAGE_BITS, is_set, page_words
 
 SEED = 42
 BLOCK = 2048
 #: Distinct fingerprints up to which postings of 2 and 3 bytes stay short.
 WIDER_AT = {2: 1 << 26, 3: 1 << 34}
 CHUNK_ROWS = 50_000
+#: Pages (4 kB, 32768 rows of a file) of kept rows that may be broadcast.
+BROADCAST_PAGES = 8192
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -199,21 +203,46 @@ def near_duplicates(
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row of `docs` per component of near copies: the one with the
     smallest id, a null id last; of equal ids the one with the smallest hash
-    of its text, then the first as written."""
+    of its text, then the first as written.
+
+    Rows are told apart by file and row index, so that only keys and
+    fingerprints are written; a table that is not read from files is written
+    first. The kept rows are a bitmap per file, applied where the table is
+    scanned while it is small enough to broadcast."""
 
     @F.arrow_udf(LongType())
     def printed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
             yield pa.array(np.array([fingerprint(t.as_py(), shingle) for t in part], np.uint64).astype(np.int64), pa.int64())
 
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", printed(F.col(text_col)))
-    rows = scratch(rows, "simhash-rows")  # fixes the row numbers
-    key = F.struct(
-        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row")
-    )
-    parts = connected_components(links(rows.select(F.col("__fp").alias("fp")), max_bits=max_bits))
+    try:
+        place = _row_place(docs)
+        docs.select(place)
+    except AnalysisException:  # not read from files
+        docs = scratch(docs, "simhash-documents")
+        place = _row_place(docs)
+    rows = docs.select(
+        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"),
+        place.alias("place"), printed(F.col(text_col)).alias("fp"),
+    )
+    rows = scratch(rows, "simhash-rows")
+    parts = connected_components(links(rows.select("fp"), max_bits=max_bits))
     # written first, as in near_duplicates; minima are taken map-side
-    least = scratch(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(key).alias("least")), "simhash-least")
+    least = scratch(rows.groupBy("fp").agg(F.min(F.struct("no_id", "id", "hash", "place")).alias("least")), "simhash-least")
     named = least.join(parts, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("component", "fp").alias("component"))
-    heads = named.groupBy("component").agg(F.min("least").alias("head")).select(F.col("head.row").alias("__head"))
-    return rows.join(scratch(heads, "simhash-heads"), F.col("__row") == F.col("__head"), "left_semi").select(*docs.columns)
+    heads = named.groupBy("component").agg(F.min("least").alias("head")).select("head.place.file", F.col("head.place.row").alias("row"))
+    at = F.col("row") + 1  # the bitmap functions count from 1
+    pages = heads.groupBy("file", (F.bitmap_bucket_number(at) - 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    pages = scratch(pages.select(F.col("file").alias("__file"), F.col("page").alias("__page"), page_words(F.col("bits")).alias("__words")), "simhash-kept")
+    marked = docs.withColumn("__place", place)
+    row = F.col("__place.row")
+    kept = is_set(F.col("__words"), row.bitwiseAND(PAGE_BITS - 1).cast("int"))
+    on = (F.col("__place.file") == F.col("__file")) & (F.shiftright(row, 15) == F.col("__page")) & kept
+    small = pages.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    return marked.join(F.broadcast(pages) if small else pages, on, "left_semi").select(*[docs[c] for c in docs.columns])
+
+
+def _row_place(docs: DataFrame) -> Column:
+    """File and row index of each row of a table read from Parquet files."""
+    read = docs.metadataColumn("_metadata")
+    return F.struct(read["file_path"].alias("file"), read["row_index"].alias("row"))
