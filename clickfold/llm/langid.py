@@ -208,16 +208,23 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return picked.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that the model calls `und`; all columns stay.
-    If the model has learned nothing, only texts without a letter go."""
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", lead: float = 0.1) -> DataFrame:
+    """`docs` without the rows that the model calls `und` or for which no
+    language stands out: the score must exceed an even guess (1 by the number
+    of labels) by `lead` of what is left to 1. Texts in a script that no
+    training text uses go, as all languages are equally likely for them. All
+    columns stay. If the model has learned nothing, only texts without a
+    letter go."""
+    even = 1 / max(1, len(model.labels))
+    least = even + lead * (1 - even)
 
     @F.arrow_udf(BooleanType())
     def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for part in texts:
             if model.labels:
-                yield pa.array([scorer.predict(t.as_py())[0] != UNKNOWN for t in part], pa.bool_())
+                found = (scorer.predict(t.as_py()) for t in part)
+                yield pa.array([label != UNKNOWN and score >= least for label, score in found], pa.bool_())
             else:
                 yield pa.array([has_letter(t.as_py()) for t in part], pa.bool_())
 

@@ -222,6 +222,15 @@ def test_nearest_neighbours_with_every_cell_seen(spark, monkeypatch, tmp_path, s
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+def test_nearest_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i < 100 else 4).tolist(), 0, 0) for i in range(160)]
+    out = ann.search(spark.createDataFrame(rows, VECTORS), ann.F.col("id") % 20 == 0, target_recall=1.0).collect()
+    lengths = {i: len(v) for i, v, _, _ in rows}
+    assert {r["query_id"] for r in out} == set(range(0, 160, 20))
+    assert all(lengths[r["query_id"]] == lengths[r["vec_id"]] for r in out)
+
+
 def test_nearest_neighbours_recall(spark):
     sf = "/root/testdata/sf0.1"
     got = found_neighbours(queries.op6_nearest_neighbours(spark, sf).collect())

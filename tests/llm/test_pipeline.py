@@ -40,6 +40,16 @@ def test_language_stage_drops_only_texts_without_letters(spark, docs, rows):
     assert out == sorted(r[0] for r in rows if any(c.isalpha() for c in r[1] or ""))
 
 
+def test_language_stage_drops_texts_without_a_likely_language(spark):
+    texts = ["the cat sat on the mat and the rain fell"] * 8 + ["der hund lief über die straße und bellte"] * 8 + ["le garçon mange une pomme verte"] * 8
+    langs = ["en"] * 8 + ["de"] * 8 + ["fr"] * 8
+    more = ["漢字漢字", "the cat", "漢字 und der hund", "12", "漢 字"]
+    rows = [(i, t, x, None, None, 0) for i, (t, x) in enumerate(zip(texts, langs, strict=True))]
+    rows += [(100 + i, t, None, None, None, 0) for i, t in enumerate(more)]
+    out = STAGES["language_id"](spark, spark.createDataFrame(rows, brute.SCHEMA), "").collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] >= 100) == [101, 102] and len(out) == 26
+
+
 def test_language_stage_without_any_label_keeps_texts_with_letters(spark):
     texts = ["clean text", "другой текст", "123 !?", "", None]
     docs = spark.createDataFrame([(i, t, None, None, None, 0) for i, t in enumerate(texts)], brute.SCHEMA)
@@ -63,6 +73,36 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, docs, rows):
     assert len(out) < len(rows) - 20
 
 
+def test_near_dedup_stage_writes_no_text(spark, docs, tmp_path):
+    from clickfold.sources import files
+    from clickfold.sources.tables import scratch_scope
+
+    docs.write.parquet(f"{tmp_path}/documents")
+    read = spark.read.parquet(f"{tmp_path}/documents").where("doc_id <> 3")
+    with scratch_scope(spark, keep=True) as written:
+        out = STAGES["simhash_dedup"](spark, read, "").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in STAGES["simhash_dedup"](spark, docs.where("doc_id <> 3"), "").collect())
+    left = [p for p in written if files.exists(spark, p)]
+    assert left and not any("text" in spark.read.parquet(p).columns for p in left)
+
+
+def test_near_dedup_stage_without_a_broadcast(spark, docs, rows, monkeypatch):
+    from clickfold.llm import simhash
+
+    want = sorted(r["doc_id"] for r in STAGES["simhash_dedup"](spark, docs, "").collect())
+    monkeypatch.setattr(simhash, "BROADCAST_PAGES", -1)
+    assert sorted(r["doc_id"] for r in STAGES["simhash_dedup"](spark, docs, "").collect()) == want
+
+
+def test_mixing_takes_wordless_documents_at_most_twice(spark):
+    rows = [(i, " " if i % 3 else "one word more", None, "small", None, 0) for i in range(60)]
+    rows += [(100 + i, "many words here " * 40, None, "large", None, 0) for i in range(60)]
+    times: dict = {}
+    for r in STAGES["mixing"](spark, spark.createDataFrame(rows, brute.SCHEMA), "").collect():
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    assert max(times.values()) <= 2
+
+
 def test_mixing_stage_nears_the_targets(spark, docs, rows):
     sizes, target = brute.targets(rows)
     taken = dict.fromkeys(sizes, 0)
