@@ -23,7 +23,8 @@ ORACLE_SQL = None  # hashes, merges and a trained model; tested stage by stage i
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language (null or no letter)."""
+    """Drops documents without a recognisable language: null, without a
+    letter, or with no language that stands out."""
     ship_package(spark)
     model = langid.fit(langid.training_rows(docs))
     return langid.keep_identified(docs, model)
