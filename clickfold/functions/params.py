@@ -1,4 +1,5 @@
-"""Event parameter lookup (the `event_params` key/value array)."""
+"""Event parameter lookup: in the `event_params` key/value array, or in the
+columns of shredded events (one struct per key, see `shred_params`)."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from clickfold.functions._cache import per_context
 
 _KINDS = {"string": "string_value", "int": "int_value"}
 _strict = ContextVar("strict_params", default=False)
+_shredded = ContextVar("shredded_params", default=False)
+SHREDDED = "params"
 
 
 @contextmanager
@@ -26,6 +29,43 @@ def strict_params(on: bool = True) -> Iterator[None]:
         _strict.reset(token)
 
 
+@contextmanager
+def shredded_params(on: bool = True) -> Iterator[None]:
+    """Reports built inside the block read shredded events: the looked-up keys
+    are columns, so a scan reads those it needs and no array."""
+    token = _shredded.set(on)
+    try:
+        yield
+    finally:
+        _shredded.reset(token)
+
+
+def shred_params(keys: tuple[str, ...], params: str = "event_params") -> Column:
+    """All entries of `keys` as one struct column, in one pass over the
+    array: per key the first entry's values and the number of entries."""
+    entry = "struct<string_value: string, int_value: bigint, n: int>"
+    empty = F.struct(*[
+        F.struct(F.lit(None).cast("string").alias("string_value"), F.lit(None).cast("bigint").alias("int_value"), F.lit(0).alias("n")).alias(k)
+        for k in keys
+    ])
+
+    def add(held: Column, p: Column) -> Column:
+        return F.struct(*[
+            F.when(
+                p["key"] == k,
+                F.struct(
+                    F.when(held[k]["n"] == 0, p["value"]["string_value"]).otherwise(held[k]["string_value"]).alias("string_value"),
+                    F.when(held[k]["n"] == 0, p["value"]["int_value"]).otherwise(held[k]["int_value"]).alias("int_value"),
+                    (held[k]["n"] + 1).alias("n"),
+                ),
+            ).otherwise(held[k]).cast(entry).alias(k)
+            for k in keys
+        ])
+
+    typed = ", ".join(f"`{k}`: {entry}" for k in keys)
+    return F.aggregate(F.coalesce(F.col(params), F.array().cast("array<struct<key: string, value: struct<string_value: string, int_value: bigint>>>")), empty.cast(f"struct<{typed}>"), add)
+
+
 def event_param(key: str, kind: str = "string", *, strict: bool | None = None, params: str = "event_params") -> Column:
     """Value of parameter `key` of the row's event, NULL when absent.
 
@@ -35,7 +75,8 @@ def event_param(key: str, kind: str = "string", *, strict: bool | None = None, p
     or inside `strict_params()`, a key present twice raises, as a scalar
     subquery would; by default the first entry wins.
     """
-    return _event_param(key, kind, _strict.get() if strict is None else strict, params)
+    strict = _strict.get() if strict is None else strict
+    return _shredded_param(key, kind, strict) if _shredded.get() else _event_param(key, kind, strict, params)
 
 
 @per_context
@@ -44,15 +85,18 @@ def _event_param(key: str, kind: str, strict: bool, params: str) -> Column:
     keys = F.col(params)["key"]
     at = F.array_position(keys, F.lit(key)).cast("int") - 1  # -1 when absent
     value = F.get(F.col(params)["value"][field], at)
-    if strict:
-        occurrences = F.size(keys) - F.size(F.array_remove(keys, F.lit(key)))
-        value = F.when(
-            occurrences > 1,
-            F.raise_error(F.lit(f"event parameter '{key}' appears more than once")).cast(
-                "string" if kind == "string" else "bigint"
-            ),
-        ).otherwise(value)
-    return value
+    return _once(key, kind, F.size(keys) - F.size(F.array_remove(keys, F.lit(key))), value) if strict else value
+
+
+@per_context
+def _shredded_param(key: str, kind: str, strict: bool) -> Column:
+    entry = F.col(SHREDDED)[key]
+    return _once(key, kind, entry["n"], entry[_KINDS[kind]]) if strict else entry[_KINDS[kind]]
+
+
+def _once(key: str, kind: str, occurrences: Column, value: Column) -> Column:
+    error = F.raise_error(F.lit(f"event parameter '{key}' appears more than once"))
+    return F.when(occurrences > 1, error.cast("string" if kind == "string" else "bigint")).otherwise(value)
 
 
 def session_id() -> Column:

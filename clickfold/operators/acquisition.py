@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickfold.functions.channels import channel_group
+from clickfold.functions.exact import exact_sum
 from clickfold.functions.params import event_param, session_engaged, session_id_concat
 from clickfold.operators.counts import counted_by_key
 from clickfold.operators.sessions import DIRECT_DEFAULTS, first_geo, first_labels, first_user_labels, geo_fields
@@ -35,7 +36,7 @@ def session_measures(engaged: Column, specific_event: str | None = None) -> list
         F.max(event_param("engagement_time_msec", "int")).alias("engagement_time_msec"),
         F.count("event_name").alias("event_count"),
         F.count_if(F.col("event_name") == "purchase").alias("conversions"),
-        F.sum(F.col("ecommerce")["purchase_revenue"]).alias("total_revenue"),
+        exact_sum(F.col("ecommerce")["purchase_revenue"]).alias("total_revenue"),
     ]
 
 
@@ -48,6 +49,10 @@ def _report_measures(specific_event: str | None = None) -> dict[str, Column]:
     }
 
 
+def total_of(name: str, value: Column) -> Column:
+    return exact_sum(value) if name in ("engagement_time", "total_revenue") else F.sum(value)
+
+
 def _no_null_revenue(measures: list[str]) -> list[Column]:
     return [F.coalesce(m, F.lit(0.0)).alias(m) if m == "total_revenue" else F.col(m) for m in measures]
 
@@ -154,7 +159,7 @@ def acquisition_reports_from(fine: DataFrame) -> tuple[DataFrame, DataFrame, Dat
         F.max("engagement_time_msec").alias("engagement_time_msec"),
         F.sum("event_count").alias("event_count"),
         F.sum("conversions").alias("conversions"),
-        F.sum("total_revenue").alias("total_revenue"),
+        exact_sum("total_revenue").alias("total_revenue"),
         F.min("_geo").alias("_geo"),
     )
     traffic_rows = per_session.select(
@@ -224,7 +229,7 @@ def user_acquisition_from(
             F.max((num > 1).cast("int")).alias("_returning"),
             F.count(sid).alias("sessions"),
             F.count(F.when(F.col("session_engaged") == "1", sid)).alias("engaged_sessions"),
-            *[F.sum(m).alias(n) for n, m in measures.items()],
+            *[total_of(n, m).alias(n) for n, m in measures.items()],
         )
         # one row per (dimensions, user): users are counted without DISTINCT,
         # which would write every session once per counted expression
@@ -237,7 +242,7 @@ def user_acquisition_from(
             ],
             F.sum("sessions").alias("sessions"),
             F.sum("engaged_sessions").alias("engaged_sessions"),
-            *[F.sum(c).alias(c) for c in measures],
+            *[total_of(c, F.col(c)).alias(c) for c in measures],
         )
         .select(*dims, *counts, *_no_null_revenue(list(measures)))
         .orderBy(F.desc("total_users"), *names)

@@ -34,9 +34,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickfold.functions.exact import exact_sum
 from clickfold.functions.params import event_param, session_id
 from clickfold.operators.membership import only_members
-from clickfold.operators.ordinal import MINUTE_MICROS, ordinal_within
+from clickfold.operators.ordinal import MINUTE_MICROS, ordinal_by_carry, ordinal_within
 from clickfold.sources.events import in_window
 from clickfold.sources.tables import scratch_table
 
@@ -176,35 +177,33 @@ def numbered_sessions(
         )
     )
     order = [start.asc(), F.col("session_id").asc_nulls_first()]
+    key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
     if materialize:
-        # Range-partition by (user, start, session) while writing: the
-        # partition index is then an order-preserving bucket whose sizes
-        # Spark balances by sampling, so a user with a huge number of
-        # sessions is spread over many buckets. Stored in the table, the
-        # index stays fixed when a task is retried.
-        found = (
-            found.repartitionByRange(F.col(USER), *order)
-            .withColumn("_range", F.spark_partition_id().cast("bigint"))
+        # one shuffle, by ranges of (user, start, session) that Spark balances
+        # by sampling: a user with a huge number of sessions is spread over
+        # many tasks. Written once for every report and model that reads it.
+        return ordinal_by_carry(
+            found,
+            USER,
+            order,
+            name="session_number",
+            counts={"session_rows": F.lit(True), "total_session_per_user": F.col("session_id").isNotNull()},
+            last={"conv_key": (F.col("conversion_id").isNotNull(), key)},
+            table="numbered_sessions",
+            write=scratch_table,
         )
-        found = scratch_table(found, "attribution_sessions")
-        bucket = F.col("_range")
-    else:
-        bucket = F.floor(start / F.lit(MINUTE_MICROS))
-    key = F.struct(start.alias("start"), F.col("session_id").alias("sid"))
-    numbered = ordinal_within(
+    return ordinal_within(
         found,
         USER,
         order,
-        bucket_of=bucket,
+        bucket_of=F.floor(start / F.lit(MINUTE_MICROS)),
         name="session_number",
         bucket_aggs={
             "session_rows": (F.count(F.lit(1)), "sum"),
             "total_session_per_user": (F.count("session_id"), "sum"),
             "conv_key": (F.max(F.when(F.col("conversion_id").isNotNull(), key)), "max"),
         },
-    ).drop("_range")
-    # one numbering for every report and model that reads these rows
-    return scratch_table(numbered, "numbered_sessions") if materialize else numbered
+    )
 
 
 def of_buyers(rows: DataFrame, conv: DataFrame) -> DataFrame:
@@ -315,7 +314,7 @@ def attribution_from(raw: DataFrame, dims: tuple[str, ...]) -> DataFrame:
         ("position based", "w_position_based", True),
     ]
     # one row per label with a sum per model; only these few are unpivoted
-    sums = model_weights(raw).groupBy(label).agg(*[F.sum(col).alias(col) for _, col, _ in arms])
+    sums = model_weights(raw).groupBy(label).agg(*[exact_sum(col).alias(col) for _, col, _ in arms])
     rows = F.array(*[
         F.struct(F.lit(name).alias("m"), F.col(col).alias("w"), F.lit(keep).alias("keep")) for name, col, keep in arms
     ])
@@ -324,7 +323,7 @@ def attribution_from(raw: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     non_direct = (
         last_non_direct(raw, dims)
         .groupBy(label)
-        .agg(F.sum("attribution_weight").alias("attribution_weight"))
+        .agg(exact_sum("attribution_weight").alias("attribution_weight"))
         .select(F.lit("last non direct click").alias("attribution_model"), label, "attribution_weight")
     )
     return per_model.unionByName(non_direct)

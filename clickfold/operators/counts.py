@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from clickfold.functions.exact import exact_sum
 
 
 def counted_by_key(
@@ -29,11 +32,14 @@ def counted_by_key(
         )
         for i, (key, flag) in enumerate(keys.values())
     ])
+    def total(n: str) -> Column:
+        return exact_sum(n) if types[n].dataType == DoubleType() else F.sum(n)
+
     each = rows.select(*labels, F.explode(entries).alias("e")).select(*labels, "e.*")
-    merged = each.groupBy(*labels, "which", "key").agg(F.max("flag").alias("flag"), *[F.sum(n).alias(n) for n in measures])
+    merged = each.groupBy(*labels, "which", "key").agg(F.max("flag").alias("flag"), *[total(n).alias(n) for n in measures])
     counts = []
     for i, name in enumerate(keys):
         mine = F.col("which") == i
         counts.append(F.count(F.when(mine, F.col("key"))).alias(name))
         counts.append(F.count(F.when(mine & (F.col("flag") == 1), F.col("key"))).alias(f"{name}_flagged"))
-    return merged.groupBy(*labels).agg(*counts, *[F.sum(n).alias(n) for n in measures])
+    return merged.groupBy(*labels).agg(*counts, *[total(n).alias(n) for n in measures])

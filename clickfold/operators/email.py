@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickfold.functions.exact import exact_sum
 from clickfold.operators.buyers import (
     buyer_behavior_by_campaign_from,
     buyer_behavior_by_user_from,
@@ -46,9 +47,9 @@ def email_campaign_stats_from(
         .join(items, SESSION, "left")
         .groupBy(*LABELS)
         .agg(
-            F.sum("donation_revenue").alias("total_donation_revenue"),
+            exact_sum("donation_revenue").alias("total_donation_revenue"),
             F.sum("donation_quantity").alias("total_donation_quantity"),
-            F.sum("product_revenue").alias("total_product_revenue"),
+            exact_sum("product_revenue").alias("total_product_revenue"),
             F.sum("product_quantity").alias("total_product_quantity"),
             F.sum("conversion_flag").alias("conversion_count"),
         )

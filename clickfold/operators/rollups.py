@@ -15,12 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickfold.functions.exact import exact_sum
 from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat
 from clickfold.operators import acquisition, attribution, commerce, funnel
 from clickfold.operators.sessions import DIRECT_DEFAULTS, first_geo, first_user_labels, max_labels
 
 USER, SHARD = "user_pseudo_id", ("event_date", "export_kind")
-HOW = {"max": F.max, "min": F.min, "sum": F.sum}
+HOW = {"max": F.max, "min": F.min, "sum": F.sum, "exact": exact_sum}
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ def _session_states() -> list[tuple[Column, str, str]]:
 def _acquisition_states() -> list[tuple[Column, str, str]]:
     measures = {
         "date": "min", "session_number": "max", "session_engaged": "max", "engagement_time_msec": "max",
-        "event_count": "sum", "conversions": "sum", "total_revenue": "sum",
+        "event_count": "sum", "conversions": "sum", "total_revenue": "exact",
     }
     return [
         *[(acquisition.first_in_time(event_param(k)), f"_first_{k}", "min") for k in DIRECT_DEFAULTS],
@@ -69,7 +70,8 @@ def _acquisition_states() -> list[tuple[Column, str, str]]:
 
 
 def _item_states() -> list[tuple[Column, str, str]]:
-    return [(c, n, "max" if n == "conversion_flag" else "sum") for c, n in zip(commerce.item_sums(), commerce.ITEM_SUMS, strict=True)]
+    how = {"donation_revenue": "exact", "product_revenue": "exact", "conversion_flag": "max"}
+    return [(c, n, how.get(n, "sum")) for c, n in zip(commerce.item_sums(), commerce.ITEM_SUMS, strict=True)]
 
 
 #: R13, R12, R3, R2, R9; session starts and labels of R10, R11

@@ -18,12 +18,15 @@ import datetime as dt
 import hashlib
 import json
 import uuid
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickfold.functions.params import SHREDDED, shred_params
 from clickfold.operators.rollups import ROLLUPS, SHARD, Rollup
 from clickfold.sources import files, manifest
 from clickfold.sources.events import date_key
@@ -40,6 +43,7 @@ class DayStore:
 
     spark: SparkSession
     root: str
+    rollups: Mapping[str, Rollup] = field(default_factory=lambda: ROLLUPS)
 
     def refresh(self, source: PartitionedExport | ShardFolders, as_of: dt.date, days: int = 60) -> list[Shard]:
         """Bring the shards from `as_of - days` to `as_of` up to date; returns
@@ -50,7 +54,7 @@ class DayStore:
         there = {s: p for s, p in source.shards(self.spark).items() if shard_in_window(s, lo, hi, True)}
         prints = {s: files.fingerprint(self.spark, p) for s, p in there.items()}
         events = source.events(self.spark)
-        schemas = {name: r.per_shard(events).schema for name, r in ROLLUPS.items()}
+        schemas = {name: r.per_shard(events).schema for name, r in self.rollups.items()}
         form = hashlib.sha256(repr(sorted((n, s.json()) for n, s in schemas.items())).encode()).hexdigest()
         # states of another form (an older release) are of no use
         known = held.get("shards", {}) if held.get("form") == form else {}
@@ -64,7 +68,7 @@ class DayStore:
             return []
         run = uuid.uuid4().hex
         found = {s: {"source": prints[s], "folders": {}} for s in stale}
-        for name, rollup in ROLLUPS.items() if stale else ():
+        for name, rollup in self.rollups.items() if stale else ():
             folder = f"{name}/{run}"
             self._write(rollup, events.where(_any_of(stale)), f"{self.root}/{folder}")
             for shard in stale:
@@ -107,7 +111,7 @@ class DayStore:
         times without readers of older ones); returns them."""
         _, held = manifest.latest(self.spark, self.root)
         used = {f for e in held.get("shards", {}).values() for f in e["folders"].values()}
-        runs = [f"{name}/{run}" for name in ROLLUPS for run in files.folder_names(self.spark, f"{self.root}/{name}")]
+        runs = [f"{name}/{run}" for name in self.rollups for run in files.folder_names(self.spark, f"{self.root}/{name}")]
         there = [
             f"{run}/{day}/{kind}"
             for run in runs
@@ -120,6 +124,52 @@ class DayStore:
         return gone
 
 
+#: Parameters the reports look up.
+REPORT_PARAMS = (
+    "ga_session_id", "ga_session_number", "session_engaged", "engagement_time_msec", "page_title", "source", "medium", "campaign",
+)
+
+
+@dataclass(frozen=True)
+class Shredded:
+    """Events with the parameters of `keys` as columns instead of the array
+    (a "rollup" that keeps every event). Clustered by event name, so pushed
+    event-name filters skip row groups."""
+
+    keys: tuple[str, ...] = REPORT_PARAMS
+    name: str = "shredded"
+
+    def per_shard(self, events: DataFrame) -> DataFrame:
+        rest = [c for c in events.columns if c != "event_params"]
+        return events.select(*rest, shred_params(self.keys).alias(SHREDDED))
+
+
+class ShreddedEvents(DayStore):
+    """A store of shredded events, refreshed shard by shard like the states.
+    Reports over `events()` are built inside `shredded_params()`."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...] = REPORT_PARAMS):
+        super().__init__(spark, root, {"shredded": Shredded(keys)})
+
+    def _write(self, rollup: Shredded, events: DataFrame, path: str) -> None:
+        rows = rollup.per_shard(events).hint("rebalance", *SHARD).sortWithinPartitions("event_name", "user_pseudo_id")
+        rows.write.partitionBy(*SHARD).parquet(path)
+
+    def events(self) -> DataFrame:
+        """All shards; a window opens only its own (their date and kind are
+        constants of their branches)."""
+        _, held = manifest.latest(self.spark, self.root)
+        schema = T.StructType.fromJson(held["schemas"]["shredded"])
+        parts = []
+        for name, entry in sorted(held["shards"].items()):
+            if "shredded" in entry["folders"]:
+                day, kind = name.split("/")
+                shard = self.spark.read.schema(schema).parquet(f"{self.root}/{entry['folders']['shredded']}")
+                parts.append(shard.select("*", F.lit(day).alias("event_date"), F.lit(kind).alias("export_kind")))
+        both = [T.StructField(c, T.StringType()) for c in SHARD]
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], T.StructType([*schema.fields, *both]))
+
+
 def _any_of(shards: list[Shard]) -> Column:
     """Partition filter for exactly these shards."""
     out = F.lit(False)

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickfold.functions.channels import channel_group
-from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat
+from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat, shredded_params
 from clickfold.operators import acquisition, buyers, commerce, email, funnel, sessions
 from clickfold.operators import attribution as attr
 from clickfold.plans.daily import FromStore
-from clickfold.plans.daystore import DayStore
+from clickfold.plans.daystore import DayStore, ShreddedEvents
 from clickfold.session import ensure_checkpoint_dir
 from clickfold.sources.events import in_window, read_table, write_table
 from clickfold.sources.fixture import buyers_for, campaign_table, export_for, export_path, shard_folders_for
@@ -275,6 +275,44 @@ def _store(spark: SparkSession, sf_dir: str) -> FromStore:
     return FromStore(_STORES[path], AS_OF)
 
 
+_SHREDDED: dict[str, ShreddedEvents] = {}
+
+
+def _shredded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _ev(spark, sf_dir)
+    path = export_path(spark, sf_dir)
+    with _STORE_LOCK:
+        if path not in _SHREDDED:
+            store = ShreddedEvents(spark, f"{path}-shredded-{uuid.uuid4().hex}")
+            store.refresh(PartitionedExport(path), AS_OF)
+            _SHREDDED[path] = store
+    return _SHREDDED[path].events()
+
+
+@register("m03_shredded")
+def _m03_shredded(spark, sf_dir):
+    with shredded_params():
+        return _event_params(_shredded_events(spark, sf_dir))
+
+
+@register("r13_shredded")
+def _r13_shredded(spark, sf_dir):
+    with shredded_params():
+        return sessions.session_source(_shredded_events(spark, sf_dir), AS_OF, 60)
+
+
+@register("r14_shredded")
+def _r14_shredded(spark, sf_dir):
+    with shredded_params():
+        return acquisition.traffic_acquisition(_shredded_events(spark, sf_dir), AS_OF, 30)
+
+
+@register("r06_shredded")
+def _r06_shredded(spark, sf_dir):
+    with shredded_params():
+        return funnel.closed_funnel(_shredded_events(spark, sf_dir), AS_OF, 30, by_date=False)
+
+
 @register("r13_day_store")
 def _r13_store(spark, sf_dir):
     return _store(spark, sf_dir).facts().select("user_pseudo_id", "session_id", "session_engaged", *_SMC)
@@ -374,7 +412,11 @@ def _r14_folders(spark, sf_dir):
 
 @register("m03_event_param")
 def _m03(spark, sf_dir):
-    return in_window(_ev(spark, sf_dir), AS_OF, 30).select(
+    return _event_params(_ev(spark, sf_dir))
+
+
+def _event_params(events: DataFrame) -> DataFrame:
+    return in_window(events, AS_OF, 30).select(
         "user_pseudo_id", "event_timestamp", "event_name",
         event_param("ga_session_id", "int").alias("ga_session_id"),
         event_param("page_title").alias("page_title"),

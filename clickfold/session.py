@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +77,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def is_one_process(master: str) -> bool:
     """Whether the master runs everything in the driver's process."""
     return master == "local" or master.startswith("local[")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), for
+    sessions whose workers do not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="clickfold-ship-")) / "clickfold_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted((root / "clickfold").rglob("*.py")):
+                z.write(source, source.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)

@@ -513,3 +513,7 @@ for _name, _same in {
 SQL["m01_shard_folders"] = SQL["m01_read_with_intraday"]
 SQL["m02_shard_folders"] = SQL["m02_read_daily_only"]
 SQL["r14_shard_folders"] = SQL["r14_traffic_acquisition"]
+for _name, _same in {
+    "m03": "m03_event_param", "r13": "r13_session_source", "r14": "r14_traffic_acquisition", "r06": "r06_closed_funnel",
+}.items():
+    SQL[f"{_name}_shredded"] = SQL[_same]

@@ -9,10 +9,10 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from clickfold.functions.params import session_id
-from clickfold.operators import attribution, rollups
+from clickfold.functions.params import event_param, session_id, shredded_params
+from clickfold.operators import attribution, rollups, sessions
 from clickfold.plans import daily, published
-from clickfold.plans.daystore import DayStore
+from clickfold.plans.daystore import DayStore, ShreddedEvents
 from clickfold.sources import files, manifest
 from clickfold.sources.events import read_events, read_table
 from clickfold.sources.fixture import buyers_for, campaign_table, export_for, export_path, shard_folders_for
@@ -205,6 +205,32 @@ def test_shards_of_older_schemas_and_other_folders(spark):
     assert ShardFolders(folder("none")).events(spark).count() == 0
 
 
+def test_shredded_events_read_no_array_and_follow_the_rules(spark):
+    path = folder("shredded")
+    twice = ev("u", at(3), "page_view", params={"source": ["a", "b"], "other": "x", "medium": 5})
+    rows = events(spark, [twice, ev("v", at(4), "purchase", sid=None)])
+    rows = rows.unionByName(rows.where("user_pseudo_id = 'v'").withColumn("event_params", F.lit(None).cast(rows.schema["event_params"].dataType)))
+    rows.write.partitionBy("event_date", "export_kind").parquet(f"{path}/e")
+    store = ShreddedEvents(spark, f"{path}/s")
+    store.refresh(PartitionedExport(f"{path}/e"), AS_OF)
+    asked = [("ga_session_id", "int"), ("source", "string"), ("medium", "string"), ("medium", "int"), ("campaign", "string")]
+    want = read_events(spark, f"{path}/e").select("user_pseudo_id", *[event_param(k, t).alias(f"{k}_{t}") for k, t in asked])
+    with shredded_params():
+        got = store.events().select("user_pseudo_id", *[event_param(k, t).alias(f"{k}_{t}") for k, t in asked])
+        assert norm(got) == norm(want) and got.count() == 3
+        source = store.events().where("user_pseudo_id = 'u'")
+        with pytest.raises(Exception, match="more than once"):
+            source.select(event_param("source", strict=True)).collect()
+        assert source.select(event_param("medium", "int", strict=True)).first()[0] == 5
+        plan = sessions.session_source(store.events(), AS_OF, 60)._jdf.queryExecution().executedPlan().toString()
+    schemas = [ln for ln in plan.split("\n") if "ReadSchema" in ln]
+    assert schemas and not any("array" in s or "page_title" in s for s in schemas) and all("ga_session_id" in s for s in schemas)
+    assert plan.count("FileScan") == 2
+    with shredded_params():
+        one_day = sessions.session_source(store.events(), dt.date(2024, 1, 4), 0)._jdf.queryExecution().executedPlan().toString()
+    assert one_day.count("FileScan") == 1
+
+
 def test_bitmap_semi_join_keeps_buyers_and_little_else(spark, monkeypatch):
     e = export_for(spark, "/root/testdata/sf0.01")
     conv = attribution.first_conversion(e, AS_OF, 30)

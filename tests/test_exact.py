@@ -1,0 +1,71 @@
+"""Sums of doubles that do not depend on the order or partitioning of rows."""
+
+import math
+import random
+import struct
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from clickfold.functions.exact import exact_sum
+from clickfold.operators import acquisition, attribution, commerce
+from clickfold.sources.fixture import export_for
+from tests.helpers import AS_OF
+
+SF = "/root/testdata/sf0.01"
+
+
+def bits(x):
+    return None if x is None else struct.pack(">d", x)
+
+
+@pytest.fixture(scope="module")
+def values():
+    rng = random.Random(6)
+    return [rng.choice([1, -1]) * rng.uniform(0, 10.0 ** rng.randint(-12, 9)) for _ in range(4000)] + [0.1] * 999 + [None] * 5
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_same_bits_in_every_order(spark, values, partitions):
+    rows = [(i % 3, v) for i, v in enumerate(values)]
+    want = {}
+    for k, v in rows:
+        want[k] = want.get(k, Fraction(0)) + Fraction(v or 0.0)
+    random.Random(partitions).shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, x double").repartition(partitions)
+    got = {r["k"]: r["s"] for r in df.groupBy("k").agg(exact_sum("x").alias("s")).collect()}
+    for k, s in want.items():
+        assert got[k] == pytest.approx(float(s), rel=1e-15)
+    again = spark.createDataFrame(sorted(rows, key=repr), "k int, x double").coalesce(1)
+    assert {r["k"]: bits(r["s"]) for r in again.groupBy("k").agg(exact_sum("x").alias("s")).collect()} == {k: bits(s) for k, s in got.items()}
+
+
+def test_nulls_large_and_odd_values(spark):
+    def total(*xs):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        return df.agg(exact_sum("x").alias("s")).first()["s"]
+
+    assert total() is None and total(None, None) is None
+    assert total(None, 1.5) == 1.5 and total(-0.25, 0.25) == 0.0
+    assert total(1e300, 1.0) == 1e300 and total(3e9, 0.5) == 3e9 + 0.5
+    assert math.isnan(total(float("nan"), 1.0)) and total(float("inf"), 1.0) == math.inf
+    assert total(*[0.1] * 10) == 1.0 and total(5e-324, 1.0) == 1.0
+
+
+def test_reports_have_the_same_bits_after_repartitioning(spark):
+    ev = export_for(spark, SF)
+    reports = {
+        "r08": lambda e: commerce.items_by_session(e, AS_OF, 60), "r08w": lambda e: commerce.items_by_session_windows(e, AS_OF)[1],
+        "r14": lambda e: acquisition.traffic_acquisition(e, AS_OF, 30), "r15": lambda e: acquisition.user_acquisition(e, AS_OF, 30),
+        "r10": lambda e: attribution.attribution(e, AS_OF, 30, 30),
+    }
+    for name, report in reports.items():
+        seen = []
+        for n in (1, 50):
+            df = report(ev.repartition(n, F.rand(n)))
+            doubles = [c for c, t in df.dtypes if t == "double"]
+            assert doubles, name
+            rows = (sorted(r.asDict().items()) for r in df.collect())
+            seen.append(sorted(repr([(c, bits(v) if c in doubles else v) for c, v in row]) for row in rows))
+        assert seen[0] == seen[1] and seen[0], name

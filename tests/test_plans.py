@@ -70,11 +70,11 @@ def test_event_scans_of_an_attribution_run(ev, monkeypatch):
 
     monkeypatch.setattr(attribution, "scratch_table", recording)
     reports = attribution.attribution_reports(ev, AS_OF, 30, 30)
-    assert [name for name, _ in written] == ["first_conversions", "attribution_sessions", "numbered_sessions"]
+    assert [name for name, _ in written] == ["first_conversions", "numbered_sessions", "numbered_sessions-carry"]
     scans = lambda p: [ln for ln in p.split("\n") if "FileScan parquet" in ln]
     of_events = {name: sum("event_params" in ln for ln in scans(p)) for name, p in written}
-    assert of_events == {"first_conversions": 1, "attribution_sessions": 1, "numbered_sessions": 0}
-    sessions_plan = dict(written)["attribution_sessions"]
+    assert of_events == {"first_conversions": 1, "numbered_sessions": 1, "numbered_sessions-carry": 0}
+    sessions_plan = dict(written)["numbered_sessions"]
     assert "BroadcastHashJoin" in sessions_plan and "LeftSemi" in sessions_plan  # buyers only, at the scan
     for df in reports:
         df.collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clickfold.operators import attribution as attr
 from clickfold.operators import buyers, funnel, sessions
-from clickfold.operators.ordinal import ordinal_within
+from clickfold.operators.ordinal import ordinal_by_carry, ordinal_within
 from clickfold.sources.fixture import export_for
 from tests.helpers import AS_OF
 
@@ -121,6 +121,38 @@ def test_ordinal_within_random(spark, seed):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ordinal_by_carry_random(spark, seed, partitions):
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(3000):
+        k = "hot" if rnd.random() < 0.6 else None if rnd.random() < 0.1 else f"k{rnd.randint(1, 40)}"
+        rows.append((k, rnd.randint(0, 400) if rnd.random() < 0.9 else None, i, rnd.random() < 0.05))
+    df = spark.createDataFrame(rows, "k string, t int, tie int, mark boolean").repartition(5)
+    order = [F.col("t").asc_nulls_first(), F.col("tie").asc()]
+    batch, width = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # runs over many batches
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = ordinal_by_carry(
+            df, "k", order, name="rn", counts={"n": F.lit(True), "with_t": F.col("t").isNotNull()}, last={"at": (F.col("mark"), F.struct("t", "tie"))}
+        )
+        whole = Window.partitionBy("k")
+        want = df.select(
+            "*", F.row_number().over(whole.orderBy(*order)).cast("long").alias("rn"), F.count(F.lit(1)).over(whole).alias("n"),
+            F.count("t").over(whole).alias("with_t"), F.max(F.when(F.col("mark"), F.struct("t", "tie"))).over(whole).alias("at"),
+        )
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+        empty = ordinal_by_carry(df.limit(0), "k", order, counts={"n": F.lit(True)}, last={"at": (F.col("mark"), F.col("t"))})
+        assert empty.collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
 def test_attribution_reports_share_one_table(ev):
     both = attr.attribution_reports(ev, AS_OF, 10, 10)
     for got, dims in zip(both, (("source", "medium"), ("source", "medium", "campaign"))):
