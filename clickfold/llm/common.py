@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickfold.session import ship_package
 from clickfold.sources.tables import free_scratch, scratch_table
 
+__all__ = ["connected_components", "hex64", "join_labels", "scratch", "ship_package", "shuffle_partitions", "table"]
+
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back: the
@@ -19,23 +18,6 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return scratch_table(df, f"llm-{name}")
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once per application), for
-    sessions whose workers do not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[2]
-        archive = Path(tempfile.mkdtemp(prefix="clickfold-ship-")) / "clickfold_package.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for source in sorted((root / "clickfold").rglob("*.py")):
-                z.write(source, source.relative_to(root))
-        spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(app)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
