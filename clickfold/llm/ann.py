@@ -14,7 +14,8 @@ exactly and through the index, and the smallest share whose recall reaches
 there is no lower). Vectors without any structure need a large share.
 
 Cells are dealt in order to shards of at most about SHARD_ROWS rows; a larger
-cell takes several. Queries go, in blocks, to the shards of their cells.
+cell takes several. Queries go to the shards of their cells; a task reads the
+vectors of a shard once and then its queries in blocks.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components, or whose id is null, take no part, neither as query nor as
@@ -40,6 +41,7 @@ SAMPLE_ROWS, CENTROIDS, ROUNDS = 16384, 64, 12
 CHECK_QUERIES = 400
 SHARD_ROWS, LEAST_SHARD_ROWS = 8192, 512
 QUERY_BLOCK, STRIP = 1024, 256
+VECTOR, QUERY = 0, 1
 NEAR = "query_id long, vec_id long, score double"
 
 
@@ -154,9 +156,9 @@ def _list_cells(index: Index):
     return run
 
 
-def _send_queries(index: Index, wanted: int, blocks: int):
+def _send_queries(index: Index, wanted: int):
     """A row per query and shard that it looks at, with the cells as a bitmap."""
-    names = ["shard", "block", "id", "vec", "cells"]
+    names = ["shard", "id", "vec", "cells"]
 
     def run(batches):
         counts = index.counts.tolist()
@@ -178,30 +180,28 @@ def _send_queries(index: Index, wanted: int, blocks: int):
                 row += [at] * len(own)
                 cells += [np.packbits(bits).tobytes()] * len(own)
             row = pa.array(row, pa.int32())
-            sent = batch.column(0).take(row)
-            block = pa.array(_block(sent.to_numpy(), blocks), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), block, sent, batch.column(1).take(row), pa.array(cells, pa.binary())], names=names)
+            sent = [batch.column(0).take(row), batch.column(1).take(row)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *sent, pa.array(cells, pa.binary())], names=names)
 
     return run
 
 
-def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
-    """Block of a query, spread by a multiplicative hash of its id."""
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % blocks
+class Shard:
+    """The vectors of one shard by cell, and the search among them."""
 
-
-def _rerank(index: Index, k: int):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if not (queries.num_rows and rows.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    def __init__(self, parts: list[pa.RecordBatch], dims: int):
+        rows = pa.Table.from_batches(parts)
         cell = rows.column("cell").to_numpy()
         order = np.lexsort((rows.column("id").to_numpy(), cell))
-        cell, ids = cell[order], rows.column("id").to_numpy()[order]
-        x = _matrix(rows.column("vec").combine_chunks(), index.dims)[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        self.cell, self.ids = cell[order], rows.column("id").to_numpy()[order]
+        self.x = _matrix(rows.column("vec").combine_chunks(), dims)[order]
+        self.edges = np.concatenate([[0], np.flatnonzero(np.diff(self.cell)) + 1, [len(self.cell)]])
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        cell, ids, x, edges = self.cell, self.ids, self.x, self.edges
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         q_ids = queries.column("id").to_numpy()
-        q = _matrix(queries.column("vec").combine_chunks(), index.dims)
+        q = _matrix(queries.column("vec"), x.shape[1])
         bits = np.frombuffer(b"".join(queries.column("cells").to_pylist()), np.uint8).reshape(len(q_ids), -1)
         for at in range(0, len(q_ids), STRIP):
             own_ids, own_q = q_ids[at : at + STRIP], q[at : at + STRIP]
@@ -225,7 +225,33 @@ def _rerank(index: Index, k: int):
                 out["query_id"] += [query] * len(best)
                 out["vec_id"] += ids[cand[best]].tolist()
                 out["score"] += exact[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], names=list(out)
+        )
+
+
+def _rerank(dims: int, k: int):
+    """Over rows sorted by (shard, kind): the vectors of a shard are read once,
+    then its queries stream by in blocks."""
+
+    def run(batches):
+        current, parts, shard = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                if place[a] != current:
+                    current, parts, shard = place[a], [], None
+                if kind[a] == VECTOR:
+                    parts.append(batch.slice(a, b - a))
+                    continue
+                if parts:
+                    shard, parts = Shard(parts, dims), []
+                if shard is not None:
+                    for at in range(a, b, QUERY_BLOCK):
+                        yield shard.nearest(batch.slice(at, min(QUERY_BLOCK, b - at)), k)
 
     return run
 
@@ -263,11 +289,10 @@ def _search(rows: DataFrame, is_query: Column, dims: int, n_rows: int, k: int, t
     share = index.share_for(sample, k, target_recall)
     wanted = max(k + 1, int(np.ceil(share * counts.sum())))
     queries = listed.where(is_query).select("id", "vec")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     kind = rows.schema["vec"].dataType.simpleString()
     # a walk costs far more than reading a query: spread them
     sent = queries.repartition(shuffle_partitions(spark), "id").mapInArrow(
-        _send_queries(index, wanted, blocks), f"shard long, block int, id long, vec {kind}, cells binary"
+        _send_queries(index, wanted), f"shard long, id long, vec {kind}, cells binary"
     )
     used = np.flatnonzero(index.counts)
     # at most one row per pair of centroids, so it may be broadcast
@@ -276,7 +301,9 @@ def _search(rows: DataFrame, is_query: Column, dims: int, n_rows: int, k: int, t
     )
     listed = listed.join(F.broadcast(places), "cell")
     shard = F.col("start") + F.pmod(F.xxhash64("id"), "parts")
-    dealt = listed.select("id", "vec", "cell", shard.alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = sent.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_rerank(index, k), NEAR)
+    vectors = listed.select(shard.alias("shard"), F.lit(VECTOR).alias("kind"), "id", "vec", "cell", F.lit(None).cast("binary").alias("cells"))
+    asked = sent.select("shard", F.lit(QUERY).alias("kind"), "id", "vec", F.lit(None).cast("int").alias("cell"), "cells")
+    dealt = vectors.unionByName(asked).repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "kind")
+    found = dealt.mapInArrow(_rerank(dims, k), NEAR)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

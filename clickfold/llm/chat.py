@@ -124,15 +124,24 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(formatted: Column) -> Column:
+    """The written turns without their ends."""
+    pieces = F.split(formatted, TURN_END)
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, text>> read back from a formatted conversation."""
-    pieces = F.split(formatted, TURN_END)
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    pieces = _pieces(formatted)
     part = lambda p, g: F.regexp_extract(p, TURN_PATTERN, g)
     return F.transform(pieces, lambda p: F.struct(unescape(part(p, 1), ROLE_ESCAPES).alias("role"), unescape(part(p, 2)).alias("text")))
 
 
 def read_loss(formatted: Column, loss_spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    cut = F.transform(loss_spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
+    """The text under the loss mask, unescaped. A span ends with its turn, so
+    it is cut off the end of that turn: counting characters from the start of
+    the whole text for every span would take quadratic time."""
+    masked = F.filter(_pieces(formatted), lambda p: F.regexp_extract(p, TURN_PATTERN, 1) == "assistant")
+    length = lambda s: (s["end"] - s["start"]).cast("int")
+    cut = F.zip_with(masked, loss_spans, lambda p, s: unescape(F.substring(p, F.char_length(p) - length(s) + 1, length(s))))
     return F.array_join(cut, "")

@@ -34,7 +34,6 @@ STRIP = 256
 EXACT_DIMS = (1 << 24) // (127 * 127)
 SLACK = 1e-6  # rounding of the scaled products, far above what it can be
 TILE = "node long, n_links long, root long"
-CODED = "node long, n long, dims int, codes binary, scale double, err double, vector binary"
 
 
 def is_usable(vec: Column) -> Column:
@@ -57,32 +56,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt((rest * rest).sum(axis=1)) + 1e-12
 
 
-def _encode(batches):
-    for batch in batches:
-        node, n = batch.column(0), batch.column(1)
-        vecs = batch.column(2)
-        dims = np.diff(vecs.offsets.to_numpy())
-        out = {k: np.empty(len(dims), object) for k in ("codes", "vector")}
-        scale, err = np.empty(len(dims)), np.empty(len(dims))
-        flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        starts = np.concatenate([[0], np.cumsum(dims)])
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            x = unit(flat[starts[at][:, None] + np.arange(d)])
-            codes, scale[at], err[at] = quantise(x)
-            out["codes"][at] = [c.tobytes() for c in codes]
-            out["vector"][at] = [v.tobytes() for v in x]
-        yield pa.RecordBatch.from_arrays(
-            [node, n, pa.array(dims, pa.int32()), pa.array(out["codes"], pa.binary()), pa.array(scale), pa.array(err), pa.array(out["vector"], pa.binary())],
-            names=["node", "n", "dims", "codes", "scale", "err", "vector"],
-        )
-
-
 class Side:
-    def __init__(self, t: dict[str, np.ndarray], at: np.ndarray, dims: int):
-        self.node, self.n, self.scale, self.err = (t[k][at] for k in ("node", "n", "scale", "err"))
-        self.codes = np.frombuffer(b"".join(t["codes"][at]), np.int8).reshape(-1, dims).astype(np.float32)
-        self.vector = np.frombuffer(b"".join(t["vector"][at]), np.float64).reshape(-1, dims)
+    """One block of a tile: codes for the products, unit vectors for the pairs left open."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, vectors: np.ndarray):
+        self.node, self.n = node, n
+        self.vector = unit(vectors) if len(vectors) else vectors
+        codes, self.scale, self.err = quantise(self.vector)
+        self.codes = codes.astype(np.float32)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,11 +92,16 @@ def strip_links(a: Side, rows: slice, b: Side, threshold: float) -> tuple[np.nda
 
 def _tile(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        lo, hi = key[1].as_py(), key[2].as_py()
-        t = {c: table.column(c).to_numpy() for c in ("own", "node", "n", "scale", "err", "codes", "vector")}
-        dims = key[0].as_py()
-        a = Side(t, np.flatnonzero(t["own"] == lo), dims)
-        b = a if lo == hi else Side(t, np.flatnonzero(t["own"] == hi), dims)
+        dims, lo, hi = (x.as_py() for x in key)
+        own, node, n = (table.column(c).to_numpy() for c in ("own", "node", "n"))
+        vectors = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+        def side(block: int) -> Side:
+            at = np.flatnonzero(own == block)
+            return Side(node[at], n[at], vectors[at].astype(np.float64))
+
+        a = side(lo)
+        b = a if lo == hi else side(hi)
         na = len(a.node)
         nodes = a.node if a is b else np.concatenate([a.node, b.node])
         weights = a.n if a is b else np.concatenate([a.n, b.n])
@@ -145,7 +131,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     # written once, so the entry numbers hold
     classes = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     blocks = max(1, -(-classes.count() // BLOCK))
-    coded = classes.select("node", "n", "vec").mapInArrow(_encode, CODED)
+    # vectors travel as they are given; a tile quantises its two blocks itself
+    coded = classes.select("node", "n", F.size("vec").alias("dims"), "vec")
     own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
     dealt = coded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")

@@ -102,3 +102,28 @@ def test_escape_round_trip(spark):
     written = chat.escape(F.col("t"))
     out = df.select("t", written.alias("w"), chat.unescape(written).alias("back")).collect()
     assert all(r["back"] == r["t"] and "<" not in r["w"] and "#" not in r["w"] for r in out)
+
+
+def test_loss_spans_lie_on_the_written_texts(spark):
+    rows = spark.createDataFrame(odd_talks(), TALKS)
+    replies = chat.replies_of(rows)
+    out = chat.format_paths(replies, chat.best_paths(replies))
+    read = out.select("formatted", "loss_spans", chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    undo = (("\\h", "#"), ("\\l", "<"), ("\\b", "\\"))
+    for r in read:
+        cut = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        for written, plain in undo:
+            cut = [c.replace(written, plain) for c in cut]
+        assert r["loss"] == "".join(cut)
+
+
+def test_long_conversation_is_read_in_linear_time(spark):
+    import time
+
+    turn = "### assistant: " + "word " * 200 + "</turn>"
+    text = "\n".join([turn] * 2000)
+    spans = [(i * (len(turn) + 1) + 15, i * (len(turn) + 1) + len(turn) - 7) for i in range(2000)]
+    df = spark.createDataFrame([(text, spans)], "formatted string, loss_spans array<struct<start: long, end: long>>")
+    start = time.monotonic()
+    loss = df.select(chat.read_loss(F.col("formatted"), F.col("loss_spans"))).first()[0]
+    assert loss == "word " * 400_000 and len(text) > 2_000_000 and time.monotonic() - start < 30

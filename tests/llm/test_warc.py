@@ -56,6 +56,27 @@ def test_payloads_and_urls_come_back(spark, tmp_path):
     assert sorted(r["page_id"] for r in some) == [5, 2002]
 
 
+def test_one_page_opens_one_file_and_one_frame(spark, tmp_path):
+    path = tmp_path / "out"
+    warc.write_archives(spark.createDataFrame(odd_pages(), PAGES), str(path), frame_bytes=2000, bundle_bytes=9000)
+    warc.record_places(spark, str(path)).write.parquet(f"{tmp_path}/places")
+    places = spark.read.parquet(f"{tmp_path}/places")
+    assert places.count() == len(odd_pages())
+    r = places.where("page_id = 7").first()
+    for f in path.glob("*"):  # all but the page's own frame becomes unreadable
+        raw = bytearray(f.read_bytes())
+        keep = range(r["frame_start"], r["frame_start"] + r["frame_bytes"]) if r["file"].endswith(f.name) else range(0)
+        held = bytes(raw[keep.start : keep.stop])
+        raw[:] = b"x" * len(raw)
+        raw[keep.start : keep.stop] = held
+        f.write_bytes(bytes(raw))
+        if (crc := path / f".{f.name}.crc").exists():
+            crc.unlink()
+    (got,) = warc.read_record(spark, places, 7)
+    assert got["page_id"] == 7 and got["payload"].decode() == {p: h for p, _, h, _ in odd_pages()}[7]
+    assert warc.read_record(spark, places, -5) == []
+
+
 def test_files_are_seekable_zstd(spark, tmp_path):
     path = tmp_path / "out"
     warc.write_archives(spark.createDataFrame(odd_pages(), PAGES).coalesce(1), str(path), frame_bytes=3000, bundle_bytes=6000)
