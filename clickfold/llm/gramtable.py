@@ -69,12 +69,15 @@ class Chunk:
         return (self.loads[self.start[at] + 8 * i] << cut) >> cut
 
 
-def chunks(texts: Iterable[tuple[int, str | None]], longest: int) -> Iterator[Chunk]:
-    """Chunks of about CHUNK_WORDS words; a long text goes on in the next."""
+def chunks(texts: Iterable[tuple[int, str | None]], longest: int, n_words: np.ndarray | None = None) -> Iterator[Chunk]:
+    """Chunks of about CHUNK_WORDS words; a long text goes on in the next.
+    `n_words` takes the number of words of each document."""
     pieces: list[tuple[int, list[bytes], int]] = []
     held = 0
     for doc, text in texts:
         words = words_of(text)
+        if n_words is not None:
+            n_words[doc] = len(words)
         for at in range(0, len(words), CHUNK_WORDS):
             own = min(CHUNK_WORDS, len(words) - at)
             pieces.append((doc, words[at : at + own + longest - 1], own))
@@ -164,11 +167,12 @@ class GramTable:
     def _allocate(self, bits: int) -> None:
         self.size = 1 << bits
         self.key = np.zeros(self.size, np.uint64)
-        self.length = np.zeros(self.size, np.int64)  # 0: free
-        self.at = np.zeros(self.size, np.int64)
+        # 32 bits hold them all, and more of the table stays in the cache
+        self.length = np.zeros(self.size, np.int32)  # 0: free
+        self.at = np.zeros(self.size, np.int32)
         self.bucket = np.zeros(self.size, np.int32)
         self.count = np.zeros(self.size, np.int64)
-        self.claim = np.zeros(self.size, np.int64)
+        self.claim = np.zeros(self.size, np.int32)
         self.bytes = np.zeros(self.size, np.uint64)
         self.used = self.filled = 0
 
@@ -217,23 +221,26 @@ class GramTable:
         open_ = np.arange(n)
         while len(open_):
             s = slot[open_]
-            free = open_[self.length[s] == 0]
-            if len(free):
-                self.claim[slot[free]] = free
-                won = free[self.claim[slot[free]] == free]
-                self._insert(chunk, won, slot[won], keys[won])
-            maybe = np.flatnonzero(self.key[s] == keys[open_])
             settled = np.zeros(len(open_), bool)
+            free = np.flatnonzero(self.length[s] == 0)
+            if len(free):
+                self.claim[s[free]] = open_[free]
+                won = free[self.claim[s[free]] == open_[free]]
+                self._insert(chunk, open_[won], s[won], keys[open_[won]])
+                settled[won] = True  # their own bytes were just stored
+            maybe = np.flatnonzero((self.key[s] == keys[open_]) & ~settled)
             settled[maybe] = self._equal(chunk, open_[maybe], s[maybe])
             open_ = open_[~settled]
             slot[open_] = (slot[open_] + 1) & (self.size - 1)
         return slot
 
 
-def bucket_batches(texts: Iterable[tuple[int, str | None]], table: GramTable, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def bucket_batches(
+    texts: Iterable[tuple[int, str | None]], table: GramTable, longest: int, n_words: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document, slot, bucket) of all n-gram occurrences, chunk by chunk;
     slot is -1 for n-grams of more than LONG bytes."""
-    for chunk in chunks(texts, longest):
+    for chunk in chunks(texts, longest, n_words):
         long_ = np.flatnonzero(chunk.length > LONG)
         if len(long_):
             found = np.array([zlib.crc32(chunk.gram(i)) % table.buckets for i in long_.tolist()], np.int32)

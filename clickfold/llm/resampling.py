@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickfold.llm.common import scratch, shuffle_partitions
-from clickfold.llm.gramtable import GramTable, bucket_batches, words_of
+from clickfold.llm.gramtable import GramTable, bucket_batches
 
 
 def bucket_totals(docs: DataFrame, *, text_col: str = "text", buckets: int = 10_000, longest: int = 3) -> np.ndarray:
@@ -83,13 +83,8 @@ def weigh(
             features, weight = np.zeros(n, np.int64), np.zeros(n, np.int64)
             words = np.zeros(n, np.int64)
 
-            def texts(column: pa.Array = batch.column(1), words: np.ndarray = words) -> Iterator[tuple[int, str | None]]:
-                for i, t in enumerate(column):
-                    text = t.as_py()
-                    words[i] = len(words_of(text))
-                    yield i, text
-
-            for doc, _, found in bucket_batches(texts(), table, longest):
+            texts = ((i, t.as_py()) for i, t in enumerate(batch.column(1)))
+            for doc, _, found in bucket_batches(texts, table, longest, words):
                 np.add.at(features, doc, 1)
                 np.add.at(weight, doc, gain[found])
             ids = batch.column(0)
