@@ -144,3 +144,46 @@ def conversation(rows: list[tuple]) -> tuple:
     turns = "".join(f"{r[1] or ''}\n{r[2] or ''}\n" for r in rows)
     loss = "".join(r[2] or "" for r in rows if r[1] == "assistant")
     return len(rows), sha(turns), len(loss), sha(loss)
+
+
+def language_scorer(labelled: list[tuple[str, str]]):
+    """Word-first backoff by plain dictionaries, all counts kept: text -> {label: share}, or {} for a text without letters."""
+    import math
+    from collections import Counter
+
+    letters = re.compile(r"[^\W\d_]+")
+
+    def grams(word: str, n: int) -> list[str]:
+        padded = word if n == 1 else f" {word} "
+        return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+    labels = sorted({label for _, label in labelled})
+    counts = {(k, label): Counter() for k in range(6) for label in labels}
+    for text, label in labelled:
+        for word in letters.findall(text.lower()):
+            counts[0, label][word] += 1
+            for k in range(1, 6):
+                counts[k, label].update(grams(word, k))
+    items = {k: set().union(*(counts[k, label] for label in labels)) for k in range(6)}
+    total = {key: sum(c.values()) + 0.5 * (len(items[key[0]]) + 1) for key, c in counts.items()}
+
+    def log_frequency(k: int, item: str, label: str) -> float:
+        return math.log((counts[k, label][item] + 0.5) / total[k, label])
+
+    def word_score(word: str, label: str) -> float:
+        if word in items[0]:
+            return log_frequency(0, word, label)
+        for k in (5, 4, 3, 2, 1):
+            known = [g for g in grams(word, k) if g in items[k]]
+            if known:
+                return sum(log_frequency(k, g, label) for g in known) / len(known)
+        return 0.0
+
+    def shares(text: str | None) -> dict[str, float]:
+        if not any(map(str.isalpha, text or "")):
+            return {}
+        sums = {label: sum(word_score(w, label) for w in letters.findall(text.lower())) for label in labels}
+        odds = {label: math.exp(s - max(sums.values())) for label, s in sums.items()}
+        return {label: x / sum(odds.values()) for label, x in odds.items()}
+
+    return shares

@@ -75,6 +75,52 @@ def test_language_backoff_uses_longest_known_grams():
     assert langid.Scorer(langid.Model([], {})).predict("hello") == ("und", 0.0)
 
 
+def test_language_scores_equal_brute_force(spark, docs, rows):
+    want = brute.language_scorer([(t, lang) for i, t, lang, *_ in rows if t is not None and lang is not None and not brute.held_out(i)])
+    model = langid.fit(langid.training_rows(docs))
+    scorer = langid.Scorer(model)
+    texts = [r[1] for r in rows] + ["zzz qqq the straßen mangent", "unknownish wordlets", "語"]
+    for text in texts:
+        label, score = scorer.predict(text)
+        shares = want(text)
+        assert (label, score) == ("und", 0.0) if not shares else score == pytest.approx(max(shares.values()), rel=1e-9)
+        assert not shares or shares[label] == pytest.approx(max(shares.values()), rel=1e-9)
+
+
+def test_language_tables_are_bounded_per_label_only(spark):
+    """Rare labels among many are learned, each with words of its own."""
+    rows = [(1000 * k + i, f"word{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 676)} same common", f"l{k:03}") for k in range(600) for i in range(2 if k % 2 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.labels) == 600
+    scorer = langid.Scorer(model)
+    assert [scorer.predict(t)[0] for _, t, _ in rows] == [lang for _, _, lang in rows]
+    few = langid.fit(docs, words_per_label=1, grams_per_label=1)
+    assert len(few.labels) == 600 and all(np.bincount(x, minlength=600).max() <= 1 for x in few.seen_in.values())
+
+
+@pytest.mark.parametrize("slice_, gains", [(3, 4_000_000), (8192, 1), (1, 2)])
+def test_language_slices_and_forgetting(monkeypatch, docs, slice_, gains):
+    model = langid.fit(langid.training_rows(docs))
+    texts = ["the cat der hund " * 50 + "le garçon xyzzy", "old town", "über die straße und plugh"]
+    want = [langid.Scorer(model).predict(t) for t in texts]
+    monkeypatch.setattr(langid, "SLICE", slice_)
+    monkeypatch.setattr(langid, "CACHE_GAINS", gains)
+    scorer = langid.Scorer(model)
+    for t, (label, score) in zip(texts * 2, want * 2, strict=True):
+        assert scorer.predict(t) == (label, pytest.approx(score))
+
+
+def test_language_of_a_very_long_text(docs, rows):
+    """Many slices and more distinct words than are kept."""
+    model = langid.fit(langid.training_rows(docs))
+    want = brute.language_scorer([(t, lang) for i, t, lang, *_ in rows if t is not None and lang is not None and not brute.held_out(i)])
+    letters = "abcdefghij"
+    text = " ".join("".join(letters[int(c)] for c in f"{i * 7919 % 250_000:06}") if i % 3 else "der hund lief" for i in range(400_000))
+    shares = want(text)
+    assert langid.Scorer(model).predict(text)[0] == max(shares, key=shares.get)
+
+
 def test_language_cache_limit(monkeypatch):
     model = langid.Model(["a", "b"], {0: [("a", "w", 3)], 1: [("b", "x", 5), ("a", "y", 5)]})
     want = langid.Scorer(model).predict("xx xy yy w xxx xxy")
