@@ -11,7 +11,9 @@ fingerprints, so postings are keyed by `key_bytes` positions at once: a
 family of position sets such that any 4 positions contain one of them (7
 pairs, 20 triples or all 70 quadruples). Every pair with 4 shared positions
 still meets, in far shorter postings. Wider keys are used for more
-fingerprints; the links found are the same for each width.
+fingerprints; the links found are the same for each width. A task lists the
+fingerprints that meet under each single (position, byte) and tallies: every
+posting adds one to the count of each pair in it.
 
 Equal fingerprints are one index entry. A posting of more than BLOCK entries
 is cut into blocks that meet tile by tile, in separate tasks. A task returns
@@ -45,6 +47,8 @@ BLOCK = 2048
 #: Distinct fingerprints up to which postings of 2 and 3 bytes stay short.
 WIDER_AT = {2: 1 << 26, 3: 1 << 34}
 CHUNK_ROWS = 50_000
+#: Counts of pairs that a task holds at once.
+TALLY = 1 << 20
 #: Pages (4 kB, 32768 rows of a file) of kept rows that may be broadcast.
 BROADCAST_PAGES = 8192
 
@@ -113,25 +117,53 @@ def _postings(fps: DataFrame, key_bytes: int) -> DataFrame:
     return cut.select("slot", "held", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
 
 
+def positional_postings(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index of a chunk: for each of the 8 positions the entries ordered
+    by (group, byte there, entry); each entry's place in that order, and
+    where its posting ends. Three arrays of 8 rows."""
+    bytes_ = fps.view(np.uint8).reshape(-1, 8).T.astype(np.int64)
+    order, place, end = (np.empty((8, len(fps)), np.int64) for _ in range(3))
+    for p in range(8):
+        key = group.astype(np.int64) << 8 | bytes_[p]
+        order[p] = np.argsort(key, kind="stable")
+        place[p, order[p]] = np.arange(len(fps))
+        held = key[order[p]]
+        end[p, order[p]] = np.searchsorted(held, held, side="right")
+    return order, place, end
+
+
+def tallied(fps: np.ndarray, group: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one group that share at least `least` positional
+    bytes. Each posting that an entry is in adds one to its count with every
+    later entry of that posting; entries are taken in strips of about
+    TALLY counts."""
+    order, place, end = positional_postings(fps, group)
+    later = end - place - 1
+    total = np.cumsum(later.sum(axis=0))
+    at = 0
+    while at < len(fps):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TALLY, side="right")))
+        met = []
+        for p in range(8):
+            n = later[p, at:to]
+            ends = np.cumsum(n)
+            others = np.arange(ends[-1]) + np.repeat(place[p, at:to] + 1 - ends + n, n)
+            met.append(np.repeat(np.arange(at, to), n) * len(fps) + order[p][others])
+        pair, count = np.unique(np.concatenate(met), return_counts=True)
+        yield np.divmod(pair[count >= least], len(fps))
+        at = to
+
+
 def near_pairs(fps: np.ndarray, group: np.ndarray, cross: np.ndarray, own: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked pairs inside the runs of equal `group`. Where `cross`
     holds, only pairs of different `own` count."""
-    left, right = [], []
-    i = np.arange(len(fps) - 1)
-    step = 1
-    while len(i):
-        i = i[i + step < len(fps)]
-        i = i[group[i] == group[i + step]]
-        j = i + step
-        differ = fps[i] ^ fps[j]
-        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        hit = np.flatnonzero(shared >= 8 - max_bits)
-        hit = hit[np.bitwise_count(differ[hit]) <= max_bits]
-        hit = hit[~cross[i[hit]] | (own[i[hit]] != own[j[hit]])]
+    left, right = [np.empty(0, int)], [np.empty(0, int)]
+    for i, j in tallied(fps, group, 8 - max_bits):
+        hit = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+        hit &= ~cross[i] | (own[i] != own[j])
         left.append(i[hit])
         right.append(j[hit])
-        step += 1
-    return np.concatenate([*left, np.empty(0, int)]).astype(int), np.concatenate([*right, np.empty(0, int)]).astype(int)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _linker(max_bits: int):

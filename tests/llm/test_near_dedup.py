@@ -83,6 +83,25 @@ def test_simhash_links_of_planted_fingerprints(spark, monkeypatch, key_bytes, bl
     assert got == want
 
 
+@pytest.mark.parametrize("tally", [1, 500, 1 << 20])
+def test_tally_of_positional_bytes(monkeypatch, tally):
+    monkeypatch.setattr(simhash, "TALLY", tally)
+    rng = np.random.default_rng(tally)
+    bytes_ = rng.integers(0, 5, (150, 8)).astype(np.uint8)
+    bytes_[:20] = bytes_[0]
+    bytes_[5, 3] ^= 1
+    group = np.sort(rng.integers(0, 9, 150))
+    shared = {
+        (i, j): sum(a == b for a, b in zip(bytes_[i].tolist(), bytes_[j].tolist(), strict=True))
+        for i in range(150) for j in range(i + 1, 150) if group[i] == group[j]
+    }
+    for least in (1, 4, 6, 8):
+        got = [(i, j) for a, b in simhash.tallied(bytes_.reshape(-1).view(np.uint64), group, least) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == {pair for pair, n in shared.items() if n >= least}
+    none = np.empty(0, np.uint64)
+    assert list(simhash.tallied(none, none.astype(int), 4)) == []
+
+
 def test_simhash_null_ids_and_empty(spark):
     rows = [(None, "a b c d e", None, None, None, 0), (4, "a b c d e", None, None, None, 0), (9, "A B C D E", None, None, None, 0), (9, "zzz", None, None, None, 1)]
     out = simhash.near_duplicates(spark.createDataFrame(rows, brute.SCHEMA)).collect()
