@@ -9,8 +9,9 @@ holds for all tokens that follow each other with only blanks, line ends,
 quotes, dots or backslashes between, so for the lines of a key and the parts
 of a bearer token. A string whose marginal bytes per byte reach `min_novelty`
 cannot be rebuilt from code and identifiers and is reported, unless a base
-span covers part of it or it has no digit and is made like a word: most of
-its letter trigrams occur in words of the dictionary or of the same text.
+span covers part of it, or it is ordinary: a date, a number of 10 digits at
+most, a name or path put together from words, or a string without a digit most
+of whose letter trigrams occur in words of the dictionary or of the same text.
 Copies of a string do not explain each other: it is measured without them,
 save for earlier ones outside sensitive context, which make it part of the
 code.
@@ -41,7 +42,11 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 #: `name=` ahead of a value, and what may stand between tokens of one value.
 NAME = re.compile(r"(?:[A-Za-z][A-Za-z0-9_-]*=+)+(?=[A-Za-z0-9+/_-]{8})")
 GAP = re.compile(r"""[\s"'`.\\]*""")
-SENSITIVE = re.compile(r"passw|passwd|pwd|secret|token|api.?key|credential|auth|bearer|private|signature|access.?key", re.IGNORECASE | re.ASCII)
+#: Whole words or ends of them, so that neither "secretary" nor "author" counts.
+SENSITIVE = re.compile(
+    r"(?:passw(?:or)?d?|pwd|secret|token|api.?key|credential|auth(?:orization|entication)?|bearer|private|signature|access.?key)s?(?!(?-i:[a-z]))",
+    re.IGNORECASE | re.ASCII,
+)
 SENSITIVE_WORDS = ("passw", "pwd", "secret", "token", "api", "credential", "auth", "bearer", "private", "signature", "access")
 #: Copies of the candidate itself in the text after it, and a sensitive word that stands right ahead of one of them.
 COPY = "\udc00"
@@ -67,6 +72,11 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
     "-----BEGIN RSA PRIVATE KEY----- -----BEGIN CERTIFICATE----- -----END PRIVATE KEY----- -----END CERTIFICATE-----"
 )
+#: Dates with or without a time, ranges of years and short numbers.
+NUMERIC = re.compile(r"(?:19|20)\d\d[-/][01]?\d[-/][0-3]?\d(?:T[0-2]\d)?|(?:19|20)\d\d[01]\d[0-3]\d(?:T\d{4,6}Z?)?|(?:19|20)\d\d-(?:19|20)?\d\d|\d{1,10}")
+#: What names and paths are put together from: words in one case or with a capital, and numbers.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+VOWELS = frozenset("aeiouy")
 #: Words that stand alone, in lower case.
 PLAIN = re.compile(r"(?<![\w+/=])[a-z]{3,}(?![\w+/=])")
 
@@ -91,6 +101,30 @@ def is_word(own: str, words: set[str], holding: Counter[str]) -> bool:
     return not parts or sum(g in KNOWN or holding[g] > in_own[g] for g in mine) > 0.6 * len(mine)
 
 
+def is_ordinary(own: str) -> bool:
+    """Whether a token is a date or short number, or a name or path of
+    several pieces: most of its characters stand in pieces of 4 or more
+    letters that can be spoken, and its numbers have 4 digits at most."""
+    if NUMERIC.fullmatch(own):
+        return True
+    pieces = PIECE.findall(own)
+    spoken = sum(len(x) for x in pieces if len(x) >= 4 and x.isalpha() and can_be_spoken(x.lower()))
+    return len(pieces) > 1 and spoken > 0.5 * sum(map(len, pieces)) and all(len(x) <= 4 for x in pieces if x.isdigit())
+
+
+def can_be_spoken(word: str) -> bool:
+    """Vowels and consonants alternate as in words: no four consonants and no
+    three vowels in a row, and a known trigram among its own."""
+    row, last = 0, None
+    for c in word:
+        kind = c in VOWELS
+        row = row + 1 if kind == last else 1
+        last = kind
+        if row > (2 if kind else 3):
+            return False
+    return not VOWELS.isdisjoint(word) and not KNOWN.isdisjoint(trigrams(word))
+
+
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns; `low` is the text in lower case."""
     out = []
@@ -139,7 +173,7 @@ class Novelty:
                 if not sensitive:
                     plain[own] = e
                     continue
-                if any(s < b and a < e for a, _, b in taken):
+                if any(s < b and a < e for a, _, b in taken) or is_ordinary(own):
                     continue
                 around = run[0][0], run[-1][1]
                 if self.score(text, s, e, plain.get(own, -AROUND - 1) < s - AROUND, around) < self.min_novelty:

@@ -70,6 +70,29 @@ def test_sensitive_context_reaches_whole_values():
     assert found(words + " An independent, reasonable consideration of other complications; the collected description considers it.") == []
 
 
+ORDINARY = """The secretary said the tokenization is fine: 2024-12-31 and 10:20:30 on version 10.12.2345
+auth: see https://example.com/docs/2023/10/getting-started-v2.html
+token expires 2024-12-31T23:59:59Z, password policy changed 20241231 in release-2024-10-11
+private ip 192.168.100.200 port 8080, tokens: 12345678 total, signature of 1999-2003
+see src/auth/handlers/login_form.py for the token code, api docs at /usr/local/share/doc/api-2.10/index.html
+the author of the private collection counts 1234567890 tokens; login_cram_md5 and base64-based credentials
+class SyntaxError(Exception): pass  # raised by the token reader"""
+
+
+def test_ordinary_strings_are_not_reported_and_secrets_beside_them_are():
+    found = lambda t: [t[s:e] for s, _, e in secrets.Novelty(0.7).spans(t, t.lower(), secrets.base_spans(t, t.lower()))]
+    assert found(ORDINARY) == []
+    rng = random.Random(8)
+    draws = [(alphabet, length) for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for length in (16, 24, 32)]
+    lines = ORDINARY.split("\n")
+    for alphabet, length in draws:
+        caught = 0
+        for _ in range(50):
+            key, at = "".join(rng.choices(alphabet, k=length)), rng.randrange(len(lines))
+            caught += found("\n".join([*lines[:at], f"credential '{key}'", *lines[at:]])) == [key]
+        assert caught >= 47, (alphabet, length, caught)
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], brute.SCHEMA)).collect() == []
 
