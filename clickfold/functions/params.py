@@ -1,5 +1,6 @@
-"""Event parameter lookup: in the `event_params` key/value array, or in the
-columns of shredded events (one struct per key, see `shred_params`)."""
+"""Event parameter lookup: in the `event_params` key/value array, in the
+columns of shredded events (one struct per key, see `shred_params`), or in
+columns that were looked up before (`look_up`)."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from clickfold.functions._cache import per_context
 _KINDS = {"string": "string_value", "int": "int_value"}
 _strict = ContextVar("strict_params", default=False)
 _shredded = ContextVar("shredded_params", default=False)
+_looked_up = ContextVar("looked_up_params", default=False)
 SHREDDED = "params"
 
 
@@ -40,6 +42,30 @@ def shredded_params(on: bool = True) -> Iterator[None]:
         _shredded.reset(token)
 
 
+@contextmanager
+def looked_up_params(on: bool = True) -> Iterator[None]:
+    """Aggregates built inside the block read the columns of `look_up`."""
+    token = _looked_up.set(on)
+    try:
+        yield
+    finally:
+        _looked_up.reset(token)
+
+
+def look_up(*wanted: tuple[str, str], where: dict[str, Column] | None = None) -> list[Column]:
+    """Parameters (key, kind) of an event as columns of their own, for the
+    aggregates built inside `looked_up_params()`. Greatest or least texts are
+    aggregated by sorting their input: so it is these few values that are
+    sorted, not the event with its array. `where`: condition by key, for those
+    that are looked at on some events only."""
+    values = [event_param(k, kind) if k not in (where or {}) else F.when(where[k], event_param(k, kind)) for k, kind in wanted]
+    return [v.alias(_looked_up_name(*w)) for v, w in zip(values, wanted, strict=True)]
+
+
+def _looked_up_name(key: str, kind: str) -> str:
+    return f"_{kind}_{key}"
+
+
 def shred_params(keys: tuple[str, ...], params: str = "event_params") -> Column:
     """All entries of `keys` as one struct column, in one pass over the
     array: per key the first entry's values and the number of entries."""
@@ -75,6 +101,8 @@ def event_param(key: str, kind: str = "string", *, strict: bool | None = None, p
     or inside `strict_params()`, a key present twice raises, as a scalar
     subquery would; by default the first entry wins.
     """
+    if _looked_up.get():
+        return F.col(_looked_up_name(key, kind))
     strict = _strict.get() if strict is None else strict
     return _shredded_param(key, kind, strict) if _shredded.get() else _event_param(key, kind, strict, params)
 

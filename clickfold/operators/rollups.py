@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickfold.functions.exact import exact_sum
-from clickfold.functions.params import event_param, session_engaged, session_id, session_id_concat
+from clickfold.functions.params import event_param, look_up, looked_up_params, session_engaged, session_id, session_id_concat
 from clickfold.operators import acquisition, attribution, commerce, funnel
 from clickfold.operators.sessions import DIRECT_DEFAULTS, first_geo, first_user_labels, max_labels
 
@@ -26,8 +26,13 @@ HOW = {"max": F.max, "min": F.min, "sum": F.sum, "exact": exact_sum}
 
 @dataclass(frozen=True)
 class Rollup:
-    """`rows` turns events into rows with the key columns; `states` gives
-    (aggregate of one shard's rows, its name, how two shards' values meet)."""
+    """`rows` turns events into rows with the key columns and the few values
+    that the states look at; `states` gives (aggregate of one shard's rows, its
+    name, how two shards' values meet).
+
+    Greatest texts and least structs are aggregated by sorting, before the
+    shuffle too: a row that still held its event's array would be sorted, and
+    spilled, with it."""
 
     name: str
     keys: tuple[str, ...]
@@ -35,7 +40,10 @@ class Rollup:
     states: Callable[[], list[tuple[Column, str, str]]]
 
     def per_shard(self, events: DataFrame) -> DataFrame:
-        return self.rows(events).groupBy(*SHARD, *self.keys).agg(*[c.alias(n) for c, n, _ in self.states()])
+        rows = self.rows(events)
+        with looked_up_params():
+            states = self.states()
+        return rows.groupBy(*SHARD, *self.keys).agg(*[c.alias(n) for c, n, _ in states])
 
     def merged(self, partials: DataFrame) -> DataFrame:
         return partials.groupBy(*self.keys).agg(*[HOW[how](n).alias(n) for _, n, how in self.states()])
@@ -44,6 +52,14 @@ class Rollup:
 SM, SMC = ("source", "medium"), ("source", "medium", "campaign")
 
 
+ENGAGED = (("session_engaged", "string"), ("session_engaged", "int"))
+
+
+def _session_rows(ev: DataFrame) -> DataFrame:
+    looked_up = look_up(*ENGAGED, *[(k, "string") for k in SMC])
+    return ev.select(*SHARD, USER, session_id().alias("session_id"), "event_timestamp", "event_name", "user_id", *looked_up)
+
+
 def _session_states() -> list[tuple[Column, str, str]]:
     labels = [(c, k, "max") for c, k in zip(max_labels(), SMC, strict=True)]
     return [
@@ -56,6 +72,16 @@ def _session_states() -> list[tuple[Column, str, str]]:
     ]
 
 
+def _acquisition_rows(ev: DataFrame) -> DataFrame:
+    numbers = (("ga_session_number", "int"), ("engagement_time_msec", "int"))
+    starts = {"ga_session_number": F.col("event_name") == "session_start"}
+    looked_up = look_up(*ENGAGED, *[(k, "string") for k in DIRECT_DEFAULTS], *numbers, where=starts)
+    return ev.select(
+        *SHARD, USER, session_id_concat().alias("session_id"), *first_user_labels(),
+        "event_timestamp", "event_name", "ecommerce", "geo", *looked_up,
+    )
+
+
 def _acquisition_states() -> list[tuple[Column, str, str]]:
     measures = {
         "date": "min", "session_number": "max", "session_engaged": "max", "engagement_time_msec": "max",
@@ -75,14 +101,14 @@ def _item_states() -> list[tuple[Column, str, str]]:
 
 
 #: R13, R12, R3, R2, R9; session starts and labels of R10, R11
-SESSIONS = Rollup("sessions", (USER, "session_id"), lambda ev: ev.withColumn("session_id", session_id()), _session_states)
+SESSIONS = Rollup("sessions", (USER, "session_id"), _session_rows, _session_states)
 #: R8
 ITEMS = Rollup("items", (USER, "session_id"), lambda ev: commerce.exploded_items(ev, "purchase"), _item_states)
 #: R14, R15, R7
 ACQUISITION = Rollup(
     "acquisition",
     (USER, "session_id", "first_source", "first_medium", "first_campaign"),
-    lambda ev: ev.select("*", session_id_concat().alias("session_id"), *first_user_labels()),
+    _acquisition_rows,
     _acquisition_states,
 )
 #: R5, R6 (sessions by UTC date: one may span two shards)

@@ -135,6 +135,11 @@ def _epoch_micros(flat: DataFrame) -> Column:
 def nested_events(flat: DataFrame) -> DataFrame:
     """Project the flat driver table onto EVENT_SCHEMA. Every date is taken
     from the microsecond time by arithmetic, so no session time zone enters."""
+    return _nested(_placed(flat))
+
+
+def _placed(flat: DataFrame) -> DataFrame:
+    """Flat rows with what places them in the export: shard, event name, user."""
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("bigint")
     micros = _epoch_micros(flat)
     day = F.date_from_unix_date(F.floor(micros / F.lit(86_400_000_000)).cast("int"))
@@ -145,12 +150,23 @@ def nested_events(flat: DataFrame) -> DataFrame:
         day.alias("_day"),
         F.datediff(day, F.lit(EPOCH_DAY).cast("date")).alias("_dd"),
     )
-    k, dd, uid, eid, value = (F.col(c) for c in ("_k", "_dd", "user_id", "event_id", "value"))
-
     name = F.col("event_type")
     event_name = F.lit(None).cast("string")
     for src, dst in reversed(list(EVENT_NAMES.items())):
         event_name = F.when(name == src, F.lit(dst)).otherwise(event_name)
+    return base.select(
+        "event_id", "user_id", "value", "_k", "_us", "_dd",
+        event_name.alias("event_name"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
+        F.date_format("_day", "yyyyMMdd").alias("event_date"),
+        F.when(F.col("_day") == F.lit(INTRADAY_DATE).cast("date"), F.lit("intraday"))
+        .otherwise(F.lit("daily")).alias("export_kind"),
+    )
+
+
+def _nested(placed: DataFrame) -> DataFrame:
+    """Placed rows as events, row by row."""
+    k, dd, uid, eid, value, event_name = (F.col(c) for c in ("_k", "_dd", "user_id", "event_id", "value", "event_name"))
 
     # floor division and non-negative modulo: the mapping stays defined (and
     # equal to the oracle's) for days before the epoch day too
@@ -210,20 +226,19 @@ def nested_events(flat: DataFrame) -> DataFrame:
         F.when(k % 6 != 0, F.concat(F.lit("T"), (uid % 50).cast("string"))).alias("city"),
         F.concat(F.lit("M"), ((uid + k % 4) % 20).cast("string")).alias("metro"),
     )
-    out = base.select(
+    out = placed.select(
         F.col("_us").alias("event_timestamp"),
-        event_name.alias("event_name"),
+        "event_name",
         event_params.alias("event_params"),
         F.when(uid % 5 == 2, F.when(k % 2 == 0, F.lit("9")).otherwise(F.lit("10")))
         .when(uid % 3 != 0, uid.cast("string")).alias("user_id"),
-        F.concat(F.lit("u"), uid.cast("string")).alias("user_pseudo_id"),
+        "user_pseudo_id",
         items.alias("items"),
         F.struct(F.when(is_purchase, value).alias("purchase_revenue")).alias("ecommerce"),
         first_user.alias("traffic_source"),
         geo.alias("geo"),
-        F.date_format("_day", "yyyyMMdd").alias("event_date"),
-        F.when(F.col("_day") == F.lit(INTRADAY_DATE).cast("date"), F.lit("intraday"))
-        .otherwise(F.lit("daily")).alias("export_kind"),
+        "event_date",
+        "export_kind",
     )
     return out.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields])
 
@@ -277,20 +292,25 @@ def export_for(spark: SparkSession, sf_dir: str) -> DataFrame:
             return _OPENED[path]  # listed once per application
         if not _exists(spark, path):
             flat = spark.read.parquet(f"{sf_dir}/events.parquet")
-            (
-                nested_events(flat)
-                # a rebalance, not a repartition: a day of any size becomes as
-                # many files as its bytes ask for (AQE splits large partitions)
-                .hint("rebalance", "event_date", "export_kind")
-                .sortWithinPartitions("event_name", "user_pseudo_id")
-                .write.mode("overwrite")
-                .partitionBy("event_date", "export_kind")
-                .parquet(path)
-            )
+            _in_shard_order(flat).write.mode("overwrite").partitionBy("event_date", "export_kind").parquet(path)
         _OPENED[path] = read_events(spark, path)
         return _OPENED[path]
 
 
+def _in_shard_order(flat: DataFrame) -> DataFrame:
+    """The events dealt out by shard, in the order in which they are written.
+
+    Rows are shuffled and sorted flat and made nested after that, row by row:
+    nested ones are several times as wide, on the wire and in the sort."""
+    # never NULL, so the writer takes the column as it is and finds its order
+    # (NULL and the empty text name the same folder)
+    placed = _placed(flat).withColumn("event_date", F.coalesce("event_date", F.lit("")))
+    # a rebalance, not a repartition: a day of any size becomes as many files
+    # as its bytes ask for (AQE splits large partitions)
+    dealt = placed.hint("rebalance", "event_date", "export_kind")
+    return _nested(dealt.sortWithinPartitions("event_date", "export_kind", "event_name", "user_pseudo_id"))
+
+
 def shard_folders_for(spark: SparkSession, sf_dir: str) -> ShardFolders:
     """The same export in folders named as its tables (`events_YYYYMMDD`,
     `events_intraday_YYYYMMDD`), written once per session."""

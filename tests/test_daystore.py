@@ -3,17 +3,18 @@ shards are read; published sets are whole."""
 
 import datetime as dt
 import os
+import re
 import shutil
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from clickfold.functions.params import event_param, session_id, shredded_params
+from clickfold.functions.params import event_param, session_id, shredded_params, strict_params
 from clickfold.operators import attribution, rollups, sessions
 from clickfold.plans import daily, published
 from clickfold.plans.daystore import DayStore, ShreddedEvents
-from clickfold.sources import files, manifest
+from clickfold.sources import files, fixture, manifest
 from clickfold.sources.events import read_events, read_table
 from clickfold.sources.fixture import buyers_for, campaign_table, export_for, export_path, shard_folders_for
 from clickfold.sources.shards import PartitionedExport, ShardFolders
@@ -110,6 +111,43 @@ def test_refresh_that_dies_leaves_the_store_as_it_was(spark, export, monkeypatch
     assert store.refresh(source, AS_OF)
 
 
+def moved_columns(df):
+    """Names of the columns that enter the sorts and exchanges of a plan."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\n\(\d+\) (?:Sort|Exchange)\n\s*Input \[\d+\]: \[([^\n]*)\]", text)
+    return [set(re.findall(r"(\w+)#\d+", i)) for i in inputs]
+
+
+@pytest.mark.parametrize("rollup", rollups.ROLLUPS.values(), ids=lambda r: r.name)
+def test_events_are_narrow_before_they_are_sorted_or_shuffled(spark, rollup):
+    moved = moved_columns(rollup.per_shard(export_for(spark, SF)))
+    assert moved
+    for columns in moved:
+        assert columns and not columns & {"event_params", "items", "traffic_source"}
+
+
+def test_export_is_shuffled_and_sorted_flat_and_keeps_its_order(spark):
+    flat = spark.read.parquet(f"{SF}/events.parquet")
+    moved = moved_columns(fixture._in_shard_order(flat))
+    assert len(moved) >= 2 and not any(c & {"event_params", "items", "geo", "traffic_source"} for c in moved)
+    for path in export_for(spark, SF).inputFiles():
+        rows = [tuple(r) for r in spark.read.parquet(path).select("event_name", "user_pseudo_id").collect()]
+        assert rows == sorted(rows)
+    want = fixture.nested_events(flat)
+    assert norm(export_for(spark, SF).select(*want.columns)) == norm(want)
+
+
+def test_strict_lookups_of_a_rollup_are_those_of_its_states(spark):
+    def states(name):
+        rows = [ev("u", at(3), name, params={"ga_session_number": [1, 2], "source": "a"}), ev("u", at(3, 13), "session_start", params={"ga_session_number": 3})]
+        with strict_params():
+            return rollups.ACQUISITION.per_shard(events(spark, rows)).collect()
+
+    assert [(r["session_number"], r["event_count"], r["_first_source"]["v"]) for r in states("page_view")] == [(3, 2, "a")]
+    with pytest.raises(Exception, match="more than once"):
+        states("session_start")
+
+
 def test_two_publishers_on_one_manifest(spark):
     root = folder("manifest")
     assert manifest.latest(spark, root) == (0, {})
